@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import digest_index, wu_manber
+from . import digest_index, simhash_vptree, wu_manber
 
 
 def queries() -> dict:
     return {
+        "op2_simhash_neardup": simhash_vptree.query,
         "op4_exact_dedup": digest_index.query,
         "op9_decontamination": wu_manber.query,
     }
