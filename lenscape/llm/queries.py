@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import digest_index, simhash_vptree, wu_manber
+from . import digest_index, sentencepiece_bpe, simhash_vptree, wu_manber
 
 
 def queries() -> dict:
     return {
         "op2_simhash_neardup": simhash_vptree.query,
         "op4_exact_dedup": digest_index.query,
+        "op6_sentencepiece": sentencepiece_bpe.query,
         "op9_decontamination": wu_manber.query,
     }
 
