@@ -74,6 +74,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "") -> DataFra
         F.coalesce(F.max_by("row", "doc_id"), F.min("row")).alias("keep_row"),
         F.count(F.lit(1)).alias("group_size"),
     )
+    # a table, since the optimizer would else move the anti-join below the aggregation, where copies meet in one task
+    groups = stored(groups, "groups")
     index.append(index.unseen(groups).withColumn("batch", F.lit(batch)))
     # `here` is the number of this batch's rows, which says what keys are frequent in it
     entries = index.entries()
