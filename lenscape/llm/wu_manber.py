@@ -120,11 +120,11 @@ def _search_pass(rows: DataFrame, tables, everything: bool) -> DataFrame:
         made = tables.value
         for b in batches:
             out: list[tuple] = []
-            for doc_id, row, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                own = words(text)
+            for doc_id, row, text in zip(*b.columns, strict=True):  # a text at a time, to bound memory
+                own = words(text.as_py())
                 spans, items = scan(own, made)
                 if everything or spans:
-                    out.append((doc_id, row, len(own), [s for s, _ in spans], [e for _, e in spans], sorted(items)))
+                    out.append((doc_id.as_py(), row.as_py(), len(own), [s for s, _ in spans], [e for _, e in spans], sorted(items)))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES
