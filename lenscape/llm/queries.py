@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import digest_index, sentencepiece_bpe, simhash_vptree, wu_manber
+from . import digest_index, sentencepiece_bpe, simhash_vptree, token_scan, wu_manber
 
 
 def queries() -> dict:
     return {
+        "op1_token_counts": token_scan.query,
         "op2_simhash_neardup": simhash_vptree.query,
         "op4_exact_dedup": digest_index.query,
         "op6_sentencepiece": sentencepiece_bpe.query,
