@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digest_index, sentencepiece_bpe, simhash_vptree, token_scan, wu_manber
+from . import digest_index, sentencepiece_bpe, simhash_vptree, token_scan, toxicity, wu_manber
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_token_counts": token_scan.query,
         "op2_simhash_neardup": simhash_vptree.query,
         "op4_exact_dedup": digest_index.query,
+        "op5_toxicity": toxicity.query,
         "op6_sentencepiece": sentencepiece_bpe.query,
         "op9_decontamination": wu_manber.query,
     }
