@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digest_index, langid_crf, sentencepiece_bpe, simhash_vptree, token_scan, toxicity, wu_manber
+from . import digest_index, html_template, langid_crf, sentencepiece_bpe, simhash_vptree, token_scan, toxicity, wu_manber
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_sentencepiece": sentencepiece_bpe.query,
         "op8_language_id": langid_crf.query,
         "op9_decontamination": wu_manber.query,
+        "op10_html_extraction": html_template.query,
     }
 
 
