@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digest_index, html_template, langid_crf, sentencepiece_bpe, simhash_vptree, token_scan, toxicity, wu_manber
+from . import digest_index, html_template, langid_crf, pii_semicrf, sentencepiece_bpe, simhash_vptree, token_scan, toxicity, wu_manber
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_exact_dedup": digest_index.query,
         "op5_toxicity": toxicity.query,
         "op6_sentencepiece": sentencepiece_bpe.query,
+        "op7_personal_data": pii_semicrf.query,
         "op8_language_id": langid_crf.query,
         "op9_decontamination": wu_manber.query,
         "op10_html_extraction": html_template.query,
