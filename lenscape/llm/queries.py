@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import digest_index, html_template, langid_crf, pii_semicrf, sentencepiece_bpe, simhash_vptree, token_scan, toxicity, wu_manber
+from . import digest_index, html_template, langid_crf, licences, pii_semicrf, sentencepiece_bpe, simhash_vptree, token_scan, toxicity, wu_manber
 
 
 def queries() -> dict:
     return {
         "op1_token_counts": token_scan.query,
         "op2_simhash_neardup": simhash_vptree.query,
+        "op3_licences": licences.query,
         "op4_exact_dedup": digest_index.query,
         "op5_toxicity": toxicity.query,
         "op6_sentencepiece": sentencepiece_bpe.query,
