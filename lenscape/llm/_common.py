@@ -63,3 +63,18 @@ def join_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, tota
     rest = rows.join(hot.select(key), key, "left_anti")
     far = rest.hint("merge").join(groups.where(F.col(size) * HOT_KEYS < F.lit(total)), key, "inner")
     return near.unionByName(far)
+
+
+#: Row numbers that `without_rows` sends to every executor, at most (16 MB of longs).
+SENT_ROWS = 2_000_000
+
+
+def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """docs without the rows whose numbers (column row, as monotonically_increasing_id gave them for docs, which must be
+    read in the same way again) are listed. Up to SENT_ROWS numbers are broadcast, so that texts stay where they lie;
+    more are joined by sort-merge."""
+    rows = stored(rows.select("row"), "rows")
+    few = rows.count() <= SENT_ROWS
+    own = docs.withColumn("_row", F.monotonically_increasing_id())
+    gone = rows.withColumnRenamed("row", "_row")
+    return own.join(F.broadcast(gone) if few else gone.hint("merge"), "_row", "left_anti").select(*docs.columns)

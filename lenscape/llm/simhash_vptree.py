@@ -67,15 +67,16 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long)."""
+    """doc_id, row (tells repeated rows apart) and fp (the 64 bits as a long)."""
     on_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t.as_py(), size) for t in b.column(1)], dtype="<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            fp = np.array([fingerprint(t.as_py(), size) for t in b.column(2)], dtype="<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text")
+    return rows.mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -248,21 +249,31 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row per document: doc_id, fp (long), component_id (smallest doc_id that links reach)."""
+    """One row per document: doc_id, row, fp (long), component_id (smallest doc_id that links reach), first (this row is
+    the one of its component that has that doc_id; of repeated ones just one)."""
     rows = stored(fingerprints(docs, size), "fingerprints")
     points = stored(
-        rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "points"
+        rows.groupBy("fp").agg(
+            F.min("doc_id").alias("least"),
+            F.coalesce(F.min_by("row", "doc_id"), F.min("row")).alias("least_row"),
+            F.count(F.lit(1)).alias("copies"),
+        ),
+        "points",
     )
     roots = stored(connected(links(points, radius)), "roots")
     named = points.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    least = named.groupBy("root").agg(
+        F.min("least").alias("component_id"),
+        F.coalesce(F.min_by("least_row", "least"), F.min("least_row")).alias("first_row"),
+        F.count(F.lit(1)).alias("members"),
+    )
     placed = join_to_groups(
         named.select("root", "fp", "copies"), least, "root", "members", points.count()
-    ).select("fp", "copies", "component_id")
+    ).select("fp", "copies", "component_id", "first_row")
     return join_to_groups(rows, stored(placed, "placed"), "fp", "copies", rows.count()).select(
-        "doc_id", "fp", "component_id"
+        "doc_id", "row", "fp", "component_id", (F.col("row") == F.col("first_row")).alias("first")
     )
 
 

@@ -168,6 +168,26 @@ def contamination(docs: DataFrame, benchmark: DataFrame, windows_a_pass: int = W
     return found.withColumn("n_hit", hit)
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, windows_a_pass: int = WINDOWS_A_PASS) -> DataFrame:
+    """The rows of docs, all columns, in which no benchmark window occurs: a filter for each pass, no shuffle."""
+    spark = docs.sparkSession
+    on_workers(spark)
+    at = docs.columns.index("text")
+    for held in _passes(benchmark, windows_a_pass):
+        docs = _clean_of(docs, spark.sparkContext.broadcast(matchers(held)), at)
+    return docs
+
+
+def _clean_of(docs: DataFrame, tables, at: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = tables.value
+        for b in batches:
+            clean = [not any(next(m.search(own), None) for m in made) for own in (words(t.as_py()) for t in b.column(at))]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _put_together(found: DataFrame) -> DataFrame:
     """Each pass has at most one row for a document, so a group has two rows at most."""
 
