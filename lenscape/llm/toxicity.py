@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import on_workers
+from ._common import on_workers, stored
 from .wu_manber import words
 
 #: Labelled rows to learn from, at most.
@@ -140,49 +140,43 @@ def _gradient(eta: np.ndarray, theta: np.ndarray, grade: np.ndarray):
     return g_eta, g_theta
 
 
-def fit(texts: list[Counter], grade: np.ndarray, graded: bool) -> Model:
-    """texts: the word counts of each. graded: grade is severity as it is, else 0 or 1."""
-    if len(texts) == 0 or grade.min() == grade.max():
-        return Model({}, [50.0] * max(1, 2 if not graded else int(grade.max(initial=1))))
-    ids: dict[str, int] = {}
-    rows, cols, vals = [], [], []
-    for i, c in enumerate(texts):
-        own: Counter = Counter()
-        for w, k in c.items():
-            for f in features(w):
-                own[ids.setdefault(f, len(ids))] += k
-        rows.append(np.full(len(own), i, np.int32))
-        cols.append(np.fromiter(own.keys(), np.int32, len(own)))
-        vals.append(np.log1p(np.fromiter(own.values(), np.float64, len(own))))
-    rows, cols, vals = np.concatenate(rows), np.concatenate(cols), np.concatenate(vals)
-    bad = (grade > 0).astype(float)
-    n1, n0 = max(bad.sum(), 1), max((1 - bad).sum(), 1)
-    c1 = np.bincount(cols, bad[rows], len(ids))
-    c0 = np.bincount(cols, minlength=len(ids)) - c1
+def gap(c1, c0, n1, n0):
+    """How surely a feature in c1 of n1 toxic and c0 of n0 clean texts tells them apart (a z-score); 0 if too rare."""
     p = (c1 + c0) / (n1 + n0)
-    gap = np.abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
-    gap[(c1 + c0 < LEAST) | (gap < 2)] = 0
-    kept = np.flatnonzero(gap > 0)
-    kept = kept[np.argsort(-gap[kept], kind="stable")][:FEATURES]
-    place = np.full(len(ids), -1)
-    place[kept] = np.arange(len(kept))
-    use = place[cols] >= 0
-    rows, cols, vals = rows[use], place[cols[use]], vals[use]
-    names = list(ids)
+    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)
+    return np.where((c1 + c0 < LEAST) | (z < 2), 0.0, z)
+
+
+def fit(texts: list[tuple[list[int], list[int]]], grade: np.ndarray, graded: bool, names: list[str]) -> Model:
+    """texts: of each the numbers of its features (places in names) and their counts. graded: grade is severity as it
+    is, else 0 or 1."""
+    if len(texts) == 0 or grade.min() == grade.max():
+        return Model({}, [50.0] * (max(1, int(grade.max(initial=1))) if graded else 2))
+    rows = np.repeat(np.arange(len(texts)), [len(f) for f, _ in texts])
+    cols = np.array([i for f, _ in texts for i in f], np.int64)
+    vals = np.log1p(np.array([n for _, ns in texts for n in ns], np.float64))
     if not graded:
-        w, _ = fit_ordinal(rows, cols, vals, len(kept), (grade > 0).astype(int), 2)
+        w, _ = fit_ordinal(rows, cols, vals, len(names), (grade > 0).astype(int), 2)
         telling = np.bincount(rows, np.where(w[cols] > 0.05, np.expm1(vals), 0), len(grade))
         middle = np.median(telling[grade > 0])
         grade = np.where(grade > 0, 1 + (telling > middle), 0)
         if (grade == 2).sum() == 0:
             grade = np.minimum(grade, 1)
-    w, theta = fit_ordinal(rows, cols, vals, len(kept), grade.astype(int), int(grade.max()) + 1)
-    return Model({names[kept[i]]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-4)}, theta.tolist())
+    w, theta = fit_ordinal(rows, cols, vals, len(names), grade.astype(int), int(grade.max()) + 1)
+    return Model({names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-4)}, theta.tolist())
+
+
+def text_features(text: str | None) -> Counter:
+    out: Counter = Counter()
+    for w, n in Counter(words(text)).items():
+        for f in features(w):
+            out[f] += n
+    return out
 
 
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """labels: doc_id and `grade`, or `toxic` (0 or 1). Word counts are made on the executors; the driver holds those
-    of `sample` texts."""
+    """labels: doc_id and `grade`, or `toxic` (0 or 1). The executors count and screen features; the driver holds
+    FEATURES of them at most and their counts in `sample` texts."""
     spark = docs.sparkSession
     on_workers(spark)
     graded = "grade" in labels.columns
@@ -193,27 +187,65 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         .limit(sample)
     )
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = stored(rows.select("doc_id", "grade", "text"), "labelled")
+    n1, n0 = rows.agg(F.count_if(F.col("grade") > 0), F.count_if(F.col("grade") == 0)).first()
+    if not n1 or not n0:
+        return fit([], np.zeros(0, int), graded, [])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [Counter(words(t.as_py())) for t in b.column(1)]
+            for at in range(0, b.num_rows, 500):
+                c: tuple[Counter, Counter] = (Counter(), Counter())
+                for g, t in zip(b.column(0).slice(at, 500), b.column(1).slice(at, 500), strict=True):
+                    c[g.as_py() > 0].update(text_features(t.as_py()).keys())
+                for toxic in (0, 1):
+                    names, ns = list(c[toxic]), list(c[toxic].values())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names, pa.string()), pa.array([n * toxic for n in ns], pa.int64()), pa.array([n * (1 - toxic) for n in ns], pa.int64())],
+                        names=["feature", "c1", "c0"],
+                    )
+
+    counted = rows.select("grade", "text").mapInArrow(count, "feature string, c1 long, c0 long")
+    c1, c0 = F.col("c1"), F.col("c0")
+    p = (c1 + c0) / (n1 + n0)
+    z = F.abs(c1 / n1 - c0 / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-9)  # as gap() has it
+    telling = (
+        counted.groupBy("feature").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+        .where(c1 + c0 >= LEAST).withColumn("z", z).where("z >= 2")
+        .orderBy(F.desc("z"), "feature").limit(FEATURES).select("feature")
+    )
+    names = sorted(r.feature for r in telling.toLocalIterator())
+    ids = spark.sparkContext.broadcast({f: i for i, f in enumerate(names)})
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = ids.value
+        for b in batches:
+            own = [{known[f]: n for f, n in text_features(t.as_py()).items() if f in known} for t in b.column(2)]
+            own = [dict(sorted(c.items())) for c in own]
             yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([list(c) for c in own], pa.list_(pa.binary())),
-                    pa.array([list(c.values()) for c in own], pa.list_(pa.int32())),
-                ],
-                names=["grade", "words", "counts"],
+                [b.column(0), b.column(1), pa.array([list(c) for c in own], pa.list_(pa.int32())), pa.array([list(c.values()) for c in own], pa.list_(pa.int32()))],
+                names=["doc_id", "grade", "ids", "counts"],
             )
 
-    found = rows.select("grade", "text").mapInArrow(count, "grade int, words array<binary>, counts array<int>")
-    texts, grade = [], []
-    for r in found.toLocalIterator():
-        texts.append(Counter({bytes(w): n for w, n in zip(r.words, r.counts, strict=True)}))
-        grade.append(r.grade)
+    found = rows.mapInArrow(number, "doc_id long, grade int, ids array<int>, counts array<int>")
     # in an order that does not depend on how rows were read
-    order = sorted(range(len(texts)), key=lambda i: (grade[i], sorted(texts[i].items())[:20], len(texts[i])))
-    return fit([texts[i] for i in order], np.array([grade[i] for i in order], dtype=int), graded)
+    got = sorted((r.doc_id, r.grade, r.ids, r.counts) for r in found.toLocalIterator())
+    return fit([(i, n) for *_, i, n in got], np.array([g for _, g, *_ in got], dtype=int), graded, names)
+
+
+def fit_texts(texts: list[str], grade: np.ndarray, graded: bool) -> Model:
+    """The same for texts at hand."""
+    counts = [text_features(t) for t in texts]
+    toxic = np.asarray(grade) > 0
+    c: tuple[Counter, Counter] = (Counter(), Counter())
+    for x, y in zip(counts, toxic, strict=True):
+        c[int(y)].update(x.keys())
+    every = sorted(set(c[0]) | set(c[1]))
+    z = gap(*(np.array([k[f] for f in every], float) for k in (c[1], c[0])), max(toxic.sum(), 1), max((~toxic).sum(), 1))
+    kept = sorted(every[i] for i in np.argsort(-z, kind="stable")[:FEATURES] if z[i] > 0)
+    ids = {f: i for i, f in enumerate(kept)}
+    rows = [dict(sorted((ids[f], n) for f, n in x.items() if f in ids)) for x in counts]
+    return fit([(list(x), list(x.values())) for x in rows], np.asarray(grade), graded, kept)
 
 
 SCORED = "doc_id long, severity double, grade int, p_toxic double"

@@ -1,5 +1,4 @@
 import random
-from collections import Counter
 
 import numpy as np
 import pytest
@@ -42,7 +41,7 @@ def corpus(n, seed):
 
 def test_learns_and_orders():
     rows = corpus(1500, 1)
-    model = x.fit([Counter(x.words(t)) for _, t, _ in rows], np.array([y for *_, y in rows]), False)
+    model = x.fit_texts([t for _, t, _ in rows], np.array([y for *_, y in rows]), False)
     assert model.thresholds == sorted(model.thresholds) and len(model.thresholds) == 2
     held = corpus(500, 2)
     right = sum((model.above(model.score(t))[0] > 0.5) == bool(y) for _, t, y in held)
@@ -56,9 +55,9 @@ def test_grades_of_ones_own():
     texts, grade = [], []
     for _ in range(900):
         g = rng.randrange(4)
-        texts.append(Counter({b"calm": 3, b"bad": 3 * g} if g else {b"calm": 3}))
+        texts.append("calm " * 3 + "bad " * 3 * g)
         grade.append(g)
-    model = x.fit(texts, np.array(grade), True)
+    model = x.fit_texts(texts, np.array(grade), True)
     severity = [sum(model.above(model.score("calm " + "bad " * 3 * g))) for g in range(4)]
     assert severity == sorted(severity) and len(model.thresholds) == 3
 
@@ -87,6 +86,10 @@ def test_tables(spark):
     # rows without an id have no score to look up; they are tested by what they are
     want = sorted(str(r.doc_id) for r in got if r.p_toxic <= 0.5)
     assert sorted(str(r.doc_id) for r in kept.collect()) == want
+    own = {a: y for a, _, y in rows}
+    texts = [(a, t) for a, t, _ in rows + extra if a in own]
+    local = x.fit_texts([t for _, t in sorted(texts)], np.array([own[a] for a, _ in sorted(texts)]), False)
+    assert local.weights.keys() == model.weights.keys() and local.thresholds == pytest.approx(model.thresholds, abs=1e-3)
     again = x.trained(docs.repartition(5), labels.repartition(3))
     assert again.thresholds == pytest.approx(model.thresholds, abs=1e-6)
 
