@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..workers import checkpointed
+
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
@@ -22,62 +24,59 @@ def sign_hash(embedding: Column, bits: int = 62) -> Column:
 def close_pairs(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
     """a, b (a < b) and distance of all pairs of rows (id, hash) within a threshold.
 
-    If threshold < bits, hashes cut into threshold + 1 bands agree in a band at least, so pairs are found by equi-joins
-    on (band, value), each reported by its first common band. Equal hashes are one point in these joins; they are
-    expanded at the end. Wide thresholds leave narrow bands that many hashes share: then the work grows as a join's does."""
+    Hashes cut into threshold + 1 bands agree in a band at least, so pairs of different hashes are found by equi-joins on
+    (band, value), each reported by its first common band; rows of equal hashes are joined to them at the end. The result
+    holds all pairs: for groups of copies use duplicate_groups. Wide thresholds leave narrow bands that many hashes share:
+    then the work grows as a join's does."""
+    points = hashes.where("hash is not null")
+    met = close_hashes(points.select("hash").distinct(), threshold, bits)
+    left = points.select(F.col("id").alias("x"), "hash")
+    right = points.select(F.col("id").alias("y"), F.col("hash").alias("hash2"))
+    apart = met.join(left, "hash").join(right, "hash2").select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance"
+    )
+    equal = left.join(right.withColumnRenamed("hash2", "hash"), "hash").where("x < y")
+    return apart.where("a <> b").unionByName(equal.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).alias("distance")))
+
+
+def close_hashes(distinct: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
+    """hash, hash2 (hash < hash2) and distance of different hashes within a threshold."""
     count = max(1, min(threshold + 1, bits))
     edges = [bits * i // count for i in range(count + 1)]
-    points = hashes.where("hash is not null").groupBy("hash").agg(F.collect_set("id").alias("ids"))
-    band = F.array(
-        *(
-            F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("hash", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)).alias("value"))
-            for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))
-        )
-    )
-    keyed = points.select("hash", F.inline(band))
+    cuts = [(lo, (1 << (hi - lo)) - 1 if hi - lo < 64 else -1) for lo, hi in zip(edges, edges[1:], strict=False)]
+    part = lambda c, lo, mask: F.shiftrightunsigned(c, lo).bitwiseAND(F.lit(mask))
+    band = F.array(*(F.struct(F.lit(i).alias("band"), part(F.col("hash"), *cut).alias("value")) for i, cut in enumerate(cuts)))
+    keyed = distinct.select("hash", F.inline(band))
     other = keyed.select(F.col("hash").alias("hash2"), "band", "value")
-    met = keyed.join(other, ["band", "value"]).where((F.col("hash") < F.col("hash2")) & (hamming(F.col("hash"), F.col("hash2")) <= threshold))
+    apart = hamming(F.col("hash"), F.col("hash2"))
+    met = keyed.join(other, ["band", "value"]).where((F.col("hash") < F.col("hash2")) & (apart <= threshold))
     first = F.lit(count)
     for i in reversed(range(count)):
-        lo, hi = edges[i], edges[i + 1]
-        mask = (1 << (hi - lo)) - 1 if hi - lo < 64 else -1
-        same = F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.col("hash2")), lo).bitwiseAND(F.lit(mask)) == 0
-        first = F.when(same, i).otherwise(first)
-    pairs = met.where(F.col("band") == first).select("hash", "hash2")
-    left = points.select("hash", F.col("ids").alias("a_ids"))
-    right = points.select(F.col("hash").alias("hash2"), F.col("ids").alias("b_ids"))
-    wide = pairs.join(left, "hash").join(right, "hash2").select(
-        F.explode("a_ids").alias("a"), "b_ids", hamming(F.col("hash"), F.col("hash2")).alias("distance")
-    ).select("a", F.explode("b_ids").alias("b"), "distance")
-    same = points.where(F.size("ids") > 1).select(F.explode("ids").alias("a"), "ids").select(
-        "a", F.explode("ids").alias("b"), F.lit(0).alias("distance")
-    ).where("a < b")
-    found = wide.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance").unionByName(same)
-    return found.where("a <> b")
+        first = F.when(part(F.col("hash").bitwiseXOR(F.col("hash2")), *cuts[i]) == 0, i).otherwise(first)
+    return met.where(F.col("band") == first).select("hash", "hash2", apart.alias("distance"))
 
 
 def duplicate_groups(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
-    """id and group_id (the smallest id that links of close pairs reach) of rows that have a partner. Equal hashes link by
-    a chain, not by all pairs."""
-    firsts = hashes.where("hash is not null").groupBy("hash").agg(F.min("id").alias("id"))
-    links = close_pairs(firsts, threshold, bits).select("a", "b")
-    same = hashes.join(firsts.select("hash", F.col("id").alias("a")), "hash").where("id <> a").select("a", F.col("id").alias("b"))
-    return connected(links.unionByName(same)).select(F.col("node").alias("id"), F.col("root").alias("group_id"))
+    """id and group_id (the smallest id that links of close pairs reach) of rows that have a partner. Equal hashes are one
+    point, so a group of copies makes no pairs."""
+    points = hashes.where("hash is not null").groupBy("hash").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    links = close_hashes(points.select("hash"), threshold, bits).select(F.col("hash").alias("a"), F.col("hash2").alias("b"))
+    roots = connected(links).select(F.col("node").alias("hash"), "root")
+    named = points.join(roots, "hash", "left").withColumn("root", F.coalesce("root", "hash"))
+    least = named.groupBy("root").agg(F.min("least").alias("group_id"), F.sum("copies").alias("size")).where("size > 1")
+    return hashes.join(named.select("hash", "root").join(least, "root"), "hash").select("id", "group_id")
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """node and root (smallest node of its component), by rounds of taking the smallest label among neighbours and
     jumping to that label's own. State is checkpointed where the session says."""
-    spark = edges.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
-        spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints")
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")).checkpoint()
+    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("seen"))
         own = labels.join(near, "node").select("node", F.least("root", "seen").alias("root"), F.col("root").alias("old"))
         step = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = own.join(step, "root", "left").select("node", F.least("root", "next").alias("root"), "old").checkpoint()
+        new = checkpointed(own.join(step, "root", "left").select("node", F.least("root", "next").alias("root"), "old"))
         if not new.where("root <> old").limit(1).count():
             return new.select("node", "root")
         labels = new.select("node", "root")

@@ -8,21 +8,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..workers import checkpointed
+
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with index (from 0) and n (their number) in the order of columns; the columns should tell rows apart."""
+    """rows with index (from 0) and n (their number) in the order of columns; the columns should tell rows apart.
+
+    One sort by ranges; rows are numbered within their partition, and partitions by a sum over their sizes. The sorted
+    rows are kept, as a second sort might draw other borders."""
     names = order or ("id",)
-    ranged = rows.repartitionByRange(*names).withColumn("_part", F.spark_partition_id())
-    # a range partition is a task of its own, so this window moves no rows to other partitions' tasks
-    within = Window.partitionBy("_part").orderBy(*names)
-    local = ranged.withColumn("_at", F.row_number().over(within) - 1)
-    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    kept = checkpointed(rows.orderBy(*names).withColumn("_m", F.monotonically_increasing_id()))
+    part, at = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = kept.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
     totals = sizes.select(
         "_part",
         (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"),
         F.sum("_size").over(Window.partitionBy()).alias("n"),
     )
-    return local.join(F.broadcast(totals), "_part").select(*rows.columns, (F.col("_before") + F.col("_at")).alias("index"), "n")
+    numbers = kept.withColumn("_part", part).join(F.broadcast(totals), "_part")
+    return numbers.select(*rows.columns, (F.col("_before") + at).alias("index"), "n")
 
 
 def neighbours(rows: DataFrame, *order: str) -> DataFrame:

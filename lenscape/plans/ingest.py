@@ -17,6 +17,7 @@ from ..operators import catalog as queries
 from ..operators import upsert
 from ..schema import PHOTO_EMBEDDING, PHOTO_EXIF, PHOTO_PHASH, PHOTOS, RESULT
 from ..sources import files
+from ..workers import checkpointed
 
 Decoder = Callable[[bytes], np.ndarray]
 Embedder = Callable[[list[str]], "list[list[float] | None]"]
@@ -150,10 +151,7 @@ class Catalog:
         ids = queries.pending(photos)
         thumb = media.thumbnail_path(F.col("path"), F.lit("large"))
         work = queries.by_ids(photos, ids).select("id", F.concat(F.lit(f"{folder}/"), thumb).alias("path"))
-        spark = photos.sparkSession
-        if not spark.conf.get("spark.checkpoint.dir", None):
-            spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints")
-        made = embedded(work, embed).checkpoint()
+        made = checkpointed(embedded(work, embed))
         catalog, sidecar = upsert.save_embeddings(photos, self.read("photo_embedding"), made)
         self.write("photo_embedding", sidecar)
         self.write("photos", catalog)

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import media
@@ -51,7 +52,9 @@ class _Walk(DataSourceReader):
             own += [Folder(e.path, True) for e in sorted(entries, key=lambda e: e.name) if not e.name.startswith(".") and e.is_dir()]
         return own
 
-    def read(self, part: Folder) -> Iterator[tuple]:
+    def read(self, part: Folder | None) -> Iterator[tuple]:
+        if part is None:  # what Spark passes if there are no partitions
+            return
         todo = [(part.path, (os.path.realpath(part.path),))]
         while todo:
             folder, above = todo.pop()
@@ -103,6 +106,10 @@ def read_bytes(path: str, most: int | None = None) -> bytes:
         return f.read() if most is None else f.read(most)
 
 
+def _with(rows: DataFrame, name: str, kind: str) -> T.StructType:
+    return T.StructType(list(rows.schema.fields)).add(name, kind)
+
+
 def heads(files: DataFrame, size: int = 12) -> DataFrame:
     """files with the first bytes of each as column head; null if it cannot be read."""
 
@@ -118,7 +125,7 @@ def heads(files: DataFrame, size: int = 12) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*names, "head"])
 
     names = files.columns
-    return files.mapInArrow(run, files.schema.add("head", "binary"))
+    return files.mapInArrow(run, _with(files, "head", "binary"))
 
 
 def pixels_by_spark(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -149,7 +156,7 @@ def with_exif(files: DataFrame, reader: ExifReader = exiftool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*names, "exif_json"])
 
     names = files.columns
-    read = files.mapInArrow(run, files.schema.add("exif_json", "string"))
+    read = files.mapInArrow(run, _with(files, "exif_json", "string"))
     return read.withColumn("exif", media.exif_from_json(F.col("exif_json")))
 
 

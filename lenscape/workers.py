@@ -1,16 +1,25 @@
-"""Python workers on this machine find the package by their path; on a cluster it comes by --py-files."""
+"""What jobs need from the session: the package on Python workers, and a shared folder to cut lineage in."""
 
 from __future__ import annotations
 
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
 def find_package(spark: SparkSession) -> None:
+    """Workers on this machine find the package by its path; on a cluster it comes by --py-files."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df computed once, kept in the folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    spark = df.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
+        spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints")
+    return df.checkpoint()
