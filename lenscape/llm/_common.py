@@ -78,3 +78,18 @@ def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     own = docs.withColumn("_row", F.monotonically_increasing_id())
     gone = rows.withColumnRenamed("row", "_row")
     return own.join(F.broadcast(gone) if few else gone.hint("merge"), "_row", "left_anti").select(*docs.columns)
+
+
+def hash_sample(rows: DataFrame, most: int, total: int) -> list:
+    """The `most` rows with the smallest hashes (column h, an xxhash64; ties by the other columns), as a list. total: their
+    number or a bound of it. Only rows below a bound that four times as many should pass are sorted, so a task sends few
+    rows however many tasks there are; should chance, or rows that total counted and that are not there, let too few
+    pass, all are sorted."""
+    rest = [c for c in rows.columns if c != "h"]
+    best = lambda df: list(df.orderBy("h", *rest).limit(most).toLocalIterator())
+    share = 4 * most / max(total, 1)
+    if share < 1:
+        found = best(rows.where(F.col("h") < F.lit(int(-(2**63) + share * 2**64))))
+        if len(found) == most:
+            return found
+    return best(rows)

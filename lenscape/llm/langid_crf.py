@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import on_workers
+from ._common import hash_sample, on_workers
 
 UNKNOWN = "und"
 #: Documents to learn from, at most.
@@ -271,18 +271,19 @@ def predict(model: Model, texts) -> Iterator[tuple[str, float, list[int]]]:
 
 def trained(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """docs: the training rows, with doc_id, text and lang."""
-    chosen = docs.where("lang is not null and text is not null and doc_id is not null").select(
-        F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.col("doc_id").cast("long").alias("doc_id"), "lang"
+    spark = docs.sparkSession
+    known = docs.where("lang is not null and text is not null and doc_id is not null").select(
+        F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.col("doc_id").cast("long").alias("doc_id")
     )
-    ids = chosen.orderBy("h", "doc_id", "lang").limit(sample).select("doc_id").distinct()
+    ids = sorted({r.doc_id for r in hash_sample(known, sample, docs.count())})
+    chosen = spark.createDataFrame([(i,) for i in ids], "doc_id long")
     rows = (
         docs.where("lang is not null and text is not null")
         .select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-        .join(F.broadcast(ids), "doc_id", "left_semi")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "lang", F.xxhash64("text"))
+        .join(F.broadcast(chosen), "doc_id", "left_semi")
         .limit(sample)
     )
-    return fit([(r.text, r.lang) for r in rows.toLocalIterator()])
+    return fit(sorted(((r.text, r.lang) for r in rows.toLocalIterator()), key=lambda x: (len(x[0]), x)))
 
 
 PREDICTED = "doc_id long, lang_pred string, score double, words_by_lang array<long>"

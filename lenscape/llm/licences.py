@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import on_workers
+from ._common import hash_sample, on_workers
 
 UNKNOWN = "unknown"
 #: Paragraphs of the corpus to learn from, at most, and words of one that are used in the fit.
@@ -285,10 +285,10 @@ def _logistic(rows: list[tuple[int, list[str]]], ids: dict[str, int], k: int) ->
 def trained(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Takes one paragraph of each of `sample` documents at most, those of the smallest hashes."""
     one = docs.where("length(text) > 0").select(
-        F.xxhash64("text").alias("h"), F.split("text", "\n").alias("lines")
+        F.xxhash64("doc_id", "text").alias("h"), F.split("text", "\n").alias("lines")
     ).select("h", F.element_at("lines", (F.pmod("h", F.size("lines")) + 1).cast("int")).alias("line"))
-    rows = one.orderBy("h", "line").limit(sample).select(F.substring_index("line", " ", SAMPLE_WORDS).alias("line"))
-    return fit([r.line for r in rows.toLocalIterator()])
+    rows = hash_sample(one.select("h", F.substring_index("line", " ", SAMPLE_WORDS).alias("line")), sample, docs.count())
+    return fit([r.line for r in rows])
 
 
 FOUND = "doc_id long, licences array<struct<family: string, start: int, end: int, probability: double, similarity: double>>"

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import on_workers
+from ._common import hash_sample, on_workers, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens and characters of an entity, at most, in candidates of the field.
@@ -395,8 +395,8 @@ def trained(docs: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["region"])
 
     found = docs.select("text").mapInArrow(find, "region string").groupBy("region").agg(F.count(F.lit(1)).alias("n"))
-    rows = found.select("region").orderBy(F.xxhash64("region"), "region").limit(sample).toLocalIterator()
-    return fit([r.region for r in rows])
+    found = stored(found.select(F.xxhash64("region").alias("h"), "region"), "regions")
+    return fit([r.region for r in hash_sample(found, sample, found.count())])
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:

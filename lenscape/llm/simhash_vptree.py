@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER_BYTES, join_to_groups, on_workers, stored
+from ._common import LOWER_BYTES, hash_sample, join_to_groups, on_workers, stored
 
 SHINGLE = 3
 RADIUS = 3
@@ -193,7 +193,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that span the components of all links of `radius` bits."""
     spark = fps.sparkSession
     on_workers(spark)
-    sample = [r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toLocalIterator()]
+    sample = [r.fp for r in hash_sample(fps.select(F.xxhash64("fp").alias("h"), "fp"), SAMPLE, fps.count())]
     known = np.array(sample, dtype="<i8").view("<u8")
     parts = [((known >> np.uint64(32 * h)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) for h in (0, 1)]
     trees = [grow(p, radius // 2, LEAF_SAMPLE) for p in parts]

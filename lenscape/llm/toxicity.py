@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import on_workers, stored
+from ._common import hash_sample, on_workers, stored
 from .wu_manber import words
 
 #: Labelled rows to learn from, at most.
@@ -207,12 +207,11 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
     on_workers(spark)
     graded = "grade" in labels.columns
-    chosen = (
-        labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade" if graded else "toxic").cast("int").alias("grade"))
-        .where("doc_id is not null and grade is not null and grade >= 0")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "grade")
-        .limit(sample)
-    )
+    known = labels.select(
+        F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("grade" if graded else "toxic").cast("int").alias("grade"),
+    ).where("doc_id is not null and grade is not null and grade >= 0")
+    chosen = spark.createDataFrame([(r.doc_id, r.grade) for r in hash_sample(known, sample, labels.count())], "doc_id long, grade int")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     rows = stored(rows.select("doc_id", "grade", "text"), "labelled")
     n1, n0 = rows.agg(F.count_if(F.col("grade") > 0), F.count_if(F.col("grade") == 0)).first()

@@ -91,3 +91,11 @@ def test_without_rows(spark, tmp_path, monkeypatch):
     want = sorted(str(a) for a, _ in ROWS if a is None or a % 2)
     assert few.columns == docs.columns
     assert sorted(str(r.doc_id) for r in few.collect()) == sorted(str(r.doc_id) for r in many.collect()) == want
+
+
+def test_hash_sample(spark):
+    df = spark.range(1000).select(F.xxhash64("id").alias("h"), "id")
+    want = [r.id for r in df.orderBy("h", "id").limit(20).collect()]
+    for total in (0, 500, 1000, 10**9):  # the last bound lets none pass
+        assert [r.id for r in _common.hash_sample(df, 20, total)] == want
+    assert len(_common.hash_sample(df, 5000, 1000)) == 1000 and _common.hash_sample(df.limit(0), 5, 1000) == []
