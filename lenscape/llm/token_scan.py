@@ -63,13 +63,12 @@ def token_blocks(spark: SparkSession, path: str, width: int = 2, block: int = BL
     """file (its name), block (its number in the file) and data (the bytes) of every file in a folder."""
     size = block * width
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
-    cut = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size)),
-        lambda i: F.struct(i.alias("block"), F.substring(F.col("content"), (i * size + 1).cast("int"), F.lit(size)).alias("data")),
-    )
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.explode(cut).alias("c")).select(
-        "file", "c.block", "c.data"
-    )
+    numbered = files.select(
+        F.element_at(F.split("path", "/"), -1).alias("file"), "content",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("block"),
+    )
+    # a block is cut out as its row is made (generation is compiled into the projection), so one is held at a time
+    return numbered.select("file", "block", F.substring(F.col("content"), (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("data"))
 
 
 def separator_scan(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
