@@ -8,8 +8,9 @@ bitfield remembers, so that each place is left at most once. The validity of a p
 tokens' characters again, and remembered.
 
 Characters outside the vocabulary become bytes and part a text, as no merge crosses them. If no piece of the model has
-a space after another character (checked), then no merge enters a word from before its space, so words are encoded one
-by one and those met often are remembered, up to a bound.
+a space after another character (checked), then no merge enters a word from before its space; nor does one join a word
+to a mark that no piece has beside another character (looked up). So words are encoded one by one, and those met often
+are remembered, up to a bound.
 
 Null and empty texts encode as begin and end only. Texts of any length, spaces of any number, control characters and
 characters outside the vocabulary encode as the sentencepiece library does. Repeated rows give repeated results. Extra
@@ -60,7 +61,7 @@ class Codec:
         # of runs that hold no other character than the vocabulary's
         known = "".join(re.escape(p) for p in self.id_of if len(p) == 1)
         self._known_run = re.compile(f"[{known}]+", re.S)
-        self._split = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self._split = re.compile(self._parts(), re.S)
         self._pair: dict[int, bool] = {}
         self._words: dict[str, list[int]] = {}
         self.automaton = ahocorasick.Automaton()
@@ -73,6 +74,22 @@ class Codec:
             for i, p in enumerate(self.pieces)
         ]
 
+    def _parts(self) -> str:
+        """A pattern for the parts of a text that no merge leaves: words with the spaces before them, and runs of an ASCII
+        mark, or line break, that no piece has beside anything but itself or after a space."""
+        lone = set(map(chr, range(1, 127))) - {c for c in map(chr, range(127)) if c.isalnum() or c == " "}
+        for piece in self.id_of:
+            for a, b in zip(piece, piece[1:]):
+                if a != b:
+                    lone.discard(a)
+                    if a != SPACE:
+                        lone.discard(b)
+        marks = "".join(re.escape(c) for c in sorted(lone))
+        runs = "|".join(f"{re.escape(c)}+" for c in sorted(lone, key=lambda c: (c not in ".,\n", c)))
+        if not lone:
+            return f"{SPACE}*[^{SPACE}]+|{SPACE}+"
+        return f"{SPACE}*[^{SPACE}{marks}]+|{SPACE}*(?:{runs})|{SPACE}+"
+
     def merged(self, text: str) -> list[str]:
         """Encoding of a short text by the rule itself: merge the neighbours of best score, the leftmost of equals."""
         parts, score = list(text), self.score
@@ -102,8 +119,8 @@ class Codec:
         n = len(run)
         whole = self.id_of.get(run)
         at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (length, i) in self.automaton.iter(run):
-            at[end + 1 - length].append((length, i))  # shorter matches come first
+        for end, match in self.automaton.iter(run):
+            at[end + 1 - match[0]].append(match)  # shorter matches come first
         if whole is not None and at[0] and at[0][-1][0] == n:
             return [whole]
         left = 0  # the bitfield: places that end no prefix's encoding
@@ -111,13 +128,18 @@ class Codec:
         tried: list[int] = []  # of each token its rank among the matches of its place
         place = 0
         rank = len(at[0]) - 1
-        fits = self.fits
+        fits, known = self.fits, self._pair.get
         while place < n:
             matches = at[place]
+            before = ids[-1] << 32 if ids else -1
             while rank >= 0:
                 length, i = matches[rank]
-                if not (left >> (place + length)) & 1 and (not ids or fits(ids[-1], i)):
-                    break
+                if not left or not (left >> (place + length)) & 1:
+                    if before < 0:
+                        break
+                    good = known(before | i)
+                    if good or good is None and fits(ids[-1], i):
+                        break
                 rank -= 1
             if rank < 0:
                 if not ids:
