@@ -32,11 +32,15 @@ from ._common import LOWER_BYTES, hash_sample, join_to_groups, on_workers, store
 SHINGLE = 3
 RADIUS = 3
 SEED = 42
-#: Fingerprints that the upper tree is fitted on, at most, and how many of them a shard holds at least.
-SAMPLE = 16_384
-LEAF_SAMPLE = 256
-#: Points that are compared with one another without a further split.
+#: Fingerprints that a shard should hold, about; the shards of a small input; and the sampled fingerprints that fit the
+#: upper tree: so many for each shard, and at most.
+SHARD = 2_000_000
+SHARDS = 64
+SAMPLED = 256
+SAMPLE = 1_048_576
+#: Points that are compared with one another without a further split, and at one time with how many others.
 LEAF = 1_024
+WIDE = 8_192
 #: Shingles whose votes are counted at one time.
 VOTES = 65_536
 
@@ -179,24 +183,29 @@ def components(points: np.ndarray, half: int, radius: int) -> np.ndarray:
 
 
 def _compare(points: np.ndarray, rows: np.ndarray, radius: int, label: np.ndarray) -> None:
-    """All pairs among rows, a block at a time; the links go into label."""
+    """All pairs among rows, a block of LEAF by WIDE at a time; the links go into label."""
     own = points[rows]
     for at in range(0, len(rows), LEAF):
         block = own[at : at + LEAF]
-        a, b = np.nonzero(np.bitwise_count(block[:, None] ^ own[None, at:]) <= radius)
-        keep = a < b
-        if keep.any():
-            _roots(len(points), rows[at + a[keep]], rows[at + b[keep]], label)
+        for to in range(at, len(rows), WIDE):
+            a, b = np.nonzero(np.bitwise_count(block[:, None] ^ own[None, to : to + WIDE]) <= radius)
+            a, b = a + at, b + to
+            keep = a < b
+            if keep.any():
+                _roots(len(points), rows[a[keep]], rows[b[keep]], label)
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that span the components of all links of `radius` bits."""
     spark = fps.sparkSession
     on_workers(spark)
-    sample = [r.fp for r in hash_sample(fps.select(F.xxhash64("fp").alias("h"), "fp"), SAMPLE, fps.count())]
+    total = fps.count()
+    shards = max(SHARDS, -(-total // SHARD))
+    size = min(SAMPLE, SAMPLED * shards)
+    sample = [r.fp for r in hash_sample(fps.select(F.xxhash64("fp").alias("h"), "fp"), size, total)]
     known = np.array(sample, dtype="<i8").view("<u8")
     parts = [((known >> np.uint64(32 * h)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) for h in (0, 1)]
-    trees = [grow(p, radius // 2, LEAF_SAMPLE) for p in parts]
+    trees = [grow(p, radius // 2, max(1, size // shards)) for p in parts]
     offset = sum(n[0] is None for n in trees[0])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

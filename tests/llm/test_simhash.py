@@ -44,6 +44,7 @@ def test_fingerprint(text):
 @pytest.mark.parametrize("half", [0, 1])
 def test_trees_lose_no_link(half, monkeypatch):
     monkeypatch.setattr(v, "LEAF", 16)
+    monkeypatch.setattr(v, "WIDE", 40)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
     near = base.copy()
@@ -102,3 +103,35 @@ def test_documents(spark):
 
 def test_no_documents(spark):
     assert v.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_points_that_agree_in_a_half(monkeypatch):
+    """A half cannot part them; the tree over all bits takes over, and blocks compare what that leaves."""
+    monkeypatch.setattr(v, "LEAF", 8)
+    monkeypatch.setattr(v, "WIDE", 20)
+    rng = np.random.default_rng(9)
+    points = np.unique(rng.integers(0, 2**32, 150, dtype=np.uint64) << np.uint64(32) | np.uint64(12345))
+    near = points[:60] ^ (np.uint64(7) << np.uint64(40))
+    points = np.unique(np.concatenate([points, near, points[:1] ^ (np.uint64(1) << np.arange(33, 60, dtype=np.uint64))]))
+    got = v.components(points, 0, 3)
+    want = slow_components({i: int(p) for i, p in enumerate(points)})
+    assert got.tolist() == [want[i] for i in range(len(points))]
+
+
+@pytest.mark.parametrize("shards", [1, 64, 500])
+def test_links_whatever_the_shards(spark, monkeypatch, shards):
+    monkeypatch.setattr(v, "SHARDS", shards)
+    monkeypatch.setattr(v, "SAMPLED", 4)
+    rng = np.random.default_rng(shards)
+    base = rng.integers(-(2**63), 2**63, 400, dtype=np.int64)
+    flip = (np.int64(1) << rng.integers(0, 62, 400)) | (np.int64(1) << rng.integers(0, 62, 400))
+    points = np.unique(np.concatenate([base, base ^ flip]))
+    df = spark.createDataFrame([(int(p),) for p in points], "fp long")
+    roots = {r.node: r.root for r in v.connected(v.links(df)).collect()}
+    want = slow_components({int(p): int(p) % 2**64 for p in points})
+    groups = {}
+    for p, w in want.items():
+        groups.setdefault(w, set()).add(p)
+    for members in groups.values():
+        assert len({roots.get(p, p) for p in members}) == 1
+    assert len({roots.get(p, p) for p in want}) == len(groups)
