@@ -335,7 +335,7 @@ def _(spark, sf):
     return folders.children(_tree(spark, sf))
 
 
-@query("j5_zip", f"{cte('assets')} SELECT lang AS folder, sum(length(text)) AS n FROM documents GROUP BY ALL")
+@query("j5_zip", f"{cte('assets')} SELECT lang AS folder, CAST(sum(length(text)) AS BIGINT) AS n FROM documents GROUP BY ALL")
 def _(spark, sf):
     """Two arrays zipped by place: names and their lengths."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
@@ -357,7 +357,7 @@ def _hashes(spark, sf) -> DataFrame:
     return read(spark, sf, "sidecar").select(col("photo_id").alias("id"), hashing.sign_hash(col("embedding")).alias("hash"))
 
 
-@query("j7_hamming_pairs", f"WITH {_HASH} SELECT x.id AS a, y.id AS b, bit_count(xor(x.hash, y.hash)) AS distance FROM h x JOIN h y ON x.id < y.id AND bit_count(xor(x.hash, y.hash)) <= 18")
+@query("j7_hamming_pairs", f"WITH {_HASH} SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.hash, y.hash)) AS INT) AS distance FROM h x JOIN h y ON x.id < y.id AND bit_count(xor(x.hash, y.hash)) <= 18")
 def _(spark, sf):
     return hashing.close_pairs(_hashes(spark, sf), 18, bits=62)
 
@@ -377,13 +377,13 @@ def _(spark, sf):
     return _tree(spark, sf).select("path", "name", "photo_count")
 
 
-@query("a1_page_folders", """WITH assets AS (SELECT regexp_replace(url, '^[a-z]+://([^?#]*).*$', '\\1') AS path FROM pages)""" + _TREE + " SELECT path, depth, photo_count FROM tree")
+@query("a1_page_folders", """WITH assets AS (SELECT regexp_replace(url, '^[a-z]+://([^?#]*).*$', '\\1') AS path FROM pages)""" + _TREE + " SELECT path, CAST(depth AS INT) AS depth, photo_count FROM tree")
 def _(spark, sf):
     p = spark.read.parquet(f"{sf}/pages.parquet").select(F.regexp_replace("url", r"^[a-z]+://([^?#]*).*$", "$1").alias("path"))
     return folders.tree(p).select("path", "depth", "photo_count")
 
 
-@query("a2_tree_parents", f"{cte('assets')}{_TREE} SELECT path, parent_path, depth FROM tree")
+@query("a2_tree_parents", f"{cte('assets')}{_TREE} SELECT path, parent_path, CAST(depth AS INT) AS depth FROM tree")
 def _(spark, sf):
     return _tree(spark, sf).select("path", "parent_path", "depth")
 
@@ -444,7 +444,7 @@ def _fold(spark, sf) -> DataFrame:
     return progress.fold(read(spark, sf, "jobs"))
 
 
-@query("a9_total_progress", f'{cte("jobs")}{_FOLD} SELECT sum("current") AS "current", sum(total) AS total FROM fold')
+@query("a9_total_progress", f'{cte("jobs")}{_FOLD} SELECT CAST(sum("current") AS BIGINT) AS "current", CAST(sum(total) AS BIGINT) AS total FROM fold')
 def _(spark, sf):
     return progress.totals(_fold(spark, sf)).select("current", "total")
 
@@ -486,7 +486,7 @@ def taken():
 
 
 
-@query("a16_timeline", f"{cte('exif')} SELECT year({_TAKEN}) AS year, month({_TAKEN}) AS month, count(*) AS photos FROM exif GROUP BY ALL")
+@query("a16_timeline", f"{cte('exif')} SELECT CAST(year({_TAKEN}) AS INT) AS year, CAST(month({_TAKEN}) AS INT) AS month, count(*) AS photos FROM exif GROUP BY ALL")
 def _(spark, sf):
     return read(spark, sf, "exif").groupBy(F.year(taken()).alias("year"), F.month(taken()).alias("month")).agg(F.count(lit(1)).alias("photos"))
 
@@ -496,7 +496,7 @@ def _(spark, sf):
     return read(spark, sf, "exif").where("camera_make <> ''").groupBy("camera_make", "camera_model").agg(F.count(lit(1)).alias("photos"))
 
 
-@query("a16_storage_by_folder", f"{cte('assets')} SELECT regexp_extract(path, '^(.*)/', 1) AS folder, sum(size) AS bytes, count(*) AS photos FROM assets GROUP BY ALL")
+@query("a16_storage_by_folder", f"{cte('assets')} SELECT regexp_extract(path, '^(.*)/', 1) AS folder, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS photos FROM assets GROUP BY ALL")
 def _(spark, sf):
     return read(spark, sf, "assets").groupBy(F.regexp_extract("path", "^(.*)/", 1).alias("folder")).agg(F.sum("size").alias("bytes"), F.count(lit(1)).alias("photos"))
 
@@ -516,7 +516,7 @@ def _(spark, sf):
 
 @query("k1_nearest_of_many", """WITH d AS (SELECT q.vec_id AS query_id, e.vec_id AS photo_id, list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS distance
 FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, photo_id) AS rank FROM d)
-SELECT query_id, photo_id, round(distance, 6) AS distance, rank FROM r WHERE rank <= 5""")
+SELECT query_id, photo_id, round(distance, 6) AS distance, CAST(rank AS INT) AS rank FROM r WHERE rank <= 5""")
 def _(spark, sf):
     s = read(spark, sf, "sidecar")
     q = s.where("photo_id % 50 = 0").select(col("photo_id").alias("query_id"), "embedding")
@@ -738,7 +738,7 @@ def _(spark, sf):
     return progress.debounced(e, 600_000, "user_id").select("event_id")
 
 
-@query("s31_empty_progress", "SELECT unnest(['scan', 'phash', 'embedding']) AS task_type, 0 AS \"current\", 0 AS total, 0 AS items")
+@query("s31_empty_progress", "SELECT unnest(['scan', 'phash', 'embedding']) AS task_type, 0::BIGINT AS \"current\", 0::BIGINT AS total, 0::BIGINT AS items")
 def _(spark, sf):
     return progress.empty(spark).drop("failed")
 
@@ -900,7 +900,7 @@ def _(spark, sf):
     return serving.thumbnails(q, read(spark, sf, "assets"), _present(spark, sf)).drop("content_type", "cache_control")
 
 
-@query("snk10_tables", "SELECT unnest(['photos', 'photo_exif', 'photo_embedding', 'photo_phash']) AS name, unnest([16, 14, 4, 4]) AS columns")
+@query("snk10_tables", "SELECT unnest(['photos', 'photo_exif', 'photo_embedding', 'photo_phash']) AS name, unnest([16, 14, 4, 4]::BIGINT[]) AS columns")
 def _(spark, sf):
     from ..schema import TABLES, create_tables
 
@@ -1024,6 +1024,61 @@ def _(spark, sf):
     return progress.retained(_jobs(spark, sf)).select("seq", "task_type", "state")
 
 
+@query("st2_delivery", f"{cte('jobs')} SELECT count(*) AS delivered, count(DISTINCT seq) AS events FROM jobs")
+def _(spark, sf):
+    """All events of a stream, handed to a sink in batches, each once."""
+    from ..streaming.progress import delivered
+
+    def use(stream):
+        seen: list = []
+        root = tempfile.mkdtemp(prefix="delivered")
+        q = delivered(stream, lambda b, _: seen.extend(r.seq for r in b.select("seq").collect()), root).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+            shutil.rmtree(root, ignore_errors=True)
+        return spark.createDataFrame([(len(seen), len(set(seen)))], "delivered long, events long")
+
+    return _streamed(spark, sf, use)
+
+
+@query("st9_pools", "SELECT unnest(['scan', 'phash', 'embedding']) AS task, unnest([1, 4, 1]::BIGINT[]) AS jobs")
+def _(spark, sf):
+    from ..streaming.progress import POOLS
+
+    return spark.createDataFrame(list(POOLS.items()), "task string, jobs long")
+
+
+@query("st10_micro_batches", f"{cte('assets')} SELECT CAST(ceil(count(*) / 16.0) AS BIGINT) AS batches, count(*) AS files, max(least(16, 16))::BIGINT AS largest FROM assets WHERE embedding_status = 'pending'")
+def _(spark, sf):
+    """How a stand-in model is called: each vector says how many files came with it."""
+    from .ingest import embedded
+
+    a = read(spark, sf, "assets")
+    work = catalog.by_ids(a, catalog.pending(a)).coalesce(1)
+    sizes = embedded(work, lambda paths: [[1.0 / len(paths), float(len(paths))]] * len(paths)).select(
+        col("embedding")[0].cast("double").alias("share"), col("embedding")[1].cast("long").alias("n")
+    )
+    return sizes.agg(F.round(F.sum("share")).cast("long").alias("batches"), F.count(lit(1)).alias("files"), F.max("n").alias("largest"))
+
+
+@query("src8_heif_decode", f"{cte('assets')} SELECT id, CAST(3 AS BIGINT) AS channels FROM assets WHERE {_ends(media.HEIF)}")
+def _(spark, sf):
+    """With a stand-in for the codec: files that are HEIF by name reach it."""
+    def run(batches):
+        import numpy as np
+
+        from .ingest import Tools
+
+        tools = Tools(heif=lambda data: np.zeros((2, 2, 3), np.uint8))
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "channels": [tools.heif(p.encode()).shape[2] for p in b["path"]]})
+
+    a = read(spark, sf, "assets").where(media.decoder(col("path")) == "heif")
+    return a.select("id", "path").mapInPandas(run, "id long, channels long")
+
+
 # --- declared by the reference's roadmap only ------------------------------------------------------------------------
 
 
@@ -1042,7 +1097,7 @@ def _(spark, sf):
     return read(spark, sf, "exif").select("photo_id", F.round(km, 3).alias("km")).where("km <= 4000")
 
 
-@query("d_on_this_day", f"{cte('exif')} SELECT photo_id, year({_TAKEN}) AS year FROM exif WHERE month({_TAKEN}) = 3 AND day({_TAKEN}) = 12")
+@query("d_on_this_day", f"{cte('exif')} SELECT photo_id, CAST(year({_TAKEN}) AS INT) AS year FROM exif WHERE month({_TAKEN}) = 3 AND day({_TAKEN}) = 12")
 def _(spark, sf):
     return read(spark, sf, "exif").where((F.month(taken()) == 3) & (F.dayofmonth(taken()) == 12)).select("photo_id", F.year(taken()).alias("year"))
 
@@ -1057,6 +1112,33 @@ def _(spark, sf):
     return folders.totals(_tree(spark, sf)).select("path", "total_count")
 
 
+@query("d_smart_album", f"{cte('assets', 'exif')} SELECT id FROM assets JOIN exif ON photo_id = id WHERE (camera_make = 'Canon' AND iso >= 400) OR (raw_format = 'NEF' AND width > height)")
+def _(spark, sf):
+    """Filters combined by AND and OR."""
+    rows = catalog.with_sidecar(read(spark, sf, "assets"), read(spark, sf, "exif")).where("exif is not null")
+    canon = (col("exif.camera_make") == "Canon") & (col("exif.iso") >= 400)
+    return rows.where(canon | ((col("raw_format") == "NEF") & (col("width") > col("height")))).select("id")
+
+
+@query("d_favourites", f"{cte('assets')} SELECT id, id % 25 = 3 AS favourite FROM assets")
+def _(spark, sf):
+    a = read(spark, sf, "assets")
+    marks = navigation.toggled(a.limit(0), a.where("id % 25 = 3")).withColumn("favourite", lit(True))
+    return a.select("id").join(marks, "id", "left").select("id", F.coalesce("favourite", lit(False)).alias("favourite"))
+
+
+@query("d_zero_shot_tags", """WITH t AS (SELECT vec_id AS tag, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IN (10, 20, 30)),
+s AS (SELECT e.vec_id AS photo_id, t.tag, list_distance(CAST(e.embedding AS DOUBLE[]), t.v) AS d FROM embeddings e, t)
+SELECT photo_id, arg_min(tag, d) AS tag, round(exp(-min(d)) / sum(exp(-d)), 6) AS confidence FROM s GROUP BY photo_id""")
+def _(spark, sf):
+    """The nearest of a few tags' vectors, with the share of its weight."""
+    s = read(spark, sf, "sidecar")
+    tags = s.where("photo_id IN (10, 20, 30)").select(col("photo_id").alias("query_id"), "embedding")
+    d = vectors.all_distances(s, tags).groupBy("photo_id")
+    share = F.exp(-F.min("distance")) / F.sum(F.exp(-col("distance")))
+    return d.agg(F.min_by("query_id", "distance").alias("tag"), F.round(share, 6).alias("confidence"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Semantic search: the nearest stored vectors of a query vector, joined to the catalog with EXIF, in order."""
     a = catalog.with_sidecar(read(spark, sf_dir, "assets"), read(spark, sf_dir, "exif"))
