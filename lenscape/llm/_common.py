@@ -36,6 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/lenscape-{spark.sparkContext.applicationId}"
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that this application's operators keep in the shared folder. Results that are not written out
+    by then are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read back: it outlives lost executors and is computed once."""
     spark = df.sparkSession

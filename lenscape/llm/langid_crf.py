@@ -29,11 +29,11 @@ from ._common import hash_sample, on_workers
 
 UNKNOWN = "und"
 #: Documents to learn from, at most.
-SAMPLE = 1_200
+SAMPLE = 600
 #: Texts of the sample that a feature must occur in, and a word for the lexicon.
 LEAST = 2
 LEXICON_LEAST = 3
-STEPS = 40
+STEPS = 30
 PENALTY = 1e-6
 #: Words whose features a worker remembers; then it starts afresh.
 WORDS_HELD = 300_000

@@ -23,7 +23,7 @@ from ._common import LOWER_BYTES, on_workers, stored
 WINDOW = 10
 BLOCK = 2
 #: Windows in the tables at one time; more benchmark windows are searched in several passes over the documents.
-WINDOWS_A_PASS = 400_000
+WINDOWS_A_PASS = 200_000
 
 _WORD = set(b"0123456789abcdefghijklmnopqrstuvwxyz") | set(range(128, 256))
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
