@@ -3,14 +3,12 @@ share, cutting lineage, and joins that hold with very frequent keys."""
 
 from __future__ import annotations
 
-import os
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_REPO = str(Path(__file__).resolve().parents[2])
+from ..workers import find_package as on_workers  # noqa: F401  the operators take it from here
 
 #: A key is frequent if it has at least this share of the rows, so that at most
 #: HOT_KEYS keys are; that bounds what `join_to_groups` broadcasts.
@@ -21,13 +19,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_BYTES = bytes(range(65)) + LOWER.encode() + bytes(range(91, 256))
 
 
-def on_workers(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package (a cluster gets it by --py-files)."""
-    env = spark.sparkContext.environment
-    if _REPO not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [_REPO, env.get("PYTHONPATH", "")]))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; one of our own only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
