@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import base64
-import shutil
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import media
 from ..operators import catalog, folders, hashing, navigation, progress, serving, upsert, vectors
 from ..sources import files
+from ..workers import remove, shared_folder
 from .assets import cte, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,18 +53,19 @@ BASE = "/library/photos"
 @query("src1_discover", f"{cte('assets')} SELECT path AS relative_path, name, CAST(length(path) AS BIGINT) AS size FROM assets WHERE id < 60 AND {_ends(ALL)}")
 def _(spark, sf):
     """A walk over files made for it: small ones named as the first assets, among hidden and foreign ones."""
-    root = _made_files(spark, sf)
+    folder = shared_folder(spark, "walk")
     try:
-        rows = files.discover(spark, root).select("relative_path", "name", "size").collect()
+        rows = files.discover(spark, _made_files(spark, sf, folder)).select("relative_path", "name", "size").collect()
     finally:
-        shutil.rmtree(root, ignore_errors=True)
+        remove(spark, folder)
     return spark.createDataFrame(rows, "relative_path string, name string, size long")
 
 
-def _made_files(spark, sf) -> str:
+def _made_files(spark, sf, folder: str) -> str:
     import os
+    from urllib.parse import urlparse
 
-    root = tempfile.mkdtemp(prefix="walk")
+    root = urlparse(folder).path  # the walk is one of mounted file systems
     rows = [r.path for r in read(spark, sf, "assets").where("id < 60").select("path").collect()]
     for p in [*rows, ".hidden.jpg", ".hid/a.jpg", "notes.txt", "a/.b/c.png"]:
         os.makedirs(os.path.dirname(f"{root}/{p}"), exist_ok=True)
@@ -904,15 +903,15 @@ def _(spark, sf):
 def _(spark, sf):
     from ..schema import TABLES, create_tables
 
-    root = tempfile.mkdtemp(prefix="tables")
-    database = "made_" + base64.b16encode(root[-6:].encode()).decode().lower()
+    root = shared_folder(spark, "tables")
+    database = f"made_{root[-12:]}"
     spark.sql(f"CREATE DATABASE {database} LOCATION '{root}'")
     try:
         made = create_tables(spark, database) + create_tables(spark, database)
         rows = [(n, len(spark.table(f"{database}.{n}").columns)) for n in made]
     finally:
         spark.sql(f"DROP DATABASE {database} CASCADE")
-        shutil.rmtree(root, ignore_errors=True)
+        remove(spark, root)
     assert len(rows) == len(TABLES)
     return spark.createDataFrame(rows, "name string, columns long")
 
@@ -948,13 +947,13 @@ def _streamed(spark, sf, use):
     from ..schema import EVENT
     from ..streaming.progress import events
 
-    root = tempfile.mkdtemp(prefix="events")
+    root = shared_folder(spark, "events")
     try:
         j = read(spark, sf, "jobs").withColumn("job_id", lit("run"))
         j.select(*(col(f.name).cast(f.dataType) for f in EVENT)).repartitionByRange(3, "seq").write.parquet(f"{root}/in")
         return use(events(spark, f"{root}/in"))
     finally:
-        shutil.rmtree(root, ignore_errors=True)
+        remove(spark, root)
 
 
 def _last_state(spark, stream) -> DataFrame:
@@ -966,17 +965,23 @@ def _last_state(spark, stream) -> DataFrame:
         if got := batch.collect():
             rows[:] = got
 
-    spark.conf.set("spark.sql.streaming.forceDeleteTempCheckpointLocation", "true")
     _run(folded(stream), keep)
     return spark.createDataFrame(rows, STATE).drop("run")
 
 
 def _run(df: DataFrame, keep, mode: str = "update") -> None:
-    q = df.writeStream.foreachBatch(keep).outputMode(mode).start()
+    _drain(df.sparkSession, df.writeStream.foreachBatch(keep).outputMode(mode))
+
+
+def _drain(spark, writer) -> None:
+    """Runs a stream's writer until it has caught up, with a checkpoint of its own in the shared folder."""
+    folder = shared_folder(spark, "stream")
+    q = writer.option("checkpointLocation", folder).start()
     try:
         q.processAllAvailable()
     finally:
         q.stop()
+        remove(spark, folder)
 
 
 @query("st4_embedding_rule", f'{cte("jobs")}{_FOLD} SELECT "current", total FROM fold WHERE task_type = \'embedding\'')
@@ -1002,11 +1007,7 @@ def _(spark, sf):
 
     def use(stream):
         calls: list = []
-        q = on_completed(stream, lambda: calls.append(1)).start()
-        try:
-            q.processAllAvailable()
-        finally:
-            q.stop()
+        _drain(spark, on_completed(stream, lambda: calls.append(1)))
         return spark.createDataFrame([(bool(calls),)], "refresh boolean")
 
     return _streamed(spark, sf, use)
@@ -1031,13 +1032,13 @@ def _(spark, sf):
 
     def use(stream):
         seen: list = []
-        root = tempfile.mkdtemp(prefix="delivered")
+        root = shared_folder(spark, "delivered")
         q = delivered(stream, lambda b, _: seen.extend(r.seq for r in b.select("seq").collect()), root).start()
         try:
             q.processAllAvailable()
         finally:
             q.stop()
-            shutil.rmtree(root, ignore_errors=True)
+            remove(spark, root)
         return spark.createDataFrame([(len(seen), len(set(seen)))], "delivered long, events long")
 
     return _streamed(spark, sf, use)
