@@ -118,7 +118,7 @@ def _side(c: str) -> str:
     return "" if not c else "9" if c in "0123456789" else "a" if c.isalpha() else "_" if c.isspace() else c
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=20_000)
 def _span_features(span: str) -> tuple[str, ...]:
     digits = _NO_DIGIT.sub("", span)
     shape = re.sub(r"[0-9]", "9", re.sub(r"[A-Za-z]+", "a", span))
@@ -143,37 +143,40 @@ def _span_features(span: str) -> tuple[str, ...]:
     )
 
 
+def token_cuts(text: str, start: int, end: int) -> list[int]:
+    return [m.start() for m in _TOKEN.finditer(text, start, end)] + [end]
+
+
+def segments_from(text: str, cuts: list[int], i: int) -> Iterator[tuple[int, tuple[str, ...], bool]]:
+    """The segments that begin with token i: its end, its features, and whether it is a single token outside entities."""
+    token = text[cuts[i] : cuts[i + 1]]
+    yield i + 1, ("out", f"out {_side(token[0])}", f"out {_side(token[0])} {min(len(token), 20)}"), True
+    if not (token[0].isascii() and (token[0].isalnum() or token[0] in "+(")):
+        return
+    for j in range(i + 1, min(i + MAX_TOKENS, len(cuts) - 1) + 1):
+        a, b = cuts[i], cuts[j]
+        if b - a > MAX_CHARS:
+            return
+        span = text[a:b]
+        if span[-1].isascii() and span[-1].isalnum() and _TRIGGER.search(span):
+            yield j, (*_span_features(span), f"left {_side(text[a - 1 : a])}", f"right {_side(text[b : b + 1])}"), False
+
+
 class Lattice:
-    """A region's tokens and its segments: single tokens outside entities, and candidates."""
+    """All segments of a region, for training."""
 
     def __init__(self, text: str, start: int, end: int):
-        self.cuts = [m.start() for m in _TOKEN.finditer(text, start, end)] + [end]
+        self.cuts = token_cuts(text, start, end)
         self.starts: list[int] = []
         self.ends: list[int] = []
         self.features: list[tuple[str, ...]] = []
         self.outside: list[bool] = []
-        cuts = self.cuts
-        for i in range(len(cuts) - 1):
-            token = text[cuts[i] : cuts[i + 1]]
-            self._add(i, i + 1, ("out", f"out {_side(token[0])}", f"out {_side(token[0])} {min(len(token), 20)}"), True)
-            if not (token[0].isascii() and (token[0].isalnum() or token[0] in "+(")):
-                continue
-            for j in range(i + 1, min(i + MAX_TOKENS, len(cuts) - 1) + 1):
-                a, b = cuts[i], cuts[j]
-                if b - a > MAX_CHARS:
-                    break
-                span = text[a:b]
-                if not (span[-1].isascii() and span[-1].isalnum()) or not _TRIGGER.search(span):
-                    continue
-                left = _side(text[a - 1 : a])
-                right = _side(text[b : b + 1])
-                self._add(i, j, (*_span_features(span), f"left {left}", f"right {right}"), False)
-
-    def _add(self, start: int, end: int, features: tuple[str, ...], outside: bool) -> None:
-        self.starts.append(start)
-        self.ends.append(end)
-        self.features.append(features)
-        self.outside.append(outside)
+        for i in range(len(self.cuts) - 1):
+            for j, features, outside in segments_from(text, self.cuts, i):
+                self.starts.append(i)
+                self.ends.append(j)
+                self.features.append(features)
+                self.outside.append(outside)
 
 
 LABELS = 1 + len(KINDS)
@@ -185,52 +188,47 @@ class Model:
     def __init__(self, ids: dict[str, int], weights: np.ndarray, transitions: np.ndarray):
         self.ids, self.weights, self.transitions = ids, weights, transitions
 
+    def score(self, features: tuple[str, ...], outside: bool) -> np.ndarray:
+        """Of a segment by label; minus infinity where a label is not for it."""
+        own = [k for f in features if (k := self.ids.get(f)) is not None]
+        s = self.weights[own].sum(axis=0) if own else np.zeros(LABELS)
+        if outside:
+            s[1:] = -np.inf
+        else:
+            s[0] = -np.inf
+        return s
+
     def scores(self, lattice: Lattice) -> np.ndarray:
-        """Of every segment by label; minus infinity where a label is not for it."""
-        out = np.full((len(lattice.starts), LABELS), -np.inf)
-        get = self.ids.get
-        for i, fs in enumerate(lattice.features):
-            own = [k for f in fs if (k := get(f)) is not None]
-            s = self.weights[own].sum(axis=0) if own else np.zeros(LABELS)
-            if lattice.outside[i]:
-                out[i, 0] = s[0]
-            else:
-                out[i, 1:] = s[1:]
-        return out
+        return np.array([self.score(f, o) for f, o in zip(lattice.features, lattice.outside, strict=True)])
 
     def decode(self, text: str, start: int, end: int) -> list[tuple[str, int, int]]:
-        """The best segmentation's entities."""
-        lattice = Lattice(text, start, end)
-        scores = self.scores(lattice)
-        n = len(lattice.cuts) - 1
+        """The best segmentation's entities. Segments are made and scored as their first token is reached, and not kept,
+        so memory is a few numbers for each token."""
+        cuts = token_cuts(text, start, end)
+        n = len(cuts) - 1
         best = np.full((n + 1, LABELS), -np.inf)
         best[0, 0] = 0.0
-        back: dict = {}
-        a = self.transitions
-        reach: dict[int, tuple] = {}
-        for k in sorted(range(len(scores)), key=lambda k: (lattice.starts[k], lattice.ends[k])):
-            s, e = lattice.starts[k], lattice.ends[k]
-            if s not in reach:  # all segments that end at s have been seen
-                into = best[s][:, None] + a
-                reach[s] = (into.max(axis=0), into.argmax(axis=0))
-            value, source = reach[s]
-            total = value + scores[k]
-            for y in np.flatnonzero(total > best[e]):
-                best[e, y] = total[y]
-                back[e, int(y)] = (k, int(source[y]))
+        back = np.zeros((n + 1, LABELS, 2), np.int32)  # where the best segment that ends here begins, and the label before
+        gain = np.zeros((n + 1, LABELS))  # its score
+        outside = np.zeros(n + 1)  # sums of the scores of single tokens
+        for i in range(n):
+            into = best[i][:, None] + self.transitions
+            value, source = into.max(axis=0), into.argmax(axis=0)
+            for j, features, single in segments_from(text, cuts, i):
+                own = self.score(features, single)
+                if single:
+                    outside[i + 1] = outside[i] + own[0]
+                total = value + own
+                for y in np.flatnonzero(total > best[j]):
+                    best[j, y], gain[j, y] = total[y], own[y]
+                    back[j, y] = i, source[y]
         out = []
         at, y = n, int(best[n].argmax())
-        outside = np.zeros(n)
-        for k in range(len(scores)):
-            if lattice.outside[k]:
-                outside[lattice.starts[k]] = scores[k, 0]
         while at:
-            k, previous = back[at, y]
-            if y:
-                s = lattice.starts[k]
-                if scores[k, y] - outside[s:at].sum() >= MARGIN:
-                    out.append((KINDS[y - 1], lattice.cuts[s], lattice.cuts[at]))
-            at, y = lattice.starts[k], previous
+            begin, before = map(int, back[at, y])
+            if y and gain[at, y] - (outside[at] - outside[begin]) >= MARGIN:
+                out.append((KINDS[y - 1], cuts[begin], cuts[at]))
+            at, y = begin, before
         return out[::-1]
 
 

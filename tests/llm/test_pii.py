@@ -167,3 +167,16 @@ def test_query(spark, sf):
         assert r.base_sha256 == hashlib.sha256(x.listed(base).encode()).hexdigest()
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == s[0] for s in base) for k in x.KINDS)
         assert set(filter(None, x.listed(base).split(","))) <= set(r.spans.split(","))
+
+
+def test_long_region_in_bounded_memory():
+    import tracemalloc
+
+    rng = random.Random(8)
+    model = x.fit([t[a - 1 : b + 1] for _, t in corpus(120, 9) for t in [f" {t} "] for a, b in x.regions(t)])
+    text = " ".join(str(rng.randrange(10**6)) for _ in range(3000))
+    assert x.regions(text) == [(0, len(text))]
+    tracemalloc.start()
+    model.decode(text, 0, len(text))
+    assert tracemalloc.get_traced_memory()[1] < 40e6
+    tracemalloc.stop()
