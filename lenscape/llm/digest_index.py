@@ -54,6 +54,14 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
 
 
+    def compacted(self, path: str) -> DigestIndex:
+        """The same entries in a new folder, one sorted file a bucket however many batches came, so that joins need no
+        sort of the index."""
+        new = DigestIndex(self.spark, path, self.buckets)
+        new.append(self.entries())
+        return new
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, row (tells repeated rows apart) and the SHA-256 of the normalised whole text."""
     return docs.select(

@@ -53,6 +53,10 @@ def test_later_batches(spark, tmp_path):
     assert {r.doc_id: (r.known, r.kept) for r in third} == {8: (True, False), 9: (False, True)}
     assert {r.digest for r in again.entries().collect()} == {sha(t) for t in ("a", "b", "c", "new")}
     assert again.entries().count() == 4
+    small = again.compacted(f"file://{tmp_path}/compacted")
+    assert sorted(small.entries().collect()) == sorted(again.entries().collect())
+    assert len(list((tmp_path / "compacted").glob("part-*"))) <= 4
+    assert not any(r.kept for r in d.deduplicate(frame(spark, [(20, "C")]), small).collect())
 
 
 def test_no_documents(spark, tmp_path):

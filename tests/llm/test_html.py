@@ -1,5 +1,9 @@
 import re
-from html import unescape
+from html import escape, unescape
+from html.parser import HTMLParser
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from lenscape.llm import html_template as h
 
@@ -90,3 +94,28 @@ def test_sample_files(spark, sf):
         want = [" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
         assert got[r.page_id].text == " ".join(w for w in want if w)
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["p", "div", "li", "b", "i", "h2", "td"]), st.text(alphabet="ab &é\n", max_size=8)), max_size=8))
+def test_nested_elements_against_the_library_parser(parts):
+    """Well-formed markup: the texts in order, blocks apart, inline elements together."""
+    page = "<article>" + "".join(f"<{t}>{escape(x)}</{t}>" for t, x in parts) + "</article>"
+
+    class Slow(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out = ""
+
+        def handle_starttag(self, tag, attrs):
+            self.out += "" if tag in "bi" else " "
+
+        handle_endtag = lambda self, tag: self.handle_starttag(tag, ())
+
+        def handle_data(self, data):
+            self.out += data
+
+    slow = Slow()
+    slow.feed(page)
+    slow.close()
+    assert text(page) == " ".join(slow.out.split())

@@ -135,3 +135,12 @@ def test_links_whatever_the_shards(spark, monkeypatch, shards):
     for members in groups.values():
         assert len({roots.get(p, p) for p in members}) == 1
     assert len({roots.get(p, p) for p in want}) == len(groups)
+
+
+def test_sample_files(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    fps = {a: slow_fingerprint(t) for a, t in sorted(texts.items())}
+    want = slow_components(fps)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in v.query(spark, sf).collect()}
+    assert got == {a: (f"{fps[a]:016x}", want[a]) for a in texts}
+    assert len(set(want.values())) < len(want)

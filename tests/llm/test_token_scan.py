@@ -74,3 +74,13 @@ def test_torn_file(spark):
     blocks = spark.createDataFrame([("a", 0, b"123")], "file string, block long, data binary")
     with pytest.raises(Exception, match="multiple"):
         t.separator_scan(blocks, 1, 2).collect()
+
+
+def test_sample_files(spark, sf):
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = {r.doc_id: len(e.encode_ordinary(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = t.query(spark, sf).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == want and len(got) == len(want)
+    starts = sorted((r.file, r.start, r.n_tokens) for r in got)
+    assert all(a[0] != b[0] or a[1] + a[2] + 1 == b[1] for a, b in zip(starts, starts[1:]))
