@@ -61,7 +61,7 @@ def planted():
 def check(spark, planted, **kw):
     docs, items = planted
     df = spark.createDataFrame([(a, t, 1, "x") for a, t in docs], "doc_id long, text string, row int, items string").repartition(3)
-    b = spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    b = spark.createDataFrame([*items, (None, docs[0][1])], "item_id long, text string").repartition(2)
     got = [(str(r.doc_id), r.n_words, r.n_hit, r["items"]) for r in w.contamination(df, b, **kw).collect()]
     want = [(str(a), *slow(t, items)) for a, t in docs]
     assert sorted(got) == sorted(want)
