@@ -73,9 +73,12 @@ def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
     more are joined by sort-merge."""
     rows = stored(rows.select("row"), "rows")
     few = rows.count() <= SENT_ROWS
-    own = docs.withColumn("_row", F.monotonically_increasing_id())
-    gone = rows.withColumnRenamed("row", "_row")
-    return own.join(F.broadcast(gone) if few else gone.hint("merge"), "_row", "left_anti").select(*docs.columns)
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    own = docs.withColumn(name, F.monotonically_increasing_id())
+    gone = rows.withColumnRenamed("row", name)
+    return own.join(F.broadcast(gone) if few else gone.hint("merge"), name, "left_anti").select(*docs.columns)
 
 
 def hash_sample(rows: DataFrame, most: int, total: int) -> list:

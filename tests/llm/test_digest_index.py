@@ -93,7 +93,7 @@ def test_without_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(_common, "SENT_ROWS", 0)
     many = _common.without_rows(docs, some)
     want = sorted(str(a) for a, _ in ROWS if a is None or a % 2)
-    assert few.columns == docs.columns
+    assert few.columns == docs.columns and {r.row for r in few.collect()} == {5}
     assert sorted(str(r.doc_id) for r in few.collect()) == sorted(str(r.doc_id) for r in many.collect()) == want
 
 
