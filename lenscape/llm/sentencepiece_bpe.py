@@ -34,8 +34,8 @@ from ._common import on_workers
 
 SPACE = "▁"
 #: Words and pairs whose results a worker remembers; then it starts afresh.
-WORDS_HELD = 400_000
-PAIRS_HELD = 1_000_000
+WORDS_HELD = 250_000
+PAIRS_HELD = 500_000
 
 
 class Codec:

@@ -42,7 +42,7 @@ STEPS = 300
 LEAST = 8
 SCALING = 0.35
 #: Words whose weights a worker remembers; then it starts afresh.
-WORDS_HELD = 300_000
+WORDS_HELD = 150_000
 
 
 def features(word: bytes) -> list[str]:
