@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lenscape.llm import digest_index, sentencepiece_bpe, simhash_vptree, toxicity, wu_manber
+from lenscape.llm import digest_index, near_copies, sentencepiece_bpe, toxicity, wu_manber
 from lenscape.llm._common import shared_dir, table, without_rows
 
 
@@ -24,8 +24,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked fingerprints the document with the smallest doc_id."""
-    return without_rows(docs, simhash_vptree.near_duplicates(docs).where(~F.col("first")))
+    """Of each component of documents linked by a similarity of 0.8 in five-word shingles the one with the smallest
+    doc_id."""
+    return without_rows(docs, near_copies.near_copies(docs))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
