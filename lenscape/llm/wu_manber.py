@@ -5,8 +5,9 @@ words: a shift table says how many words the search may advance past a block, th
 give the test strings, and direct comparison confirms an occurrence.
 
 Texts are lower-cased in A-Z only; words are runs of other characters than ASCII punctuation, space and control.
-Null and empty texts have no words; an item without words has no window and occurs nowhere, and one without an id is left
-out. Equal items all count.
+Null and empty texts have no words; an item without words has no window and occurs nowhere. Equal items all count. Items
+without an id are left out unless `nameless`: then their windows hit words as others do, and all of them together are one
+item, null, that a digest leaves out, as in the SQL. The query and the pipeline search them.
 Repeated rows give repeated results. Extra columns are not read.
 """
 
@@ -83,11 +84,16 @@ class Matcher:
             end += 1
 
 
+def _by_id(item: int | None) -> tuple:
+    """Null after all numbers."""
+    return item is None, item or 0
+
+
 def matchers(item_windows: list[tuple[tuple[bytes, ...], int]]) -> list[Matcher]:
     by_length: dict[int, dict] = {}
     for pattern, item in item_windows:
         by_length.setdefault(len(pattern), {}).setdefault(pattern, set()).add(item)
-    return [Matcher(k, {p: tuple(sorted(v)) for p, v in found.items()}) for k, found in sorted(by_length.items())]
+    return [Matcher(k, {p: tuple(sorted(v, key=_by_id)) for p, v in found.items()}) for k, found in sorted(by_length.items())]
 
 
 def scan(row: list[bytes], tables: list[Matcher]) -> tuple[list[tuple[int, int]], set]:
@@ -125,7 +131,7 @@ def _search_pass(rows: DataFrame, tables, everything: bool) -> DataFrame:
                 own = words(text.as_py())
                 spans, items = scan(own, made)
                 if everything or spans:
-                    out.append((doc_id.as_py(), row.as_py(), len(own), [s for s, _ in spans], [e for _, e in spans], sorted(items)))
+                    out.append((doc_id.as_py(), row.as_py(), len(own), [s for s, _ in spans], [e for _, e in spans], sorted(items, key=_by_id)))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], names=_NAMES
@@ -138,10 +144,10 @@ _NAMES = ["doc_id", "row", "n_words", "starts", "ends", "items"]
 _TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
 
 
-def _passes(benchmark: DataFrame, most: int) -> Iterator[list]:
+def _passes(benchmark: DataFrame, most: int, nameless: bool) -> Iterator[list]:
     """The items' windows, a bounded number at a time."""
     held: list = []
-    for r in benchmark.where("item_id is not null").select(F.col("item_id").cast("long"), "text").toLocalIterator():
+    for r in (benchmark if nameless else benchmark.where("item_id is not null")).select(F.col("item_id").cast("long"), "text").toLocalIterator():
         for w in windows(words(r[1])):
             held.append((w, r[0]))
             if len(held) >= most:
@@ -150,7 +156,7 @@ def _passes(benchmark: DataFrame, most: int) -> Iterator[list]:
     yield held
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, windows_a_pass: int = WINDOWS_A_PASS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, windows_a_pass: int = WINDOWS_A_PASS, nameless: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, starts and ends (of runs of hit words), items (item_ids in order of
     number), n_hit. The driver holds `windows_a_pass` benchmark windows at most; a larger benchmark takes more
     passes over the documents, whose findings are put together by document."""
@@ -158,7 +164,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, windows_a_pass: int = W
     on_workers(spark)
     rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text")
     found = None
-    for held in _passes(benchmark, windows_a_pass):
+    for held in _passes(benchmark, windows_a_pass, nameless):
         tables = spark.sparkContext.broadcast(matchers(held))
         one = _search_pass(rows, tables, everything=found is None)
         found = one if found is None else stored(found, "hits").unionByName(one)
@@ -169,12 +175,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, windows_a_pass: int = W
     return found.withColumn("n_hit", hit)
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, windows_a_pass: int = WINDOWS_A_PASS) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, windows_a_pass: int = WINDOWS_A_PASS, nameless: bool = False) -> DataFrame:
     """The rows of docs, all columns, in which no benchmark window occurs: a filter for each pass, no shuffle."""
     spark = docs.sparkSession
     on_workers(spark)
     at = docs.columns.index("text")
-    for held in _passes(benchmark, windows_a_pass):
+    for held in _passes(benchmark, windows_a_pass, nameless):
         docs = _clean_of(docs, spark.sparkContext.broadcast(matchers(held)), at)
     return docs
 
@@ -217,7 +223,7 @@ def digest_of(items) -> F.Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: whole documents against whole benchmark items."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), nameless=True)
     return found.select(
         "doc_id",
         "n_words",

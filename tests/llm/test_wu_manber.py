@@ -88,3 +88,25 @@ def test_nothing(spark):
 def test_digest(spark):
     df = spark.createDataFrame([([2, 10, 1],), ([],)], "items array<long>").select(w.digest_of("items"))
     assert [r[0] for r in df.collect()] == [hashlib.sha256(x).hexdigest() for x in (b"1,10,2", b"")]
+
+
+def test_items_without_an_id_against_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    pipeline = pytest.importorskip("corpus_pipeline")
+    item = "one two three four five six seven eight nine ten eleven"
+    docs = [(1, f"a {item} b"), (2, f"{item} solo"), (3, "nothing"), (4, "solo"), (5, None)]
+    items = [(None, item), (None, "only here"), (7, "solo"), (8, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = w.query(spark, str(tmp_path))
+    want = con.execute(w.SQL)
+    names = [d[0] for d in want.description]
+    assert sorted(tuple(r) for r in got.select(names).collect()) == sorted(want.fetchall())
+    assert {r.doc_id for r in got.where("contaminated").collect()} == {1, 2, 4}
+    kept = pipeline.drop_leaks(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+    assert {r.doc_id for r in kept.collect()} == {3, 5}
+    many = w.contamination(*(spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark")), windows_a_pass=1, nameless=True)
+    assert {r.doc_id: (r.n_hit, r["items"]) for r in many.collect()} == {1: (11, [None]), 2: (12, [7, None]), 3: (0, []), 4: (1, [7]), 5: (0, [])}
