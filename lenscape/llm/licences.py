@@ -131,6 +131,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "SPDX-License-Identifier: CC-BY-ND-4.0",
     ),
     "Proprietary": (
+        "All rights reserved.",
         "All rights reserved. No part of this publication may be reproduced without prior written permission.",
         "This software is confidential and proprietary information; unauthorized copying is strictly prohibited.",
     ),

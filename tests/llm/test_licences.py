@@ -74,3 +74,19 @@ def test_sample_files(spark, sf):
     for r in x.query(spark, sf).collect():
         want = [m.span() for m in re.finditer(r"(?m)^(Released under|Licensed under|This work is licensed under) .*$", texts[r.doc_id])]
         assert [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s] == want
+
+
+def test_short_lines(model):
+    for text in ("All rights reserved.", "ALL RIGHTS RESERVED", "Copyright 2020. All rights reserved."):
+        assert model.classify(text)[0] == "Proprietary", text
+    for text in ("all rights", "rights reserved", "he reserved all seats", "all human rights", "reserved"):
+        assert model.classify(text)[0] == x.UNKNOWN, text
+
+
+def test_short_lines_of_sample_files(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    lines = r"(?m)^(?:(?:Released under|Licensed under|This work is licensed under) .*|All rights reserved\.)$"
+    want = {i: [m.span() for m in re.finditer(lines, t or "")] for i, t in texts.items()}
+    assert any(t[a:b] == "All rights reserved." for i, t in texts.items() for a, b in want[i])
+    for r in x.query(spark, sf).collect():
+        assert [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s] == want[r.doc_id]
