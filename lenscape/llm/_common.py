@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..workers import find_package as on_workers  # noqa: F401  the operators take it from here
+from ..workers import shared_base
 
 #: A key is frequent if it has at least this share of the rows, so that at most
 #: HOT_KEYS keys are; that bounds what `join_to_groups` broadcasts.
@@ -20,11 +21,8 @@ LOWER_BYTES = bytes(range(65)) + LOWER.encode() + bytes(range(91, 256))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/lenscape-{spark.sparkContext.applicationId}"
+    """This application's folder below the one that spark.checkpoint.dir names."""
+    return f"{shared_base(spark)}/lenscape-{spark.sparkContext.applicationId}"
 
 
 def release(spark: SparkSession) -> None:
@@ -67,18 +65,32 @@ def join_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, tota
 SENT_ROWS = 2_000_000
 
 
-def without_rows(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs without the rows whose numbers (column row, as monotonically_increasing_id gave them for docs, which must be
-    read in the same way again) are listed. Up to SENT_ROWS numbers are broadcast, so that texts stay where they lie;
-    more are joined by sort-merge."""
-    rows = stored(rows.select("row"), "rows")
-    few = rows.count() <= SENT_ROWS
-    name = "row"
-    while name in docs.columns:
+def free_name(columns, name: str) -> str:
+    """name, or the first of name_, name__ ... that is no column."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
         name += "_"
-    own = docs.withColumn(name, F.monotonically_increasing_id())
-    gone = rows.withColumnRenamed("row", name)
-    return own.join(F.broadcast(gone) if few else gone.hint("merge"), name, "left_anti").select(*docs.columns)
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs stored with a column that numbers its rows, and that column's name. The numbers are data from then on: they
+    hold however the table is split when it is read again, which numbers made anew at each reading would not."""
+    name = free_name(docs.columns, "row")
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
+def without_rows(own: DataFrame, name: str, rows: DataFrame) -> DataFrame:
+    """A `numbered` table without the rows whose numbers (column row) are listed, and without the numbers. Up to
+    SENT_ROWS numbers are broadcast, so that texts stay where they lie; more are joined by sort-merge."""
+    gone = stored(rows.select(F.col("row").alias(name)), "rows")
+    few = gone.count() <= SENT_ROWS
+    return own.join(F.broadcast(gone) if few else gone.hint("merge"), name, "left_anti").drop(name)
+
+
+def with_row(docs: DataFrame, row: str | None):
+    """The column that numbers rows: one that is there, or numbers made as docs is read (for operators that read once)."""
+    return (F.monotonically_increasing_id() if row is None else F.col(row)).alias("row")
 
 
 def hash_sample(rows: DataFrame, most: int, total: int) -> list:

@@ -17,12 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import join_to_groups, lowered, shared_dir, stored
+from ._common import join_to_groups, lowered, shared_dir, stored, with_row
 
 ENTRY = T.StructType([
     T.StructField("digest", T.StringType()),
     T.StructField("keep_id", T.LongType()),
-    T.StructField("keep_row", T.LongType()),
     T.StructField("group_size", T.LongType()),
     T.StructField("batch", T.StringType()),
 ])
@@ -53,7 +52,6 @@ class DigestIndex:
         dealt.write.mode("append").insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
-
     def compacted(self, path: str) -> DigestIndex:
         """The same entries in a new folder, one sorted file a bucket however many batches came, so that joins need no
         sort of the index."""
@@ -62,20 +60,24 @@ class DigestIndex:
         return new
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, row (tells repeated rows apart) and the SHA-256 of the normalised whole text."""
+def digests(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, row (tells repeated rows apart; the column `row` of docs if there is one) and the SHA-256 of the normalised
+    whole text."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"),
+        with_row(docs, row),
         F.sha2(lowered(F.col("text")).cast("binary"), 256).alias("digest"),
     )
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "") -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex, batch: str, row: str | None = None) -> DataFrame:
     """Adds a batch of documents to the index. One row per document: doc_id, row, digest, keep_id (of the row that
-    stays), group_size (rows of this text in the batch that brought it), kept, known (the index had the text before)."""
-    batch = batch or uuid.uuid4().hex
-    rows = stored(digests(docs), "digests")
+    stays), group_size (rows of this text in the batch that brought it), kept, known (the index had the text before).
+
+    `batch` names the batch. Entries of that name are the batch's own, so a job that failed, or whose result was lost,
+    runs again with the name that it had and gives the same rows, and adds only what the index lacks. Rows are numbered
+    as docs is read once; `row` names a column that has their numbers already."""
+    rows = stored(digests(docs, row), "digests")
     total = rows.count()
     groups = rows.groupBy("digest").agg(
         F.max("doc_id").alias("keep_id"),
@@ -86,12 +88,8 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "") -> DataFra
     groups = stored(groups, "groups")
     index.append(index.unseen(groups).withColumn("batch", F.lit(batch)))
     # `here` is the number of this batch's rows, which says what keys are frequent in it
-    entries = index.entries()
-    if entries.where(F.col("batch") != batch).limit(1).count():
-        entries = entries.join(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("here")), "digest", "inner")
-    else:
-        entries = entries.withColumn("here", F.col("group_size"))
-    joined = join_to_groups(rows, entries, "digest", "here", total)
+    own = groups.select("digest", "keep_row", F.col("group_size").alias("here"))
+    joined = join_to_groups(rows, own.join(index.entries().hint("merge"), "digest"), "digest", "here", total)
     new = F.col("batch") == batch
     return joined.select(
         "doc_id", "row", "digest", "keep_id", "group_size",
@@ -100,6 +98,13 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "") -> DataFra
     )
 
 
+def forget(index: DigestIndex) -> None:
+    """Removes an index: its table of the catalog and its files. Results that read it are lost."""
+    index.spark.sql(f"DROP TABLE IF EXISTS {index.name}")
+    path = index.spark._jvm.org.apache.hadoop.fs.Path(index.path)
+    path.getFileSystem(index.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_index(spark: SparkSession) -> DigestIndex:
     """An index of its own for one call, in the shared folder."""
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -109,7 +114,7 @@ def fresh_index(spark: SparkSession) -> DigestIndex:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: every row of documents against an index that is empty at first."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return deduplicate(docs, fresh_index(spark)).select(
+    return deduplicate(docs, fresh_index(spark), "all").select(
         "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
     )
 

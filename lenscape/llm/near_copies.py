@@ -1,13 +1,19 @@
-"""Near copies: documents whose sets of word shingles have a Jaccard similarity of at least `similarity`.
-
-Candidates share a band of their MinHash signatures (BANDS bands of BAND values; a pair at similarity 0.8 shares none
-with probability (1 - 0.8^5)^24 = 7e-5, a nearer one more rarely). Every candidate is confirmed on the whole texts. Of
-a band's documents all are compared with the first; those that it does not confirm are compared with the first of
-themselves, and so on until none is left. So of two near documents that share a band not both stay, and a group of
-copies costs comparisons in proportion to its size.
-
-Null texts count as empty; texts without words are alike. A text of fewer words than a shingle is one shingle. Rows with
-null doc_id count as larger than all others. Extra columns are not read.
+"""Near copies: documents whose sets of word shingles have a Jaccard similarity of at least `similarity`, or whose
+SimHash fingerprints over the same shingles differ in at most `radius` bits.
+
+Fingerprints are searched by the vantage-point trees of `simhash_vptree`, which find what is nearly equal. At a
+similarity of 0.8 about ten of 64 bits differ, where triangle bounds prune nothing; so those pairs are found by bands of
+MinHash signatures (BANDS bands of BAND values; a pair at 0.8 shares none with probability (1 - 0.8^5)^24 = 7e-5) and
+confirmed on the sets of shingles of the whole texts.
+
+Of the documents that share a band, each is first compared with its most central one (that shares most bands with most
+documents), which joins a group of copies of one source at a cost in proportion to its size. Documents of a band that are
+then still in different components are all compared with one another, in blocks, a pair in the first band that it shares.
+So no link is lost; pairs never leave a task, links do.
+
+Null texts count as empty; texts without words are alike. A text of fewer words than a shingle is one shingle. Very long
+texts are hashed in pieces; of a document the set of its shingles' hashes (8 bytes each) is held at one time. Rows with
+null doc_id count as larger than all others. Repeated rows are copies of one another. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -16,40 +22,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SENT_ROWS, join_to_groups, on_workers, stored
-from .simhash_vptree import SEED, connected, shingles
+from ._common import SENT_ROWS, join_to_groups, on_workers, stored, with_row
+from .simhash_vptree import RADIUS, SEED, connected, grouped, majority, shingles
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 24
 BAND = 5
-#: Shingles whose hashes are permuted at one time, and first texts' shingles that a worker remembers.
+#: Shingles whose hashes are permuted at one time.
 AT_ONCE = 1_024
+#: Documents of a block on the side that is not yet joined, and on the other.
+LEFT, RIGHT = 512, 4_096
+#: Sets of central documents that a worker remembers, and the largest (in shingles) that is broadcast.
 SETS_HELD = 16
+SENT_SET = 4_096
 
 _RANDOM = np.random.default_rng(SEED)
 _XOR = _RANDOM.integers(0, 2**64, BANDS * BAND, dtype=np.uint64)
 _ODD = _RANDOM.integers(0, 2**64, BANDS * BAND, dtype=np.uint64) | np.uint64(1)
 
 
-def hashes(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """The different shingles' hashes, in order of number; that of the empty one for a text without words."""
+def hashed(parts: list[bytes]) -> np.ndarray:
+    """Hashes of shingles in order of place; that of the empty one for a text without words."""
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(p, SEED) for p in shingles(text, size) or [b""]], dtype=np.uint64))
+    return np.array([digest(p, SEED) for p in parts or [b""]], dtype=np.uint64)
 
 
-def bands(own: np.ndarray) -> list[int]:
-    """A key for each band, signed as Spark's longs are."""
+def bands(own: np.ndarray) -> np.ndarray:
+    """A key for each band."""
     least = np.full(BANDS * BAND, np.uint64(2**64 - 1))
     for at in range(0, len(own), AT_ONCE):
         np.minimum(least, ((own[at : at + AT_ONCE, None] ^ _XOR) * _ODD).min(axis=0), out=least)
     parts = least.astype("<u8").reshape(BANDS, BAND)
-    keys = np.array([xxhash.xxh64_intdigest(p.tobytes(), i) for i, p in enumerate(parts)], dtype="<u8")
-    return keys.view("<i8").tolist()
+    return np.array([xxhash.xxh64_intdigest(p.tobytes(), i) for i, p in enumerate(parts)], dtype="<u8")
 
 
 def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
@@ -57,71 +67,179 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _banded(rows: DataFrame, size: int) -> DataFrame:
+def sketched(docs: DataFrame, size: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """doc_id, row, fp (the SimHash fingerprint) and keys (of the bands) of every document."""
+    on_workers(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = [k for t in b.column(2) for k in bands(hashes(t.as_py(), size))]
-            at = np.repeat(np.arange(b.num_rows), BANDS)
+            fps, keys = [], []
+            for t in b.column(2):
+                parts = shingles(t.as_py(), size)
+                own = hashed(parts)
+                fps.append(majority(own) if parts else 0)
+                keys.append(bands(np.unique(own)))
+            flat = np.concatenate(keys) if keys else np.zeros(0, "<u8")
+            offsets = np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(keys, pa.int64())], names=["doc_id", "row", "key"]
+                [b.column(0), b.column(1), pa.array(np.array(fps, "<u8").view("<i8")), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view("<i8")))],
+                names=["doc_id", "row", "fp", "keys"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, row long, key long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), with_row(docs, row), "text")
+    return rows.mapInArrow(run, "doc_id long, row long, fp long, keys array<long>")
+
+
+def _sets(docs: DataFrame, row: str, wanted: DataFrame, size: int) -> DataFrame:
+    """row, set (the hashes of its different shingles, ascending) and n (their number) of the wanted rows."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                own = [np.unique(hashed(shingles(t.as_py(), size))) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([x.astype("<u8").tobytes() for x in own], pa.binary()), pa.array([len(x) for x in own], pa.int64())],
+                    names=["row", "set", "n"],
+                )
 
-def _confirmed(rows: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (row, doc_id, to, to_id) that are similar enough, by their whole texts."""
-    wanted = stored(pairs.select("row").union(pairs.select("to")).distinct(), "wanted")
     few = wanted.count() <= SENT_ROWS
-    texts = stored(rows.select("row", "text").join(F.broadcast(wanted) if few else wanted.hint("merge"), "row", "left_semi"), "texts")
-    firsts = pairs.groupBy("to").agg(F.count(F.lit(1)).alias("n")).join(
-        texts.select(F.col("row").alias("to"), F.col("text").alias("to_text")).hint("merge"), "to"
+    rows = docs.select(F.col(row).alias("row"), "text").join(F.broadcast(wanted) if few else wanted.hint("merge"), "row", "left_semi")
+    return stored(rows.mapInArrow(run, "row long, set binary, n long"), "sets")
+
+
+def _central(members: DataFrame, total: int) -> DataFrame:
+    """row, to: of each band's members all but the most central one, and that one."""
+    weights = members.groupBy("row").agg(F.sum("n").alias("weight"))
+    rank = F.struct("weight", (-F.col("row")).alias("last"))
+    centres = members.join(weights.hint("merge"), "row").groupBy("key").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("n"))
+    centres = stored(centres.select("key", "n", (-F.col("best.last")).alias("to")), "centres")
+    return join_to_groups(members.select("row", "key"), centres, "key", "n", total).where("row <> to").select("row", "to").distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (row, to) that are similar enough. A central document that many pairs have is broadcast if its set is not
+    large; else the pairs are dealt out by it, and salted by Spark's handling of skewed joins."""
+    pairs = stored(pairs, "pairs")
+    total = pairs.count()
+    centres = pairs.groupBy("to").agg(F.count(F.lit(1)).alias("pairs")).join(
+        sets.select(F.col("row").alias("to"), F.col("set").alias("to_set"), F.col("n").alias("to_n")).hint("merge"), "to"
     )
-    own = pairs.join(texts.hint("merge"), "row")
-    both = join_to_groups(own, stored(firsts, "firsts"), "to", "n", pairs.count())
+    centres = stored(centres.withColumn("size", F.when(F.col("to_n") <= SENT_SET, F.col("pairs")).otherwise(0)), "central_sets")
+    both = join_to_groups(pairs.join(sets.select("row", "set").hint("merge"), "row"), centres, "to", "size", total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for b in batches:
             near = []
-            for to, text, to_text in zip(b.column("to").to_pylist(), b.column("text"), b.column("to_text"), strict=True):
+            for to, own, other in zip(b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
                 if to not in known:
                     if len(known) >= SETS_HELD:
                         known.clear()
-                    known[to] = hashes(to_text.as_py(), size)
-                near.append(similarity_of(hashes(text.as_py(), size), known[to]) >= similarity)
-            yield b.select(["row", "doc_id", "to", "to_id"]).filter(pa.array(near, pa.bool_()))
-
-    names = ["row", "doc_id", "to", "to_id"]
-    return both.select(*names, "text", "to_text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
-
-
-def links(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """row, doc_id, to, to_id: confirmed pairs of rows, numbered as monotonically_increasing_id does."""
-    on_workers(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
-    rest, found = stored(_banded(rows, size), "bands"), None
-    while True:
-        order = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "row")
-        groups = rest.groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        groups = stored(groups.select("key", "n", F.col("first.row").alias("to"), F.col("first.doc_id").alias("to_id")), "groups")
-        if groups.isEmpty():
-            break
-        members = stored(join_to_groups(rest, groups, "key", "n", rest.count()).where("row <> to"), "members")
-        pairs = stored(members.select("row", "doc_id", "to", "to_id").distinct(), "pairs")
-        near = stored(_confirmed(rows, pairs, size, similarity), "near")
-        rest = members.join(near.select("row", "to").hint("merge"), ["row", "to"], "left_anti").select("doc_id", "row", "key")
-        rest = stored(rest, "rest")
-        found = near if found is None else found.unionByName(near)
-    return found if found is not None else rest.select("row", "doc_id", F.col("row").alias("to"), F.col("doc_id").alias("to_id")).limit(0)
-
-
-def near_copies(docs: DataFrame, size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """row: all rows of each component of links but the one with the smallest doc_id."""
-    found = stored(links(docs, size, similarity), "links")
-    roots = connected(found.select(F.col("row").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "row")
-    nodes = found.select("row", "doc_id").union(found.select("to", "to_id")).distinct()
-    nodes = stored(nodes.join(roots.hint("merge"), "row"), "nodes")
+                    known[to] = np.frombuffer(other.as_buffer(), "<u8")
+                near.append(similarity_of(np.frombuffer(own.as_buffer(), "<u8"), known[to]) >= similarity)
+            yield b.select(["row", "to"]).filter(pa.array(near, pa.bool_()))
+
+    return both.select("row", "to", "set", "to_set").mapInArrow(run, "row long, to long")
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members with label, the component of links that a row is in."""
+    roots = connected(links.select(F.col("row").alias("a"), F.col("to").alias("b")))
+    named = members.join(roots.select(F.col("node").alias("row"), "root").hint("merge"), "row", "left")
+    return named.withColumn("label", F.coalesce("root", "row")).drop("root")
+
+
+def _left_apart(members: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """row, to: links between members (key, row, label, n: of the band) of a band that have different labels. In each band
+    the label of most members needs no comparison within itself: the others, in blocks, meet all."""
+    share = stored(members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")), "labels")
+    apart = share.groupBy("key").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("total"), F.count(F.lit(1)).alias("labels"))
+    apart = stored(apart.where("labels > 1").select("key", F.col("most.label").alias("main"), "total", (F.col("total") - F.col("most.k")).alias("others")), "apart")
+    rest = join_to_groups(members.drop("n"), apart, "key", "total", members.count())
+    lefts = F.ceil(F.col("others") / LEFT).cast("int")
+    rights = F.ceil(F.col("total") / RIGHT).cast("int")
+    draw = F.xxhash64("row")
+    is_left = F.col("label") != F.col("main")
+    dealt = rest.select("key", "row", "label", is_left.alias("left"), lefts.alias("lefts"), rights.alias("rights"), F.pmod(draw, lefts).alias("lb"), F.pmod(draw, rights).alias("rb"))
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_right = dealt.withColumn("l", F.explode(all_of("lefts"))).select("key", "row", "label", "l", F.col("rb").cast("int").alias("r"), F.lit(False).alias("left"))
+    as_left = dealt.where("left").withColumn("r", F.explode(all_of("rights"))).select("key", "row", "label", F.col("lb").cast("int").alias("l"), "r", F.lit(True).alias("left"))
+    wanted = sets.select("row", "set", "n").join(sketches.select("row", "keys").hint("merge"), "row")
+    # rows that many blocks need are few beside the blocks' pairs: joined once by row
+    full = as_right.unionByName(as_left).join(wanted.hint("merge"), "row")
+
+    def compare(block: pa.Table) -> pa.Table:
+        left, right = block.filter(block["left"]), block.filter(pc.invert(block["left"]))
+        if not left.num_rows or not right.num_rows:
+            return _LINKS.empty_table()
+        key = np.int64(block["key"][0].as_py())
+        rows, labels, sizes = (right[c].to_numpy() for c in ("row", "label", "n"))
+        keys = _key_table(right)
+        sets_ = [np.frombuffer(x.as_buffer(), "<u8") for x in right["set"]]
+        own_keys = _key_table(left)
+        a, b = [], []
+        for i, (row, label, n, own) in enumerate(zip(left["row"].to_pylist(), left["label"].to_pylist(), left["n"].to_pylist(), left["set"], strict=True)):
+            near = (labels != label) & (sizes >= similarity * n) & (n >= similarity * sizes)
+            at = np.flatnonzero(near)
+            if not len(at):
+                continue
+            same = keys[at] == own_keys[i]
+            at = at[own_keys[i][same.argmax(axis=1)] == key]  # the first band that they share
+            if not len(at):
+                continue
+            own = np.frombuffer(own.as_buffer(), "<u8")
+            both = _in_common(own, [sets_[j] for j in at])
+            at = at[both >= similarity * (n + sizes[at] - both) - 1e-9]
+            for j in at[np.unique(labels[at], return_index=True)[1]].tolist():  # one link to a label is enough
+                a.append(row)
+                b.append(int(rows[j]))
+        return pa.table({"row": pa.array(a, pa.int64()), "to": pa.array(b, pa.int64())})
+
+    return full.groupBy("key", "l", "r").applyInArrow(compare, "row long, to long")
+
+
+_LINKS = pa.schema([("row", pa.int64()), ("to", pa.int64())])
+
+
+def _key_table(rows: pa.Table) -> np.ndarray:
+    return np.array(rows["keys"].combine_chunks().flatten()).reshape(-1, BANDS)
+
+
+def _in_common(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many of own each of others has, some at a time."""
+    out = []
+    for at in range(0, len(others), 64):
+        part = others[at : at + 64]
+        flat = np.concatenate(part)
+        place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        out.append(np.add.reduceat((own[place] == flat).astype(np.int64), np.cumsum([0, *map(len, part[:-1])])))
+    return np.concatenate(out)
+
+
+def links(docs: DataFrame, row: str, size: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """doc_id, row, and to: links that span the components; of every row its own line, with to null if it has no link.
+    docs is `numbered`, and row its number."""
+    sketches = stored(sketched(docs, size, row), "sketches")
+    # the trees' components, each as a star
+    stars = stored(grouped(sketches, radius).where("row <> first_row").select("row", F.col("first_row").alias("to")), "stars")
+    flat = sketches.select("row", F.explode("keys").alias("key"))
+    groups = stored(flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
+    members = stored(join_to_groups(flat, groups, "key", "n", sketches.count() * BANDS), "members")
+    sets = _sets(docs, row, stored(members.select("row").distinct(), "wanted"), size)
+    total = members.count()
+    near = stored(_confirmed(_central(members, total), sets, similarity).unionByName(stars), "near")
+    more = stored(_left_apart(stored(_labelled(members, near), "labelled"), sketches, sets, similarity), "more")
+    found = near.unionByName(more)
+    return sketches.select("doc_id", "row").join(found.hint("merge"), "row", "left").select("doc_id", "row", "to")
+
+
+def near_copies(docs: DataFrame, row: str, size: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """row: all rows of each component of links but the one with the smallest doc_id. docs is `numbered`, row its number."""
+    found = stored(links(docs, row, size, similarity, radius), "links")
+    roots = connected(found.where("to is not null").select(F.col("row").alias("a"), F.col("to").alias("b")))
+    roots = roots.withColumnRenamed("node", "row")
+    nodes = stored(found.select("row", "doc_id").distinct().join(roots.hint("merge"), "row"), "nodes")
     order = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "row")
     firsts = nodes.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
     return nodes.join(firsts.hint("merge"), "row", "left_anti").select("row")

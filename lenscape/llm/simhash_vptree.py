@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER_BYTES, hash_sample, join_to_groups, on_workers, stored
+from ._common import LOWER_BYTES, hash_sample, join_to_groups, on_workers, stored, with_row
 
 SHINGLE = 3
 RADIUS = 3
@@ -60,18 +60,21 @@ def shingles(text: str | None, size: int = SHINGLE) -> list[bytes]:
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """Bit i is 1 if it is set in over half of the shingles' hashes."""
     parts = shingles(text, size)
-    if not parts:
-        return 0
     digest = xxhash.xxh64_intdigest
+    return majority(np.array([digest(p, SEED) for p in parts], dtype="<u8")) if parts else 0
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have, some hashes at a time."""
     votes = np.zeros(64, np.int64)
-    for at in range(0, len(parts), VOTES):
-        h = np.array([digest(p, SEED) for p in parts[at : at + VOTES]], dtype="<u8")
+    for at in range(0, len(hashes), VOTES):
+        h = hashes[at : at + VOTES].astype("<u8")
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(parts), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, row (tells repeated rows apart) and fp (the 64 bits as a long)."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """doc_id, row (tells repeated rows apart; the column `row` of docs if there is one) and fp (the 64 bits as a long)."""
     on_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +82,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
             fp = np.array([fingerprint(t.as_py(), size) for t in b.column(2)], dtype="<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "row", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), with_row(docs, row), "text")
     return rows.mapInArrow(run, "doc_id long, row long, fp long")
 
 
@@ -229,16 +232,19 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """node, root (one node of its component, the same for all): rounds in which every node moves to its smallest
-    neighbour and edges are contracted, until none is left. All state is in tables in the shared folder."""
+    """node, root (one node of its component, the same for all): rounds in which every node moves to the one of itself and
+    its neighbours that a hash of the round puts first, and edges are contracted, until none is left. The hash is another
+    in each round, so about half of the nodes go whatever their order, and a path of n nodes takes some log2(n) rounds.
+    All state is in tables in the shared folder."""
     edges = stored(edges.where("a <> b").distinct(), "edges")
-    assigned = None
+    assigned, turn = None, 0
     while edges.limit(1).count():
+        turn += 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        moves = stored(
-            both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")), "moves"
-        )
-        to = lambda end: moves.select(F.col("node").alias(end), F.col("root").alias(f"{end}2"))
+        place = lambda node: F.struct(F.xxhash64(node, F.lit(turn)).alias("h"), F.col(node).alias("to"))  # noqa: B023, E731
+        first = F.least(F.min(place("b")), F.first(place("a")))
+        moves = stored(both.groupBy("a").agg(first.alias("first")).select(F.col("a").alias("node"), F.col("first.to").alias("root")), "moves")
+        to = lambda end: moves.select(F.col("node").alias(end), F.col("root").alias(f"{end}2"))  # noqa: B023, E731
         moved = edges.join(to("a").hint("merge"), "a").join(to("b").hint("merge"), "b")
         edges = stored(
             moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct(),
@@ -257,10 +263,9 @@ def connected(edges: DataFrame) -> DataFrame:
     return assigned
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row per document: doc_id, row, fp (long), component_id (smallest doc_id that links reach), first (this row is
-    the one of its component that has that doc_id; of repeated ones just one)."""
-    rows = stored(fingerprints(docs, size), "fingerprints")
+def grouped(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """rows: a table with doc_id, row and fp. doc_id, row, fp, component_id (smallest doc_id that links reach) and first_row
+    (the row of the component that has it; of repeated ones just one)."""
     points = stored(
         rows.groupBy("fp").agg(
             F.min("doc_id").alias("least"),
@@ -282,10 +287,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
         named.select("root", "fp", "copies"), least, "root", "members", points.count()
     ).select("fp", "copies", "component_id", "first_row")
     return join_to_groups(rows, stored(placed, "placed"), "fp", "copies", rows.count()).select(
-        "doc_id", "row", "fp", "component_id", (F.col("row") == F.col("first_row")).alias("first")
+        "doc_id", "row", "fp", "component_id", "first_row"
     )
 
 
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, row: str | None = None) -> DataFrame:
+    """One row per document: doc_id, row, fp (long), component_id and first (this row is its component's first_row)."""
+    rows = stored(fingerprints(docs, size, row), "fingerprints")
+    return grouped(rows, radius).withColumn("first", F.col("row") == F.col("first_row")).drop("first_row")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: all whole documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

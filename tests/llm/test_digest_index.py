@@ -25,7 +25,7 @@ def index(spark, tmp_path, buckets=4):
 
 
 def test_one_batch(spark, tmp_path):
-    got = d.deduplicate(frame(spark, ROWS), index(spark, tmp_path)).collect()
+    got = d.deduplicate(frame(spark, ROWS), index(spark, tmp_path), "one").collect()
     want = []
     for a, t in ROWS:
         same = [b for b, u in ROWS if sha(u) == sha(t)]
@@ -36,32 +36,46 @@ def test_one_batch(spark, tmp_path):
 
 
 def test_repeated_rows_keep_one(spark, tmp_path):
-    got = d.deduplicate(frame(spark, [(1, "a")] * 5 + [(None, "b")] * 3), index(spark, tmp_path)).collect()
+    got = d.deduplicate(frame(spark, [(1, "a")] * 5 + [(None, "b")] * 3), index(spark, tmp_path), "one").collect()
     assert sum(r.kept for r in got if r.doc_id == 1) == 1 and sum(r.kept for r in got if r.doc_id is None) == 1
     assert {r.group_size for r in got} == {5, 3}
 
 
 def test_later_batches(spark, tmp_path):
     own = index(spark, tmp_path)
-    d.deduplicate(frame(spark, [(1, "a"), (2, "b"), (3, "B")]), own)
-    second = {r.doc_id: r for r in d.deduplicate(frame(spark, [(4, "A"), (5, "c"), (6, "C"), (7, "c")]), own).collect()}
+    d.deduplicate(frame(spark, [(1, "a"), (2, "b"), (3, "B")]), own, "one")
+    second = {r.doc_id: r for r in d.deduplicate(frame(spark, [(4, "A"), (5, "c"), (6, "C"), (7, "c")]), own, "two").collect()}
     assert second[4].known and not second[4].kept and second[4].keep_id == 1
     assert second[7].kept and second[7].group_size == 3 and not second[5].kept
     spark.sql(f"DROP TABLE {own.name}")  # another session opens the same files
     again = index(spark, tmp_path)
-    third = d.deduplicate(frame(spark, [(8, "B"), (9, "new")]), again).collect()
+    third = d.deduplicate(frame(spark, [(8, "B"), (9, "new")]), again, "three").collect()
     assert {r.doc_id: (r.known, r.kept) for r in third} == {8: (True, False), 9: (False, True)}
     assert {r.digest for r in again.entries().collect()} == {sha(t) for t in ("a", "b", "c", "new")}
     assert again.entries().count() == 4
     small = again.compacted(f"file://{tmp_path}/compacted")
     assert sorted(small.entries().collect()) == sorted(again.entries().collect())
     assert len(list((tmp_path / "compacted").glob("part-*"))) <= 4
-    assert not any(r.kept for r in d.deduplicate(frame(spark, [(20, "C")]), small).collect())
+    assert not any(r.kept for r in d.deduplicate(frame(spark, [(20, "C")]), small, "four").collect())
+
+
+def test_a_batch_that_runs_again(spark, tmp_path):
+    own = index(spark, tmp_path)
+    d.deduplicate(frame(spark, [(1, "a"), (2, "b")]), own, "one")
+    batch = [(3, "A"), (4, "c"), (5, "c"), (6, "d")]
+    first = d.deduplicate(frame(spark, batch), own, "two")
+    want = sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.known) for r in first.collect())
+    for parts in (1, 3):  # rows have other numbers then
+        again = d.deduplicate(frame(spark, batch[::-1], parts), own, "two")
+        assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.known) for r in again.collect()) == want
+    assert [w[0] for w in want if w[3]] == [5, 6] and own.entries().count() == 4
+    d.forget(own)
+    assert not spark.catalog.tableExists(own.name) and not (tmp_path / "index").exists()
 
 
 def test_no_documents(spark, tmp_path):
     own = index(spark, tmp_path)
-    assert d.deduplicate(frame(spark, []), own).count() == 0 and own.entries().count() == 0
+    assert d.deduplicate(frame(spark, []), own, "one").count() == 0 and own.entries().count() == 0
 
 
 def test_plan_is_native_and_reads_buckets(spark, tmp_path):
@@ -88,10 +102,12 @@ def test_join_to_groups_whatever_is_frequent(spark, monkeypatch, share):
 def test_without_rows(spark, tmp_path, monkeypatch):
     frame(spark, ROWS).write.parquet(str(tmp_path / "docs"))
     docs = spark.read.parquet(str(tmp_path / "docs"))
-    some = docs.select("doc_id", F.monotonically_increasing_id().alias("row")).where("doc_id % 2 = 0")
-    few = _common.without_rows(docs, some)
+    own, name = _common.numbered(docs)
+    assert name == "row_"
+    some = own.where("doc_id % 2 = 0").select(F.col(name).alias("row"))
+    few = _common.without_rows(own, name, some)
     monkeypatch.setattr(_common, "SENT_ROWS", 0)
-    many = _common.without_rows(docs, some)
+    many = _common.without_rows(own, name, some)
     want = sorted(str(a) for a, _ in ROWS if a is None or a % 2)
     assert few.columns == docs.columns and {r.row for r in few.collect()} == {5}
     assert sorted(str(r.doc_id) for r in few.collect()) == sorted(str(r.doc_id) for r in many.collect()) == want

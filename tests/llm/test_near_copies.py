@@ -8,6 +8,9 @@ import pytest
 pytest.importorskip("corpus_pipeline")
 import corpus_pipeline  # noqa: E402
 
+from lenscape.llm import near_copies  # noqa: E402
+from tests.llm.test_simhash import slow_fingerprint  # noqa: E402
+
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -20,13 +23,42 @@ def near(a, b):
     return len(a & b) / len(a | b) >= 0.8
 
 
+def groups(texts):
+    """texts by doc_id. Of each the smallest doc_id that links reach: by similarity, or by fingerprints within 3 bits."""
+    own = {a: sets(t) for a, t in texts.items()}
+    fps = {a: slow_fingerprint(t, 5) for a, t in texts.items()}
+    holders = {}
+    for a, s in own.items():
+        for x in s:
+            holders.setdefault(x, []).append(a)
+    first = {a: a for a in own}
+
+    def root(a):
+        while first[a] != a:
+            a = first[a]
+        return a
+
+    def link(a, b):
+        low, high = sorted((root(a), root(b)))
+        first[high] = low
+
+    for a, s in own.items():
+        for b in {b for x in s for b in holders[x] if b < a}:
+            if near(s, own[b]):
+                link(a, b)
+    for a, b in itertools.combinations(own, 2):
+        if (fps[a] ^ fps[b]).bit_count() <= 3:
+            link(a, b)
+    return {a: root(a) for a in own}
+
+
 def check(docs, folder):
-    own = {r.doc_id: sets(r.text) for r in docs.collect()}
-    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(docs.sparkSession, docs, folder).collect()}
-    pairs = [p for p in itertools.combinations(sorted(own), 2) if near(own[p[0]], own[p[1]])]
-    assert pairs and not [p for p in pairs if kept >= set(p)]
-    assert {a for a in own if a not in kept} <= {b for _, b in pairs}
-    return kept
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    first = groups(texts)
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(docs.sparkSession, docs, folder).collect())
+    assert kept == sorted(set(first.values()))
+    assert len(kept) < len(texts)
+    return set(kept)
 
 
 def test_planted(spark, tmp_path):
@@ -56,5 +88,27 @@ def test_first_of_a_band_is_no_copy(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 3}
 
 
+@pytest.mark.parametrize("left, right, sent", [(512, 4096, 4096), (3, 7, 0)])
+def test_copies_of_one_source(spark, tmp_path, monkeypatch, left, right, sent):
+    """Copies that each resemble their source, but hardly one another: no document of a band need be near the first of
+    it. In blocks of any size all links are found."""
+    monkeypatch.setattr(near_copies, "LEFT", left)
+    monkeypatch.setattr(near_copies, "RIGHT", right)
+    monkeypatch.setattr(near_copies, "SENT_SET", sent)
+    rng = random.Random(9)
+    rows = []
+    for g in range(3):
+        source = [f"g{g}w{rng.randrange(5000)}" for _ in range(160)]
+        for i in range(40):
+            copy = list(source)
+            if i != 25:
+                for at in rng.sample(range(len(copy)), rng.choice([3, 3, 3, 5, 8])):
+                    copy[at] = f"other{rng.randrange(10**6)}"
+            rows.append((100 * g + i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(5).write.parquet(str(tmp_path / "d"))
+    check(spark.read.parquet(str(tmp_path / "d")), "")
+
+
 def test_sample_files(spark, sf):
     check(spark.read.parquet(f"{sf}/documents.parquet"), sf)

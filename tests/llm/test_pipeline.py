@@ -10,7 +10,7 @@ import public_tokenizers  # noqa: E402
 import sentencepiece  # noqa: E402
 
 from lenscape.llm import toxicity  # noqa: E402
-from tests.llm.test_simhash import slow_components, slow_fingerprint  # noqa: E402
+from tests.llm.test_near_copies import groups  # noqa: E402
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -39,7 +39,7 @@ def brute(rows, items, is_toxic):
         key = (t or "").translate(LOWER)
         best[key] = max(best.get(key, -1), a)
     rows = [(a, t) for a, t in rows if best[(t or "").translate(LOWER)] == a]
-    first = slow_components(dict(sorted((a, slow_fingerprint(t)) for a, t in rows)))
+    first = groups(dict(rows))
     rows = [(a, t) for a, t in rows if first[a] == a]
     return [(a, t) for a, t in rows if not leaks(t, items)]
 
@@ -86,6 +86,38 @@ def test_planted(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
 
 
+def test_rows_hold_when_the_number_of_cores_changes(spark, tmp_path):
+    """The splits of files that are read again follow the cores; what a stage drops does not."""
+    rng = random.Random(6)
+    make = lambda n: " ".join(f"w{rng.randrange(4000)}" for _ in range(n))
+    texts = [make(60) for _ in range(120)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + i, t.upper()) for i, t in enumerate(texts[:40])]
+    rows += [(2000 + i, t + " more") for i, t in enumerate(texts[40:80], 40)]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame([(a, t, "en", "s", 1) for a, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(8).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    names = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes")
+    want = {
+        "toxicity": {a for a, _ in rows},
+        "exact_dedup": {a for a, _ in rows} - set(range(40)),
+        "near_dedup": set(range(120)),
+        "decontamination": {a for a, _ in rows},
+        "sentencepiece": {a for a, _ in rows},
+    }
+    try:
+        spark.conf.set(names[1], "1")
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.set(names[0], "8")
+            out = stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path))
+            spark.conf.set(names[0], "3")
+            assert sorted(r.doc_id for r in out.collect()) == sorted(want[name]), name
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+
+
 def test_sample_files(spark, sf):
     rows, kept = compare(spark, sf)
     assert 0 < len(kept) < len(rows)

@@ -7,14 +7,14 @@ import xxhash
 from lenscape.llm import simhash_vptree as v
 
 
-def slow_fingerprint(text):
+def slow_fingerprint(text, size=3):
     words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     for c in "\t\n\r\x0b\x0c":
         words = words.replace(c, " ")
     words = [w for w in words.split(" ") if w]
     if not words:
         return 0
-    parts = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    parts = [" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))]
     hs = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
     return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hs) > len(hs))
 
