@@ -1,5 +1,9 @@
 """A training corpus from the table of documents: toxic documents, copies, near copies and benchmark leaks go, the rest
-is encoded."""
+is encoded.
+
+Every stage takes empty tables, texts of any length, nulls in any column and further columns of any name. A stage that
+drops single rows of equal content first stores its documents with a row number, which then is data like any other, so
+that a change of executors between jobs changes no decision."""
 
 from __future__ import annotations
 
@@ -9,33 +13,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lenscape.llm import digest_index, near_copies, sentencepiece_bpe, toxicity, wu_manber
-from lenscape.llm._common import shared_dir, table, without_rows
+from lenscape.llm._common import numbered, shared_dir, table, without_rows
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of a severity above 0 is at most one half."""
+    """Documents whose probability of a severity above 0 is at most one half. Null and empty texts stay. Repeated rows stay
+    or go alike; without labelled documents all stay."""
     return toxicity.without_toxic(docs, toxicity.trained(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
-    found = digest_index.deduplicate(docs, digest_index.fresh_index(spark))
-    return without_rows(docs, found.where(~F.col("kept")))
+    """Of equal texts the row with the largest doc_id, null being the smallest; of repeated rows one. Null texts equal
+    empty ones."""
+    own, row = numbered(docs)
+    found = digest_index.deduplicate(own, digest_index.fresh_index(spark), "all", row)
+    return without_rows(own, row, found.where(~F.col("kept")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents linked by a similarity of 0.8 in five-word shingles the one with the smallest
-    doc_id."""
-    return without_rows(docs, near_copies.near_copies(docs))
+    """Of each component of documents, linked by a similarity of 0.8 in five-word shingles or by fingerprints over them
+    within 3 bits, the one with the smallest doc_id, null being the largest; of repeated rows one."""
+    own, row = numbered(docs)
+    return without_rows(own, row, near_copies.near_copies(own, row))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item, with or without an id, occurs. Null and empty texts stay; with an
+    empty benchmark all stay."""
     return wu_manber.without_contaminated(docs, table(spark, sf_dir, "benchmark"), nameless=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, number of ids, and digests of the ids and of the text decoded from them."""
+    """doc_id, number of ids, and digests of the ids and of the text decoded from them, of every row; null counts as
+    empty."""
     import public_tokenizers
 
     return sentencepiece_bpe.encoded_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))

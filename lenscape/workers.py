@@ -18,10 +18,19 @@ def find_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's address below spark.checkpoint.dir; below one of our own only where that is unset."""
+def shared_base(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, one of our own if all runs on this machine, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or 'file:///tmp/checkpoints').rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file:///tmp/checkpoints"
+    return base.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's address below spark.checkpoint.dir."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def remove(spark: SparkSession, folder: str) -> None:
@@ -30,8 +39,8 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df computed once, kept in the folder of spark.checkpoint.dir; one of our own only where that is unset."""
+    """df computed once, kept in the folder of spark.checkpoint.dir."""
     spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
-        spark.sparkContext.setCheckpointDir("file:///tmp/checkpoints")
+    if spark.sparkContext.getConf().get("spark.checkpoint.dir") is None:
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
     return df.checkpoint()
