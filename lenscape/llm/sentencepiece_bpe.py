@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,17 +34,40 @@ from pyspark.sql import functions as F
 from ._common import on_workers
 
 SPACE = "▁"
-#: Words and pairs whose results a worker remembers; then it starts afresh.
-WORDS_HELD = 250_000
+#: Words of one generation that a worker remembers, and pairs. When a generation is full, the one before it goes; words
+#: that are met again pass to the new one.
+WORDS_HELD = 200_000
 PAIRS_HELD = 500_000
 
 
+class Words(dict):
+    """Remembered encodings (ids as little bytes), two generations of them. A dictionary that is asked for a word it lacks
+    takes it from the generation before or encodes it, so that looking up a text's words runs in the interpreter's core."""
+
+    def __init__(self, encode, most: int):
+        super().__init__()
+        self.encode, self.most, self.old = encode, most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        one = self.old.get(word)
+        if one is None:
+            one = array("I", self.encode(word)).tobytes()
+            if len(word) >= 64:
+                return one
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[word] = one
+        return one
+
+
 class Codec:
     def __init__(self, model_file: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.bos, self.eos, self.unk = sp.bos_id(), sp.eos_id(), sp.unk_id()
+        self._begin, self._end = (array("I", [i]).tobytes() for i in (self.bos, self.eos))
         probe = "  é é ﬁ "
         if sp.decode(sp.encode(probe)) != probe or not sp.id_to_piece(sp.encode("a")[0]).startswith(SPACE):
             raise ValueError("the model must keep texts as they are and begin them with a space")
@@ -63,16 +87,28 @@ class Codec:
         self._known_run = re.compile(f"[{known}]+", re.S)
         self._split = re.compile(self._parts(), re.S)
         self._pair: dict[int, bool] = {}
-        self._words: dict[str, list[int]] = {}
+        self._words = Words(self.word, WORDS_HELD)
         self.automaton = ahocorasick.Automaton()
+        self.whole: dict[str, list[int]] = {}  # pieces that are their own encoding; others never appear in one
         for piece, i in self.id_of.items():
-            if self.merged(piece) == [piece]:  # others never appear in an encoding
-                self.automaton.add_word(piece, (len(piece), i))
+            if self.merged(piece) == [piece]:
+                self.automaton.add_word(piece, i)
+                self.whole[piece] = [i]
         self.automaton.make_automaton()
+        self.length = [len(p) for p in self.pieces]
+        #: the longest piece that is a shorter prefix; -1 if there is none
+        self.shorter = [-1] * size
+        for piece, (i,) in self.whole.items():
+            for end in range(len(piece) - 1, 0, -1):
+                if (one := self.whole.get(piece[:end])) is not None:
+                    self.shorter[i] = one[0]
+                    break
         self.surface = [
             "" if i in special and i != self.unk else " ⁇ " if i == self.unk else p.replace(SPACE, " ")
             for i, p in enumerate(self.pieces)
         ]
+        # ids by which decoding needs more than surfaces put together
+        self.odd = np.array([i in self.byte_of or i in special for i in range(size)])
 
     def _parts(self) -> str:
         """A pattern for the parts of a text that no merge leaves: words with the spaces before them, and runs of an ASCII
@@ -115,47 +151,50 @@ class Codec:
         return known
 
     def backtrack(self, run: str) -> list[int]:
-        """Encoding of a run of characters of the vocabulary."""
+        """Encoding of a run of characters of the vocabulary. All matches at a place are prefixes of the longest one, so
+        the next shorter one is a property of the piece."""
+        longest, shorter, length = self.automaton.iter_long, self.shorter, self.length
+        fits, known = self.fits, self._pair.get
         n = len(run)
-        whole = self.id_of.get(run)
-        at: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(run):
-            at[end + 1 - match[0]].append(match)  # shorter matches come first
-        if whole is not None and at[0] and at[0][-1][0] == n:
-            return [whole]
         left = 0  # the bitfield: places that end no prefix's encoding
         ids: list[int] = []
-        tried: list[int] = []  # of each token its rank among the matches of its place
-        place = 0
-        rank = len(at[0]) - 1
-        fits, known = self.fits, self._pair.get
-        while place < n:
-            matches = at[place]
-            before = ids[-1] << 32 if ids else -1
-            while rank >= 0:
-                length, i = matches[rank]
-                if not left or not (left >> (place + length)) & 1:
+        place, before = 0, -1
+        ahead = longest(run)  # longest matches one after another, as long as none is shortened
+        token = next(ahead)[1]
+        while True:
+            while token >= 0:
+                if not left or not (left >> (place + length[token])) & 1:
                     if before < 0:
                         break
-                    good = known(before | i)
-                    if good or good is None and fits(ids[-1], i):
+                    good = known(before << 32 | token)
+                    if good or good is None and fits(before, token):
                         break
-                rank -= 1
-            if rank < 0:
-                if not ids:
+                token = shorter[token]
+                ahead = None
+            if token < 0:
+                if before < 0:
                     raise ValueError("no encoding: the vocabulary lacks a character")
                 left |= 1 << place
-                place -= len(self.pieces[ids.pop()])
-                rank = tried.pop() - 1
+                place -= length[before]
+                token = shorter[ids.pop()]
+                before = ids[-1] if ids else -1
+                ahead = None
                 continue
-            ids.append(i)
-            tried.append(rank)
-            place += length
-            rank = len(at[place]) - 1 if place < n else -1
-        return ids
+            ids.append(token)
+            place += length[token]
+            if place >= n:
+                return ids
+            before = token
+            if ahead is None:
+                ahead = longest(run, place)
+            token = next(ahead)[1]
 
     def word(self, text: str) -> list[int]:
         """Encoding of a text that no merge enters or leaves."""
+        if (one := self.whole.get(text)) is not None:
+            return one
+        if self._known_run.fullmatch(text):
+            return self.backtrack(text)
         out: list[int] = []
         at = 0
         for m in self._known_run.finditer(text):
@@ -167,35 +206,29 @@ class Codec:
             out += [self.byte_ids[b] for b in c.encode()]
         return out
 
-    def encode(self, text: str) -> array:
+    def encode(self, text: str) -> np.ndarray:
         """All ids of a text, with begin and end."""
-        ids = array("I", [self.bos])
-        if text:
-            text = SPACE + text.replace(" ", SPACE)
-            if not self.by_words:
-                ids.extend(self.word(text))
-            else:
-                held, extend = self._words, ids.extend
-                for w in self._split.findall(text):
-                    one = held.get(w)
-                    if one is None:
-                        one = self.word(w)
-                        if len(w) < 64:
-                            if len(held) >= WORDS_HELD:
-                                held.clear()
-                            held[w] = one
-                    extend(one)
-        ids.append(self.eos)
-        return ids
+        if not text:
+            return np.array([self.bos, self.eos], np.uint32)
+        text = SPACE + text.replace(" ", SPACE)
+        if not self.by_words:
+            return np.array([self.bos, *self.word(text), self.eos], np.uint32)
+        parts = map(self._words.__getitem__, self._split.findall(text))
+        return np.frombuffer(b"".join([self._begin, *parts, self._end]), np.uint32)
 
     def decode(self, ids) -> str:
         """The text of ids: bytes joined to characters (a byte that is part of none gives U+FFFD), the space that
         begins every encoded text taken off."""
+        ids = np.asarray(ids)
+        inner = ids[1:-1] if len(ids) > 2 and ids[0] == self.bos and ids[-1] == self.eos else ids
+        if len(inner) and not self.odd[inner].any():  # no bytes, no control ids: surfaces put together
+            text = "".join(map(self.surface.__getitem__, inner.tolist()))
+            return text[1:] if text[0] == " " else text
         out: list[str] = []
         pending = bytearray()
         surface, byte_of = self.surface, self.byte_of
         first = True
-        for i in ids:
+        for i in ids.tolist():
             b = byte_of.get(i)
             if b is not None:
                 pending.append(b)
@@ -250,7 +283,7 @@ def encoded(docs: DataFrame, model_file: str) -> DataFrame:
             for one in _slices(b, 256):
                 ids = [c.encode(t.as_py() or "") for t in one.column(1)]
                 yield pa.RecordBatch.from_arrays(
-                    [one.column(0), pa.array([list(x) for x in ids], pa.list_(pa.int64())), pa.array([c.decode(x) for x in ids], pa.string())],
+                    [one.column(0), pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64())), pa.array([c.decode(x) for x in ids], pa.string())],
                     names=["doc_id", "ids", "decoded"],
                 )
 
@@ -269,7 +302,7 @@ def encoded_digests(docs: DataFrame, model_file: str) -> DataFrame:
             for t in b.column(1):
                 ids = c.encode(t.as_py() or "")
                 n.append(len(ids))
-                hashes.append(hashlib.sha256(little_endian(ids)).hexdigest())
+                hashes.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                 texts.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(hashes, pa.string()), pa.array(texts, pa.string())],
@@ -279,17 +312,6 @@ def encoded_digests(docs: DataFrame, model_file: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, DIGEST)
 
 
-def little_endian(ids: array) -> bytes:
-    import sys
-
-    if ids.itemsize != 4:
-        ids = array("L" if array("L").itemsize == 4 else "I", ids)
-    if sys.byteorder == "big":
-        ids = array(ids.typecode, ids)
-        ids.byteswap()
-    return ids.tobytes()
-
-
 def _slices(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
     for at in range(0, batch.num_rows, size):
         yield batch.slice(at, size)
