@@ -4,6 +4,8 @@ share, cutting lineage, and joins that hold with very frequent keys."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,6 +95,19 @@ def with_row(docs: DataFrame, row: str | None):
     return (F.monotonically_increasing_id() if row is None else F.col(row)).alias("row")
 
 
+@contextmanager
+def pinned_splits(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, how files are split depends on the files alone and not on how many cores there are just then, so
+    that jobs inside that read the same files see the same partitions."""
+    name = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, before or str(max(spark.sparkContext.defaultParallelism, 1)))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def hash_sample(rows: DataFrame, most: int, total: int) -> list:
     """The `most` rows with the smallest hashes (column h, an xxhash64; ties by the other columns), as a list. total: their
     number or a bound of it. Only rows below a bound that four times as many should pass are sorted, so a task sends few

@@ -6,8 +6,9 @@ in training) the word itself; transitions between the languages of neighbours ar
 each word's distribution. A document's language is the one with the largest sum over its words, its score that
 sum's share.
 
-Only text and lang of the training rows are learned from, SAMPLE documents at most, chosen by a hash of doc_id; whole
-texts are used and every document is predicted. Ties go to the language that sorts first. Null texts and texts without
+Only text and lang of the training rows are learned from, SAMPLE documents at most (as many rows as there are languages
+if those are more), an equal part of each language, chosen by hashes; every document is predicted from its whole text,
+whose words are labelled some at a time, however long it is. Ties go to the language that sorts first. Null texts and texts without
 a letter are `und` with score 0, as is everything if there is nothing to learn from. Words without a letter are no
 words. Rows without an id are predicted, and count as held out. Repeated rows give repeated results. Extra columns are
 not read.
@@ -22,14 +23,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import hash_sample, on_workers
+from ._common import on_workers, stored
 
 UNKNOWN = "und"
 #: Documents to learn from, at most.
-SAMPLE = 600
+SAMPLE = 1_200
+#: Characters of a text that are learned from, at most.
+LEARNED_CHARS = 8_000
 #: Texts of the sample that a feature must occur in, and a word for the lexicon.
 LEAST = 2
 LEXICON_LEAST = 3
@@ -270,20 +273,23 @@ def predict(model: Model, texts) -> Iterator[tuple[str, float, list[int]]]:
 
 
 def trained(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """docs: the training rows, with doc_id, text and lang."""
-    spark = docs.sparkSession
+    """docs: the training rows, with doc_id, text and lang. Every language has an equal part of the sample, or all its rows
+    if they are fewer, so that rare ones are learned too: those with the smallest hashes of doc_id and text, equal rows
+    counting once. Of a text longer than LEARNED_CHARS a part of that length is learned from, at a place that the hash
+    names."""
     known = docs.where("lang is not null and text is not null and doc_id is not null").select(
-        F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.col("doc_id").cast("long").alias("doc_id")
+        F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h"), "lang", "text"
     )
-    ids = sorted({r.doc_id for r in hash_sample(known, sample, docs.count())})
-    chosen = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    rows = (
-        docs.where("lang is not null and text is not null")
-        .select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-        .join(F.broadcast(chosen), "doc_id", "left_semi")
-        .limit(sample)
-    )
-    return fit(sorted(((r.text, r.lang) for r in rows.toLocalIterator()), key=lambda x: (len(x[0]), x)))
+    sizes = stored(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    each = max(sample // max(sizes.count(), 1), 1)
+    # four times as many pass as are wanted, so that few rows are sorted
+    bound = F.when(F.col("n") > 4 * each, -(2.0**63) + 2.0**64 * 4 * each / F.col("n")).otherwise(2.0**63)
+    rows = known.join(F.broadcast(sizes.select("lang", bound.alias("bound"))), "lang").where(F.col("h").cast("double") <= F.col("bound"))
+    start = F.when(F.length("text") > LEARNED_CHARS, F.pmod("h", F.length("text") - LEARNED_CHARS) + 1).otherwise(1)
+    part = rows.select("h", "lang", F.col("text").substr(start.cast("int"), F.lit(LEARNED_CHARS)).alias("text")).dropDuplicates(["h", "lang"])
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = part.withColumn("rank", rank).where(F.col("rank") <= each)
+    return fit(sorted(((r.text, r.lang) for r in chosen.toLocalIterator()), key=lambda x: (len(x[0]), x)))
 
 
 PREDICTED = "doc_id long, lang_pred string, score double, words_by_lang array<long>"

@@ -8,7 +8,8 @@ sample of regions, and finds what resembles them in shape without matching a pat
 overlaps no base span.
 
 A region is a run of neighbouring chunks between white space that hold a digit or an at sign; no segment reaches beyond
-one, so only regions are decoded, each as a whole, in time linear in its length. Places are code points, ends exclusive.
+one, so only regions are decoded, in time linear in their length however long they are (2 MB of letters and digits take
+seconds; where candidates begin at every other character, about 0.3 ms a character). Places are code points, ends exclusive.
 
 Null and empty texts have no spans. Repeated rows give repeated results. With no regions to learn from only base spans
 are found. Ties between labellings go to the one that comes first in the order of KINDS. Extra columns are not read.
@@ -41,6 +42,7 @@ MARGIN = 2.0
 
 # The base patterns.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_DIGITS = frozenset("0123456789")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
@@ -56,6 +58,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _octet(digits: str) -> bool:
+    """At most 255, with zeros before it or not; a number of any length is not converted."""
+    digits = digits.lstrip("0")
+    return len(digits) <= 3 and int(digits or 0) <= 255
+
+
 def emails(text: str) -> Iterator[tuple[int, int]]:
     """As the pattern local@domain finds them, leftmost first, in time linear in the text."""
     floor, at = 0, text.find("@")
@@ -79,7 +87,7 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     if not _TRIGGER.search(text):
         return out
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(_octet(p) for p in m.group().split(".")):
             out.append(("ip", *m.span()))
     for m in _CARD.finditer(text):
         digits = _NO_DIGIT.sub("", m.group())
@@ -151,15 +159,48 @@ def segments_from(text: str, cuts: list[int], i: int) -> Iterator[tuple[int, tup
     """The segments that begin with token i: its end, its features, and whether it is a single token outside entities."""
     token = text[cuts[i] : cuts[i + 1]]
     yield i + 1, ("out", f"out {_side(token[0])}", f"out {_side(token[0])} {min(len(token), 20)}"), True
-    if not (token[0].isascii() and (token[0].isalnum() or token[0] in "+(")):
-        return
-    for j in range(i + 1, min(i + MAX_TOKENS, len(cuts) - 1) + 1):
+    for j in entities_from(text, cuts, i):
         a, b = cuts[i], cuts[j]
-        if b - a > MAX_CHARS:
+        yield j, (*_span_features(text[a:b]), f"left {_side(text[a - 1 : a])}", f"right {_side(text[b : b + 1])}"), False
+
+
+def entities_from(text: str, cuts: list[int], i: int) -> Iterator[int]:
+    """The ends of the candidates that begin with token i: spans of digits and the marks of numbers, or with one at sign,
+    of at most MAX_TOKENS tokens and MAX_CHARS characters, that the exact check allows some kind for."""
+    start = cuts[i]
+    first = text[start]
+    last = min(i + MAX_TOKENS, len(cuts) - 1)
+    if first in _DIGITS or first in "+(":
+        digits = dots = others = 0
+        for j in range(i, last):
+            a, b = cuts[j], cuts[j + 1]
+            c = text[a]
+            if c in _DIGITS:
+                digits += b - a
+                if digits > 19 or b - start > MAX_CHARS:
+                    break
+                if 8 <= digits <= 15:  # plausible as a phone number, whatever else
+                    yield j + 1
+                elif digits > 15 and plausible("card", text[start:b]):
+                    yield j + 1
+                elif digits >= 4 and dots == 3 and not others and plausible("ip", text[start:b]):
+                    yield j + 1
+            elif c == ".":
+                dots += 1
+            elif c in " ()+-" or c.isspace():
+                others += 1
+            else:
+                break
+    if first.isascii() and first.isalnum():
+        at = text.find("@", start, min(cuts[last], start + MAX_CHARS))
+        if at < 0:
             return
-        span = text[a:b]
-        if span[-1].isascii() and span[-1].isalnum() and _TRIGGER.search(span):
-            yield j, (*_span_features(span), f"left {_side(text[a - 1 : a])}", f"right {_side(text[b : b + 1])}"), False
+        for j in range(i + 1, last + 1):
+            b = cuts[j]
+            if b - start > MAX_CHARS or text.find("@", at + 1, b) >= 0:
+                return
+            if b > at + 1 and text[b - 1].isascii() and text[b - 1].isalnum() and plausible("email", text[start:b]):
+                yield j
 
 
 class Lattice:
@@ -202,10 +243,28 @@ class Model:
         return np.array([self.score(f, o) for f, o in zip(lattice.features, lattice.outside, strict=True)])
 
     def decode(self, text: str, start: int, end: int) -> list[tuple[str, int, int]]:
-        """The best segmentation's entities. Segments are made and scored as their first token is reached, and not kept,
-        so memory is a few numbers for each token."""
+        """The best segmentation's entities. A token that no candidate holds is outside in every segmentation, and then the
+        label before the next one is known; so candidates that overlap or touch are decoded together and apart from
+        others, with the same result, in memory of a few numbers for each of their tokens."""
         cuts = token_cuts(text, start, end)
         n = len(cuts) - 1
+        out: list[tuple[str, int, int]] = []
+        first = until = -1  # of the candidates at hand, in tokens
+        for i in range(n):
+            if i > until >= 0:
+                out += self._decode(text, cuts, first, until)
+                until = -1
+            for j in entities_from(text, cuts, i):
+                if until < 0:
+                    first = i
+                until = max(until, j)
+        if until >= 0:
+            out += self._decode(text, cuts, first, until)
+        return out
+
+    def _decode(self, text: str, cuts: list[int], first: int, until: int) -> list[tuple[str, int, int]]:
+        """Of tokens first to until, which single tokens or the region's bounds surround."""
+        n = until - first
         best = np.full((n + 1, LABELS), -np.inf)
         best[0, 0] = 0.0
         back = np.zeros((n + 1, LABELS, 2), np.int32)  # where the best segment that ends here begins, and the label before
@@ -214,20 +273,22 @@ class Model:
         for i in range(n):
             into = best[i][:, None] + self.transitions
             value, source = into.max(axis=0), into.argmax(axis=0)
-            for j, features, single in segments_from(text, cuts, i):
+            for to, features, single in segments_from(text, cuts, first + i):
                 own = self.score(features, single)
+                j = to - first
                 if single:
                     outside[i + 1] = outside[i] + own[0]
                 total = value + own
                 for y in np.flatnonzero(total > best[j]):
                     best[j, y], gain[j, y] = total[y], own[y]
                     back[j, y] = i, source[y]
+        after = self.transitions[:, 0] if until < len(cuts) - 1 else 0.0
         out = []
-        at, y = n, int(best[n].argmax())
+        at, y = n, int((best[n] + after).argmax())
         while at:
             begin, before = map(int, back[at, y])
             if y and gain[at, y] - (outside[at] - outside[begin]) >= MARGIN:
-                out.append((KINDS[y - 1], cuts[begin], cuts[at]))
+                out.append((KINDS[y - 1], cuts[first + begin], cuts[first + at]))
             at, y = begin, before
         return out[::-1]
 
@@ -381,20 +442,28 @@ def all_spans(text: str | None, model: Model, base: list[tuple[str, int, int]])
 
 
 def trained(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from `sample` different regions, chosen by a hash, of all documents."""
+    """Learns from `sample` different regions at most of all documents, chosen by a hash: an eighth of them, or as many as
+    there are, with base spans of each kind, and half of them without any."""
     on_workers(docs.sparkSession)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, kinds = [], []
             for t in b.column(0):
                 text = f" {t.as_py() or ''} "
-                out += [text[a - 1 : e + 1] for a, e in regions(text) if e - a <= 8 * SAMPLE_TOKENS]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["region"])
-
-    found = docs.select("text").mapInArrow(find, "region string").groupBy("region").agg(F.count(F.lit(1)).alias("n"))
-    found = stored(found.select(F.xxhash64("region").alias("h"), "region"), "regions")
-    return fit([r.region for r in hash_sample(found, sample, found.count())])
+                for a, e in regions(text):
+                    if e - a <= 8 * SAMPLE_TOKENS:
+                        own = text[a - 1 : e + 1]
+                        out.append(own)
+                        kinds.append(sum(1 << KINDS.index(k) for k in {k for k, _, _ in base_spans(own)}))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(kinds, pa.int32())], names=["region", "kinds"])
+
+    found = docs.select("text").mapInArrow(find, "region string, kinds int").groupBy("region").agg(F.max("kinds").alias("kinds"))
+    found = stored(found.select(F.xxhash64("region").alias("h"), "region", "kinds"), "regions")
+    strata = [(F.col("kinds").bitwiseAND(F.lit(1 << i)) > 0, sample // 8) for i in range(len(KINDS))] + [(F.col("kinds") == 0, sample // 2)]
+    sizes = found.agg(*(F.count_if(of).alias(str(i)) for i, (of, _) in enumerate(strata))).first()
+    chosen = {r.region for i, (of, most) in enumerate(strata) for r in hash_sample(found.where(of).select("h", "region"), most, sizes[i])}
+    return fit(sorted(chosen))
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:

@@ -8,10 +8,12 @@ A tree splits points at a distance `cut` from a vantage point: inner ones are ne
 each other that a split parts have distances in [cut - r, cut) and [cut, cut + r), so it is enough that outer points
 nearer than cut + r also visit the inner branch: each pair then shares a leaf. The upper tree is fitted on a bounded
 sample of fingerprints and its leaves are the shards; every fingerprint is dealt to its shard and to those its ball
-overlaps. Each shard grows its own tree in memory and compares within leaves. A shard reports a spanning forest of its
+overlaps. A shard that came out far larger than others is cut into blocks, whose pairs are tasks of their own. Each task
+grows its own tree in memory and compares within leaves. A shard reports a spanning forest of its
 links, not all pairs, and distributed rounds of contraction join the forests to components.
 
-Null texts count as empty. A text without words has fingerprint zero and links like any other. A text of fewer words
+Null texts count as empty. A very long text is hashed whole, its votes counted some shingles at a time. A text without
+words has fingerprint zero and links like any other. A text of fewer words
 than a shingle is one shingle. Equal fingerprints are one point, so groups of copies cost nothing. Repeated rows give
 repeated results. Rows with null doc_id count as larger than all others. Extra columns are not read.
 """
@@ -38,6 +40,9 @@ SHARD = 2_000_000
 SHARDS = 64
 SAMPLED = 256
 SAMPLE = 1_048_576
+#: A shard of more than so many times the mean, and this number of points, is compared in blocks of half that size.
+UNEVEN = 4
+BLOCKED = 65_536
 #: Points that are compared with one another without a further split, and at one time with how many others.
 LEAF = 1_024
 WIDE = 8_192
@@ -227,8 +232,23 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         away = np.flatnonzero(first != np.arange(len(points)))
         return pd.DataFrame({"a": points[away].view("<i8"), "b": points[first[away]].view("<i8")})
 
-    dealt = fps.select("fp").mapInArrow(deal, "shard int, fp long")
-    return dealt.groupBy("shard").applyInPandas(span, "a long, b long")
+    dealt = stored(fps.select("fp").mapInArrow(deal, "shard int, fp long"), "dealt")
+    blocks = in_blocks(dealt, max(BLOCKED, UNEVEN * -(-total // shards)))
+    return blocks.groupBy("shard", "i", "j").applyInPandas(span, "a long, b long")
+
+
+def in_blocks(dealt: DataFrame, most: int) -> DataFrame:
+    """shard, i, j, fp: a shard of at most `most` points as it is (i = j = 0). A larger one, which its tree could not part,
+    is cut into blocks by a hash, and each pair of blocks (i < j) has both blocks' points: every two points meet, in tasks
+    of about `most` points, and fingerprints go out as many times as there are blocks less one."""
+    sizes = stored(dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most), "uneven")
+    # as many rows as there are shards at most
+    known = dealt.join(F.broadcast(sizes), "shard", "left")
+    blocks = F.ceil(F.col("n") * 2 / most).cast("int")
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    cut = known.select("shard", "fp", F.coalesce(blocks, F.lit(1)).alias("blocks"), F.coalesce(own, F.lit(0)).alias("own"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("own <> other or blocks = 1")
+    return met.select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
 
 
 def connected(edges: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import on_workers, shared_dir
+from ._common import on_workers, pinned_splits, shared_dir, stored
 
 #: Ids in a block.
 BLOCK = 1 << 20
@@ -129,14 +129,16 @@ def part_number(file) -> F.Column:
 def token_counts(docs: DataFrame, path: str, ranks_file: str, pattern: str, eod: int, width: int = 2) -> DataFrame:
     """doc_id, file number, ordinal, start and n_tokens of every document, by way of flat files in `path`.
 
-    The files carry no doc_id. Rows have the place in their partition that they had when they were written, as docs is
-    read from files in the same way both times; that every file has as many documents as rows is checked."""
-    write_token_files(docs, path, ranks_file, pattern, eod, width)
-    scanned = separator_scan(token_blocks(docs.sparkSession, path, width), eod, width).withColumn(
-        "file", part_number(F.col("file"))
-    )
+    The files carry no doc_id. The doc_ids are stored apart with their place in their partition, by a job that splits the
+    files of docs as the one before it did, whatever becomes of executors in between; docs is to be a plain reading of
+    files, whose partitions have no other order. That every file has as many documents as rows is checked."""
+    spark = docs.sparkSession
+    with pinned_splits(spark):
+        write_token_files(docs, path, ranks_file, pattern, eod, width)
+        rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row")), "places")
+    scanned = separator_scan(token_blocks(spark, path, width), eod, width).withColumn("file", part_number(F.col("file")))
     low = (1 << 33) - 1
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row")).select(
+    named = rows.select(
         "doc_id", F.shiftright("row", 33).cast("int").alias("file"), F.col("row").bitwiseAND(F.lit(low)).alias("ordinal"),
         F.lit(True).alias("named"),
     )

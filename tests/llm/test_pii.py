@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -180,3 +181,30 @@ def test_long_region_in_bounded_memory():
     model.decode(text, 0, len(text))
     assert tracemalloc.get_traced_memory()[1] < 40e6
     tracemalloc.stop()
+
+
+@pytest.mark.parametrize("text", ["0" * 5000 + ".1.1.1", "9" * 10000 + ".1.1.1", "1.2.3." + "0" * 9000 + "255", "4" * 12000, "+" + "1 " * 6000])
+def test_very_long_numbers(text):
+    got = x.base_spans(f"x {text} y")
+    want = [("ip", 2, 2 + len(text))] if text.count(".") == 3 and text[0] != "9" else []
+    assert got == want
+
+
+def test_candidates_are_decoded_apart_as_together():
+    """Against one dynamic programme over the whole region."""
+    model = x.fit([" a.b@c.de ", " 10.0.0.1 ", " +44 20 7946 0958 ", " 4111 1111 1111 1111 ", " 1999 ", " 3,000 "] * 3)
+    rng = random.Random(3)
+    parts = ["10.0.0.1", "+44 20 7946 0958", "4111111111111111", "a@b.co", "7", "x9", ",", "-", " ", ".5", "(0)20 7946 0958 12"]
+    for _ in range(40):
+        text = " " + "".join(rng.choice(parts) for _ in range(12)) + " "
+        cuts = x.token_cuts(text, 1, len(text) - 1)
+        assert model.decode(text, 1, len(text) - 1) == model._decode(text, cuts, 0, len(cuts) - 1)
+
+
+def test_long_region_takes_seconds():
+    rng = random.Random(4)
+    text = "".join(rng.choice("ab1c2d3") for _ in range(300_000))
+    model = x.fit([" 10.0.0.1 ", " 1999 "])
+    began = time.perf_counter()
+    assert x.all_spans(text, model, x.base_spans(text)) == []
+    assert time.perf_counter() - began < 20

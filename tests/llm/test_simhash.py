@@ -144,3 +144,33 @@ def test_sample_files(spark, sf):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in v.query(spark, sf).collect()}
     assert got == {a: (f"{fps[a]:016x}", want[a]) for a in texts}
     assert len(set(want.values())) < len(want)
+
+
+def test_long_paths_take_few_rounds(spark, monkeypatch):
+    """A path whose nodes lie in the order of their numbers."""
+    rounds = []
+    own = v.stored
+    monkeypatch.setattr(v, "stored", lambda df, name: rounds.append(name) or own(df, name))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001)], "a long, b long")
+    got = {r.node: r.root for r in v.connected(edges).collect()}
+    assert len(got) == 203 and len({got[i] for i in range(201)}) == 1 and got[1000] == got[1001] != got[0]
+    assert rounds.count("moves") <= 12
+
+
+def test_shards_that_nothing_parts(spark, monkeypatch):
+    """Points that agree in one half cannot be parted by it: the shard is cut into blocks, and no link is lost."""
+    monkeypatch.setattr(v, "BLOCKED", 40)
+    monkeypatch.setattr(v, "UNEVEN", 1)
+    monkeypatch.setattr(v, "SHARDS", 4)
+    rng = random.Random(8)
+    base = [rng.getrandbits(32) << 32 for _ in range(60)]
+    points = sorted({b for b in base} | {b ^ (1 << rng.randrange(32, 63)) ^ (1 << rng.randrange(32, 63)) for b in base})
+    signed = [x - (1 << 64) if x >> 63 else x for x in points]
+    fps = spark.createDataFrame([(x,) for x in signed], "fp long")
+    roots = {r.node: r.root for r in v.connected(v.links(fps)).collect()}
+    want = slow_components(dict(zip(signed, points, strict=True)))
+    pairs = [(a, b) for a in signed for b in signed]
+    assert all((roots.get(a, a) == roots.get(b, b)) == (want[a] == want[b]) for a, b in pairs)
+    dealt = spark.createDataFrame([(1, x) for x in signed] + [(2, x) for x in signed[:10]], "shard int, fp long")
+    sizes = {(r.shard, r.i, r.j): r["count"] for r in v.in_blocks(dealt, 40).groupBy("shard", "i", "j").count().collect()}
+    assert sizes[2, 0, 0] == 10 and len(sizes) > 10 and max(sizes.values()) < 70

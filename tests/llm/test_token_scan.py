@@ -1,4 +1,5 @@
 import base64
+import random
 
 import numpy as np
 import public_tokenizers
@@ -65,6 +66,31 @@ def test_documents(spark, tmp_path):
     assert sorted(r.n_tokens for r in small.collect()) == sorted(n for _, n in want)
 
 
+def test_names_hold_when_the_number_of_cores_changes(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, "word " * rng.randrange(1, 60)) for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(9).write.parquet(str(tmp_path / "d"))
+    names = ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes")
+    write = t.write_token_files
+
+    def then_fewer(*a, **k):
+        write(*a, **k)
+        spark.conf.set(names[0], "2")  # as when executors are lost between the jobs
+
+    monkeypatch.setattr(t, "write_token_files", then_fewer)
+    try:
+        spark.conf.set(names[1], "1")
+        spark.conf.set(names[0], "7")
+        got = t.token_counts(spark.read.parquet(str(tmp_path / "d")), str(tmp_path / "f"), RANKS, public_tokenizers.PATTERN, 50256)
+        counts = {r.doc_id: r.n_tokens for r in got.collect()}
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert counts == {a: len(e.encode_ordinary(x)) for a, x in rows}
+
+
 def test_no_documents(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert t.token_counts(docs, str(tmp_path / "f"), RANKS, public_tokenizers.PATTERN, 50256).count() == 0
