@@ -22,13 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import SENT_ROWS, join_to_groups, on_workers, stored, with_row
-from .simhash_vptree import RADIUS, SEED, connected, grouped, majority, shingles
+from .simhash_vptree import RADIUS, SEED, connected, majority, row_links, shingles
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -143,10 +142,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return both.select("row", "to", "set", "to_set").mapInArrow(run, "row long, to long")
 
 
-def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """members with label, the component of links that a row is in."""
+def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with label, the component of links that a row is in."""
     roots = connected(links.select(F.col("row").alias("a"), F.col("to").alias("b")))
-    named = members.join(roots.select(F.col("node").alias("row"), "root").hint("merge"), "row", "left")
+    named = rows.join(roots.select(F.col("node").alias("row"), "root").hint("merge"), "row", "left")
     return named.withColumn("label", F.coalesce("root", "row")).drop("root")
 
 
@@ -163,14 +162,19 @@ def _left_apart(members: DataFrame, sketches: DataFrame, sets: DataFrame, simila
     is_left = F.col("label") != F.col("main")
     dealt = rest.select("key", "row", "label", is_left.alias("left"), lefts.alias("lefts"), rights.alias("rights"), F.pmod(draw, lefts).alias("lb"), F.pmod(draw, rights).alias("rb"))
     all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    as_right = dealt.withColumn("l", F.explode(all_of("lefts"))).select("key", "row", "label", "l", F.col("rb").cast("int").alias("r"), F.lit(False).alias("left"))
-    as_left = dealt.where("left").withColumn("r", F.explode(all_of("rights"))).select("key", "row", "label", F.col("lb").cast("int").alias("l"), "r", F.lit(True).alias("left"))
+    # in a block that it is on both sides of a row is sent once
+    as_right = dealt.withColumn("l", F.explode(all_of("lefts"))).select(
+        "key", "row", "label", "l", F.col("rb").cast("int").alias("r"), (F.col("left") & (F.col("lb") == F.col("l"))).alias("left"), F.lit(True).alias("right")
+    )
+    as_left = dealt.where("left").withColumn("r", F.explode(all_of("rights"))).where("r <> rb").select(
+        "key", "row", "label", F.col("lb").cast("int").alias("l"), "r", F.lit(True).alias("left"), F.lit(False).alias("right")
+    )
     wanted = sets.select("row", "set", "n").join(sketches.select("row", "keys").hint("merge"), "row")
     # rows that many blocks need are few beside the blocks' pairs: joined once by row
     full = as_right.unionByName(as_left).join(wanted.hint("merge"), "row")
 
     def compare(block: pa.Table) -> pa.Table:
-        left, right = block.filter(block["left"]), block.filter(pc.invert(block["left"]))
+        left, right = block.filter(block["left"]), block.filter(block["right"])
         if not left.num_rows or not right.num_rows:
             return _LINKS.empty_table()
         key = np.int64(block["key"][0].as_py())
@@ -217,29 +221,29 @@ def _in_common(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def links(docs: DataFrame, row: str, size: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """doc_id, row, and to: links that span the components; of every row its own line, with to null if it has no link.
-    docs is `numbered`, and row its number."""
+def components(docs: DataFrame, row: str, size: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
+    """doc_id, row, label (a row of its component, the same for all). docs is `numbered`, and row its number."""
     sketches = stored(sketched(docs, size, row), "sketches")
-    # the trees' components, each as a star
-    stars = stored(grouped(sketches, radius).where("row <> first_row").select("row", F.col("first_row").alias("to")), "stars")
     flat = sketches.select("row", F.explode("keys").alias("key"))
     groups = stored(flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
     members = stored(join_to_groups(flat, groups, "key", "n", sketches.count() * BANDS), "members")
     sets = _sets(docs, row, stored(members.select("row").distinct(), "wanted"), size)
-    total = members.count()
-    near = stored(_confirmed(_central(members, total), sets, similarity).unionByName(stars), "near")
-    more = stored(_left_apart(stored(_labelled(members, near), "labelled"), sketches, sets, similarity), "more")
-    found = near.unionByName(more)
-    return sketches.select("doc_id", "row").join(found.hint("merge"), "row", "left").select("doc_id", "row", "to")
+    near = stored(_confirmed(_central(members, members.count()), sets, similarity).unionByName(row_links(sketches, radius)), "near")
+    labels = stored(_labelled(sketches.select("doc_id", "row"), near), "labels")
+    names = labels.select("row", "label")
+    more = stored(_left_apart(stored(members.join(names.hint("merge"), "row"), "labelled"), sketches, sets, similarity), "more")
+    if not more.limit(1).count():
+        return labels
+    to = names.select(F.col("row").alias("to"), F.col("label").alias("to_label"))
+    edges = more.join(names.hint("merge"), "row").join(to.hint("merge"), "to").select(F.col("label").alias("row"), F.col("to_label").alias("to"))
+    further = _labelled(labels.select("doc_id", F.col("row").alias("own"), F.col("label").alias("row")), edges)
+    return stored(further.select("doc_id", F.col("own").alias("row"), "label"), "labels")
 
 
 def near_copies(docs: DataFrame, row: str, size: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """row: all rows of each component of links but the one with the smallest doc_id. docs is `numbered`, row its number."""
-    found = stored(links(docs, row, size, similarity, radius), "links")
-    roots = connected(found.where("to is not null").select(F.col("row").alias("a"), F.col("to").alias("b")))
-    roots = roots.withColumnRenamed("node", "row")
-    nodes = stored(found.select("row", "doc_id").distinct().join(roots.hint("merge"), "row"), "nodes")
+    """row: all rows of each component but the one with the smallest doc_id. docs is `numbered`, row its number."""
+    named = components(docs, row, size, similarity, radius)
     order = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "row")
-    firsts = nodes.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
-    return nodes.join(firsts.hint("merge"), "row", "left_anti").select("row")
+    # partial aggregation meets large components before the shuffle
+    firsts = named.groupBy("label").agg(F.min(order).alias("first")).select(F.col("first.row").alias("row"))
+    return named.join(firsts.hint("merge"), "row", "left_anti").select("row")

@@ -36,8 +36,8 @@ from ._common import on_workers
 SPACE = "▁"
 #: Words of one generation that a worker remembers, and pairs. When a generation is full, the one before it goes; words
 #: that are met again pass to the new one.
-WORDS_HELD = 200_000
-PAIRS_HELD = 500_000
+WORDS_HELD = 100_000
+PAIRS_HELD = 250_000
 
 
 class Words(dict):

@@ -257,30 +257,37 @@ def connected(edges: DataFrame) -> DataFrame:
     in each round, so about half of the nodes go whatever their order, and a path of n nodes takes some log2(n) rounds.
     All state is in tables in the shared folder."""
     edges = stored(edges.where("a <> b").distinct(), "edges")
-    assigned, turn = None, 0
+    steps: list[DataFrame] = []
     while edges.limit(1).count():
-        turn += 1
+        turn = F.lit(len(steps))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        place = lambda node: F.struct(F.xxhash64(node, F.lit(turn)).alias("h"), F.col(node).alias("to"))  # noqa: B023, E731
+        place = lambda node: F.struct(F.xxhash64(node, turn).alias("h"), F.col(node).alias("to"))  # noqa: B023, E731
         first = F.least(F.min(place("b")), F.first(place("a")))
         moves = stored(both.groupBy("a").agg(first.alias("first")).select(F.col("a").alias("node"), F.col("first.to").alias("root")), "moves")
+        steps.append(moves)
         to = lambda end: moves.select(F.col("node").alias(end), F.col("root").alias(f"{end}2"))  # noqa: B023, E731
         moved = edges.join(to("a").hint("merge"), "a").join(to("b").hint("merge"), "b")
         edges = stored(
             moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct(),
             "edges",
         )
-        if assigned is None:
-            assigned = moves
-        else:
-            step = moves.select(F.col("node").alias("root"), F.col("root").alias("next"))
-            assigned = stored(
-                assigned.join(step.hint("merge"), "root", "left").select("node", F.coalesce("next", "root").alias("root")),
-                "assigned",
-            )
-    if assigned is None:
+    if not steps:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return assigned
+    out = steps[0]
+    for moves in steps[1:]:
+        step = moves.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        out = out.join(step.hint("merge"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    return stored(out, "assigned")
+
+
+def row_links(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """rows: a table with row and fp. row, to: links that span the components, between a row of each fingerprint and of
+    another, and between the rows of one."""
+    firsts = stored(rows.groupBy("fp").agg(F.min("row").alias("to"), F.count(F.lit(1)).alias("copies")), "points")
+    named = lambda fp, row: firsts.select(F.col("fp").alias(fp), F.col("to").alias(row)).hint("merge")
+    apart = stored(links(firsts, radius), "forest").join(named("a", "row"), "a").join(named("b", "to"), "b").select("row", "to")
+    same = join_to_groups(rows.select("row", "fp"), firsts.where("copies > 1"), "fp", "copies", rows.count())
+    return apart.unionByName(same.where("row <> to").select("row", "to"))
 
 
 def grouped(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
