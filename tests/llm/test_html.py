@@ -1,4 +1,5 @@
 import re
+import time
 from html import escape, unescape
 from html.parser import HTMLParser
 
@@ -14,8 +15,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <section id="comments"><article class="comment"><p>First!</p></article></section><footer>&copy; me</footer></body></html>"""
 
 
-def text(page, paths=frozenset(), texts=frozenset()):
-    return " ".join(t for _, t in h.slots(page, paths, texts))
+def text(page, region=None, tags=frozenset(), texts=frozenset()):
+    return " ".join(t for _, t in h.slots(page, region, tags, texts))
 
 
 def test_main_text():
@@ -26,7 +27,7 @@ def test_edges():
     assert text(None) == text("") == text("  ") == ""
     assert text("just text & more &lt;") == "just text & more <"
     assert text("a < b <p>c") == "a < b c"
-    assert text("<!-- open") == "" and text("<script>x") == "" and text("<p>a</p") == "a</p"
+    assert text("<!-- open") == "" and text("<script>x") == "" and text("<p>a</p") == "a"
     assert text("<article>") == ""
     assert text("<article><p>" + "word " * 50000 + "</article>") == ("word " * 50000).strip()
     assert text("<ARTICLE CLASS=x>Up</ARTICLE>") == "Up"
@@ -57,31 +58,84 @@ def test_template_takes_constant_texts(spark):
 
 
 def test_copies_of_one_article_stay(spark):
+    """Equal pages, and pages that differ in what stands around an equal article."""
     page = pages(1)[0]
-    df = spark.createDataFrame([(i, "http://a.example/", page) for i in range(5)], "page_id long, url string, html string")
+    around = ["<html><body><div class=n{0}>{1}</div>".format(i, "link " * i) + page[page.index("<article>") :] for i in range(5)]
+    rows = [(i, "http://a.example/", page) for i in range(5)] + [(10 + i, "http://b.example/", x) for i, x in enumerate(around)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {" ".join(s.text for s in r.slots) for r in h.extracted(df).collect()} == {"Head 0"}
 
 
+def run(spark, pages):
+    df = spark.createDataFrame([(i, f"http://a.example/{i}", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: " ".join(s.text for s in r.slots) for r in h.extracted(df).collect()}
+
+
+def test_the_template_decides(spark, monkeypatch):
+    """Constant lines go from an article too; without the template they stay."""
+    made = [
+        f"<article><h1>Title {i}</h1><p>Read us every day</p><p>{'own words %d ' % i * (i + 9)}</p><p>Tell a friend</p></article>"
+        for i in range(6)
+    ]
+    got = run(spark, made)
+    for i in range(6):
+        assert got[i] == f"Title {i} " + ("own words %d " % i * (i + 9)).strip()
+    monkeypatch.setattr(h, "SUPPORT", 100)
+    assert all("Read us every day" in t and "Tell a friend" in t for t in run(spark, made).values())
+
+
+def test_regions_without_telling_names(spark):
+    """No article, no listed name: links that change and a list of other pages stand beside the text."""
+    made = []
+    for i in range(8):
+        links = "".join(f"<li><a href=/{k}>{k}</a></li>" for k in range(i, i + 4))
+        words = "".join(f"<p>Sentence {k} of page {i}, with some more words.</p>" for k in range(3 + i % 3))
+        made.append(f"<body><div class=x1><ul>{links}</ul></div><div class=x2><div class=y><h2>About {i}</h2>{words}</div></div><div class=x3>See also {i}</div></body>")
+    got = run(spark, made)
+    for i in range(8):
+        assert got[i] == " ".join([f"About {i}", *(f"Sentence {k} of page {i}, with some more words." for k in range(3 + i % 3))])
+    odd = run(spark, made + ["<div>Quite another page</div>"])  # nothing in the region
+    assert odd[8] == "Quite another page"
+
+
+def test_long_and_deep_pages_take_seconds():
+    began = time.perf_counter()
+    for page in ("<a " * 700_000, "</a " * 500_000, "<a '" * 500_000, '<a "x>" ' * 300_001 + '"', "<div>" * 100_000 + "deep", "<p><b>" * 100_000 + "deep", "<!" * 500_000):
+        own = text(page)
+        assert own in ("", "deep")
+        h.page_tokens(page)
+    assert time.perf_counter() - began < 60
+
+
 def test_classes_by_brute_force(spark):
     rows = [(i, f"http://h{i % 2}.example/", p) for i, p in enumerate(pages(12))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.host: ({t.path: t["class"] for t in r.tags}, set(r.texts)) for r in h.templates(df).collect()}
+    got = h.classes(df).collect()
     for k in (0, 1):
-        counts = [h.page_tokens(p) for i, _, p in rows if i % 2 == k]
-        vectors = {t: tuple(c[t] for c in counts) for c in counts for t in c}
-        vectors = {t: v for t, v in vectors.items() if sum(x > 0 for x in v) >= 3}
-        tags = {t[1]: v for t, v in vectors.items() if t[1]}
-        own, texts = got[f"h{k}.example"]
-        assert set(own) == set(tags)
-        assert all((own[a] == own[b]) == (tags[a] == tags[b]) for a in tags for b in tags)
-        assert texts == {t[0] for t, v in vectors.items() if t[1] is None and v in tags.values()}
+        counts = {content: found for found, content in (h.page_tokens(p) for i, _, p in rows if i % 2 == k)}
+        counts = list(counts.values())
+        vectors = {t: tuple(c[t].k if t in c else 0 for c in counts) for c in counts for t in c}
+        vectors = {t: v for t, v in vectors.items() if sum(x > 0 for x in v) >= max(3, len(counts) / 2)}
+        kinds = {t: c[t].kind for c in counts for t in c}
+        tags = {t: v for t, v in vectors.items() if kinds[t]}
+        own = {r.token: r for r in got if r.host == f"h{k}.example"}
+        assert {t for t, r in own.items() if r.kind} == set(tags)
+        name = lambda t: (own[t].vector, own[t].support)  # noqa: B023, E731
+        assert all((name(a) == name(b)) == (tags[a] == tags[b]) for a in tags for b in tags)
+        assert all(own[t].once == (max(v) == 1) for t, v in tags.items())
+        assert {t for t, r in own.items() if not r.kind} == {t for t, v in vectors.items() if not kinds[t] and v in tags.values()}
 
 
 def test_nesting():
-    ok = [("html", 1), ("html/body", 1), ("html/body/p", 2)]
-    assert h.nest(ok) == {"html", "html/body", "html/body/p"}
-    # members of class 3 stand in two different classes
-    assert h.nest(ok + [("html/body/p/i", 3), ("html/u", 3)]) == {"html", "html/body", "html/body/p"}
+    # token, kind, parent, chars, once, vector, support
+    ok = [(1, 1, 0, 0, True, 7, 3), (2, 1, 1, 0, True, 7, 3), (3, 1, 2, 90, False, 8, 3)]
+    assert h.template(ok) == (2, [1, 2, 3], [])
+    # members of one class stand in two different classes
+    assert h.template(ok + [(4, 1, 3, 0, True, 9, 3), (5, 1, 1, 0, True, 9, 3)]) == (2, [1, 2, 3], [])
+    # a constant text of a class that nests, and one of a class that does not
+    odd = [(4, 1, 3, 0, True, 9, 3), (5, 1, 1, 0, True, 9, 3), (6, 0, 3, 30, True, 7, 3), (7, 0, 5, 30, True, 9, 3)]
+    assert h.template(ok + odd) == (2, [1, 2, 3], [6])
+    assert h.template([]) == (None, [], [])
 
 
 def test_sample_files(spark, sf):
