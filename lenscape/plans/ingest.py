@@ -49,6 +49,7 @@ def processed(found: DataFrame, tools: Tools = Tools(), thumbnails: str | None =
         orientation.cast("int").alias("orientation"),
         media.decoder(F.col("path"), F.col("head")).alias("decoder"),
     )
+    rows = checkpointed(rows)  # both sides of the join below need it, and the reader is to see a file once
     carried = rows.select("path", "exif")
     pixels = rows.drop("exif").mapInPandas(lambda it: _pixels(it, tools, thumbnails), "path string, relative_path string, name string, size long, created_ms double, modified_ms double, decoder string, width int, height int, phash string, error string")
     joined = pixels.join(carried, "path", "left")

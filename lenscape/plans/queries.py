@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import media
 from ..operators import catalog, folders, hashing, navigation, progress, serving, upsert, vectors
 from ..sources import files
-from ..workers import remove, shared_folder
+from ..workers import checkpointed, find_package, remove, shared_folder
 from .assets import cte, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,31 +51,35 @@ BASE = "/library/photos"
 # --- sources -------------------------------------------------------------------------------------------------------
 
 
-@query("src1_discover", f"{cte('assets')} SELECT path AS relative_path, name, CAST(length(path) AS BIGINT) AS size FROM assets WHERE id < 60 AND {_ends(ALL)}")
+@query("src1_discover", f"{cte('assets')} SELECT path AS relative_path, name, CAST(length(path) AS BIGINT) AS size FROM assets WHERE {_ends(ALL)}")
 def _(spark, sf):
-    """A walk over files made for it: small ones named as the first assets, among hidden and foreign ones."""
+    """A walk over files made for it: small ones named as all assets, among hidden and foreign ones."""
     folder = shared_folder(spark, "walk")
     try:
-        rows = files.discover(spark, _made_files(spark, sf, folder)).select("relative_path", "name", "size").collect()
+        return checkpointed(files.discover(spark, _made_files(spark, sf, folder)).select("relative_path", "name", "size"))
     finally:
         remove(spark, folder)
-    return spark.createDataFrame(rows, "relative_path string, name string, size long")
 
 
 def _made_files(spark, sf, folder: str) -> str:
+    """Executors write them, into the folder that all share."""
     import os
     from urllib.parse import urlparse
 
     root = urlparse(folder).path  # the walk is one of mounted file systems
-    rows = [r.path for r in read(spark, sf, "assets").where("id < 60").select("path").collect()]
-    for p in [*rows, ".hidden.jpg", ".hid/a.jpg", "notes.txt", "a/.b/c.png"]:
-        os.makedirs(os.path.dirname(f"{root}/{p}"), exist_ok=True)
-        with open(f"{root}/{p}", "w") as f:
-            f.write("x" * len(p))
-    return root
-
+    find_package(spark)
 
-scalar("src2_supported", "assets", {"supported": lambda: media.is_supported(F.upper("path"))}, f"{_ends(ALL)} AS supported")
+    def write(batches):
+        for b in batches:
+            for p in b["path"]:
+                os.makedirs(os.path.dirname(f"{root}/{p}"), exist_ok=True)
+                with open(f"{root}/{p}", "w") as f:
+                    f.write("x" * len(p))
+            yield pd.DataFrame({"n": [len(b)]})
+
+    odd = spark.createDataFrame([(p,) for p in (".hidden.jpg", ".hid/a.jpg", "notes.txt", "a/.b/c.png")], "path string")
+    read(spark, sf, "assets").select("path").unionByName(odd).mapInPandas(write, "n long").agg(F.sum("n")).first()
+    return root
 
 
 @query("src3_extensions", f"SELECT unnest([{_list(ALL)}]) AS extension")
@@ -662,14 +667,27 @@ def _(spark, sf):
     return s.select("photo_id", F.length("blob").cast("long").alias("bytes"), (media.blob_floats(col("blob")) == col("embedding")).alias("same"))
 
 
-@query("s20_text_embedding", "SELECT doc_id AS id, ((ord(substr(text, 1, 1)) * 7) % 29 - 14) / 100 AS first FROM documents WHERE text <> '' AND ascii(text) < 128")
+def toy_tower(text: "str | None") -> list[float]:
+    """Another stand-in, of the whole text: 64 sums over every 64th letter's code and place. It has no meaning."""
+    codes = np.fromiter(map(ord, text or ""), np.int64)
+    values = (codes * 7 + np.arange(len(codes)) * 3) % 29
+    return np.bincount(np.arange(len(codes)) % 64, values, 64).tolist()
+
+
+_SUM = "coalesce(list_sum(list_transform(range(i, len(c), 64), lambda j: (unicode(c[CAST(j + 1 AS INT)]) * 7 + j * 3) % 29)), 0)"
+
+
+@query("s20_text_embedding", f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '(?s).') AS c FROM documents)
+SELECT doc_id AS id, sha256(array_to_string(list_transform(range(0, 64), lambda i: CAST({_SUM} AS BIGINT)), ',')) AS vector_sha256 FROM d""")
 def _(spark, sf):
-    """The stand-in text tower, as a vectorised function."""
+    """The stand-in text tower over every whole text, null counting as empty, as a vectorised function; of each vector a
+    digest."""
     def tower(x: pd.Series) -> pd.Series:
-        return x.map(toy_embedding)
+        return x.map(toy_tower)
 
-    d = spark.read.parquet(f"{sf}/documents.parquet").where("text <> '' AND ascii(text) < 128")
-    return d.select(col("doc_id").alias("id"), F.pandas_udf(tower, "array<double>")("text")[0].alias("first"))
+    d = spark.read.parquet(f"{sf}/documents.parquet").select(col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    vector = F.transform(F.pandas_udf(tower, "array<double>")("text"), lambda x: x.cast("long"))
+    return d.select("id", F.sha2(F.array_join(vector, ",").cast("binary"), 256).alias("vector_sha256"))
 
 
 @query("s21_image_embedding", f"{cte('assets')} SELECT id AS photo_id, id % 7 <> 3 AS ok FROM assets WHERE embedding_status = 'pending'")
