@@ -3,8 +3,8 @@
 A text's paragraphs (lines) are classified into licence families, or unknown, by multinomial logistic regression over
 the one- to three-word sequences that occur in the templates below. It is trained on the templates' sentences and
 neighbours, with words dropped and foreign words mixed in, and, for the unknown class, on paragraphs of the corpus (a
-bounded sample, chosen by a hash) that match no template. A temperature fitted on held-back examples calibrates the
-probabilities. A family that is predicted with at least `threshold` is confirmed if a template of it has enough of its
+bounded sample, chosen by a hash) that match no template. A temperature calibrates the probabilities; it is fitted on
+paragraphs and altered sentences that the weights were not learned from. A family that is predicted with at least `threshold` is confirmed if a template of it has enough of its
 words, in order, in common with the paragraph (similarity 0.8 of the shorter one's three-word sequences); a paragraph
 whose prediction no template confirms is unknown.
 
@@ -30,6 +30,8 @@ UNKNOWN = "unknown"
 #: Paragraphs of the corpus to learn from, at most, and words of one that are used in the fit.
 SAMPLE = 4_000
 SAMPLE_WORDS = 400
+#: One of so many paragraphs of the corpus is held back from the fit, for the temperature.
+HELD_BACK = 5
 COPIES = 24
 STEPS = 150
 PENALTY = 1e-4
@@ -239,16 +241,21 @@ def fit(corpus: list[str]) -> Model:
     # parts of licence sentences that are no licence, and an empty paragraph
     fillers = [[w] for w in sorted({w for ts in TEMPLATES.values() for t in ts for w in words(t)})]
     train = [(place[f], w) for f, w in examples(1, COPIES, foreign)]
-    unknown = [(place[UNKNOWN], w) for w in [[], *fillers, *rest]]
-    held = [(place[f], w) for f, w in examples(2, 4, foreign)] + unknown[:: max(1, len(unknown) // 200)]
+    unknown = [(place[UNKNOWN], w) for w in [[], *fillers, *(w for i, w in enumerate(rest) if i % HELD_BACK)]]
+    seen = {(y, tuple(w)) for y, w in train + unknown}
+    held = [(place[f], w) for f, w in examples(2, 4, foreign)] + [(place[UNKNOWN], w) for w in rest[::HELD_BACK]]
+    held = [(y, w) for y, w in held if (y, tuple(w)) not in seen]
     weights, bias = _logistic(train + unknown, ids, len(families))
     model = Model(families, ids, weights, bias, 1.0)
     scores = [(y, [ids[g] for g in sorted(grams(w)) if g in ids]) for y, w in held]
+    is_unknown = np.array([y == place[UNKNOWN] for y, _ in scores], bool)
     grid = np.exp(np.linspace(-1.5, 1.5, 31))
     losses = []
     for t in grid:
         model.temperature = t
-        losses.append(-np.mean([np.log(model.probabilities(f)[y] + 1e-12) for y, f in scores]))
+        lost = np.array([-np.log(model.probabilities(f)[y] + 1e-12) for y, f in scores])
+        # families together and unknown weigh alike, as in the fit
+        losses.append(sum(lost[part].mean() for part in (is_unknown, ~is_unknown) if part.any()))
     model.temperature = float(grid[int(np.argmin(losses))])
     return model
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from lenscape.llm import licences as x
@@ -90,3 +91,53 @@ def test_short_lines_of_sample_files(spark, sf):
     assert any(t[a:b] == "All rights reserved." for i, t in texts.items() for a, b in want[i])
     for r in x.query(spark, sf).collect():
         assert [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s] == want[r.doc_id]
+
+
+def plainly(text, model):
+    """Brute force: every line, all weights, every template, nothing skipped."""
+    out, at = [], 0
+    for line in (text or "").split("\n"):
+        own = re.findall(r"[^\W_]+(?:\.[^\W_]+)*", line.lower())
+        parts = {" ".join(own[i : i + n]) for n in (1, 2, 3) for i in range(len(own) - n + 1)}
+        x_ = np.zeros(len(model.ids))
+        for g in parts & set(model.ids):
+            x_[model.ids[g]] = 1
+        z = (model.bias + x_ @ model.weights / max(1.0, np.sqrt(x_.sum()))) / model.temperature
+        p = np.exp(z) / np.exp(z).sum()
+        family = model.families[int(p.argmax())]
+        if own and family != x.UNKNOWN and p.max() >= x.THRESHOLD:
+            threes = lambda w: {" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))}
+            mine, best = threes(own), 0.0
+            for t in x.TEMPLATES[family]:
+                theirs = threes(re.findall(r"[^\W_]+(?:\.[^\W_]+)*", t.lower()))
+                whole = min(len(mine), len(theirs)) if len(own) >= 8 else len(theirs)
+                best = max(best, len(mine & theirs) / whole)
+            if best >= x.SIMILARITY:
+                out.append((family, at, at + len(line), pytest.approx(p.max()), pytest.approx(best)))
+        at += len(line) + 1
+    return out
+
+
+def test_brute_force(model):
+    rng = random.Random(11)
+    lines = [" ".join(w) for _, w in x.examples(12, 5, ["stone", "river"])] + [prose(rng, rng.randint(0, 30)) for _ in range(300)]
+    lines += [t for ts in x.TEMPLATES.values() for t in ts] + ["", "  ", "É Ünï_code 2.0 v1.2.3"]
+    found = 0
+    for _ in range(150):
+        text = "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 8)))
+        got = [(f["family"], f["start"], f["end"], f["probability"], f["similarity"]) for f in x.scan(text, model)]
+        assert got == plainly(text, model), text
+        found += len(got)
+    assert found > 100
+
+
+def test_temperature_is_of_rows_held_back(monkeypatch):
+    """What the weights are learned from holds no paragraph that the temperature is fitted on."""
+    rng = random.Random(21)
+    corpus = [prose(rng, rng.randint(3, 40)) for _ in range(200)]
+    learned, fit = [], x._logistic
+    monkeypatch.setattr(x, "_logistic", lambda rows, *more: (learned.extend(tuple(w) for _, w in rows), fit(rows, *more))[1])
+    x.fit(corpus)
+    rest = sorted({tuple(x.words(p)) for p in corpus} - {()})
+    apart = [w for w in rest if w not in set(learned)]
+    assert len(rest) / 10 < len(apart) < len(rest) / 3
