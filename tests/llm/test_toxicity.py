@@ -102,3 +102,54 @@ def test_nothing_to_learn(spark):
     assert x.scored(docs.limit(0), model).count() == 0
     one = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
     assert x.scored(docs, x.trained(docs, one)).count() == 1
+
+
+def test_scores_by_brute_force(spark):
+    """Severity, grade and probability of whole texts from the weights, one feature after another."""
+    import re
+
+    rows = corpus(300, 7) + [(500, None, 0), (501, "", 0), (502, "ÉTÉ scum-VILE 3x " * 500, 0), (503, "scum\x00vile\u00a0scum", 0)]
+    docs = spark.createDataFrame([(a, t) for a, t, _ in rows], "doc_id long, text string")
+    model = x.trained(docs, spark.createDataFrame([(a, y) for a, _, y in rows], "doc_id long, toxic int"))
+    assert len(model.weights) > 3
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    texts = {a: t for a, t, _ in rows}
+    for r in x.scored(docs, model).collect():
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in texts[r.doc_id] or "")
+        own = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        score = 0.0
+        for feature, weight in model.weights.items():
+            if feature.endswith("*"):
+                n = sum(w.startswith(feature[:-1]) and len(w) > len(feature) - 1 for w in own)
+            else:
+                n = own.count(feature)
+            score += weight * np.log1p(n)
+        above = [sig(score - t) for t in model.thresholds]
+        mass = [1 - above[0], above[0] - above[1], above[1]]
+        assert r.severity == pytest.approx(sum(above), abs=1e-9) and r.p_toxic == pytest.approx(above[0], abs=1e-9)
+        assert mass[r.grade] >= max(mass) - 1e-9
+
+
+def test_fit_is_the_least_of_its_convex_loss():
+    """No step away from the fitted weights, of one feature or of all, lowers the penalised loss by more than a trifle."""
+    rng = np.random.default_rng(5)
+    n, width = 200, 6
+    full = rng.poisson(0.6, (n, width)).astype(float)
+    hidden = full @ np.array([1.5, -1.0, 0.8, 0, 0, 0]) + rng.logistic(size=n)
+    grade = (hidden > 0.5).astype(int) + (hidden > 2.0)
+    rows, cols = np.nonzero(full)
+    vals = full[rows, cols]
+    w, theta = x.fit_ordinal(rows, cols, vals, width, grade, 3)
+    scale = (np.bincount(cols, vals**2, width) / n + 1e-6) ** -x.SCALING
+    objective = lambda w, t: loss(full @ w, t, grade) / n + x.PENALTY * np.abs(w / scale).sum()
+    least = objective(w, theta)
+    for size in (1e-2, 1e-1, 1.0):
+        for i in range(width):
+            for sign in (-1, 1):
+                step = np.zeros(width)
+                step[i] = sign * size
+                assert objective(w + step, theta) >= least - 1e-5
+        for _ in range(50):
+            t = theta + size * rng.normal(size=2)
+            if t[0] < t[1]:
+                assert objective(w + size * rng.normal(size=width), t) >= least - 1e-5
