@@ -1,15 +1,18 @@
 """Licence scans: a paragraph classifier over sparse word n-grams, with templates to confirm.
 
-A text's paragraphs (lines) are classified into licence families, or unknown, by multinomial logistic regression over
-the one- to three-word sequences that occur in the templates below. It is trained on the templates' sentences and
-neighbours, with words dropped and foreign words mixed in, and, for the unknown class, on paragraphs of the corpus (a
-bounded sample, chosen by a hash) that match no template. A temperature calibrates the probabilities; it is fitted on
+A text's paragraphs are classified into licence families, or unknown, by multinomial logistic regression over
+the one- to three-word sequences that occur in the templates below. A line that is a licence's is a paragraph of its own;
+lines between such lines and blank ones, two or more, are read as one wrapped paragraph, and this is a licence's only if
+its words as a whole are. It is trained on the templates' sentences and neighbours, with words dropped and foreign words
+mixed in, and, for the unknown class, on paragraphs of the corpus (a bounded sample, chosen by a hash) that match no
+template. Whole licence texts, by family, can be given in addition: their paragraphs become templates. A temperature calibrates the probabilities; it is fitted on
 paragraphs and altered sentences that the weights were not learned from. A family that is predicted with at least `threshold` is confirmed if a template of it has enough of its
-words, in order, in common with the paragraph (similarity 0.8 of the shorter one's three-word sequences); a paragraph
-whose prediction no template confirms is unknown.
+words, in order, in common with the paragraph (similarity 0.8 of the shorter one's three-word sequences); a wrapped
+paragraph, which may hold several templates, needs 0.8 of its own in the family's templates together. A paragraph whose
+prediction no template confirms is unknown. Of equally probable families the first of the list below is taken.
 
 Null and empty texts have no paragraphs. Letters are lower-cased and words are runs of letters, digits and inner dots.
-Repeated rows give repeated results. With no documents the unknown class is learned from its bias alone. Extra columns
+A very long text or line is read whole, a paragraph at a time. Repeated rows give repeated results. With no documents the unknown class is learned from its bias alone. Extra columns
 are not read.
 """
 
@@ -17,7 +20,8 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +54,11 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
         "the Software.",
+        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+        "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR "
+        "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "Apache": (
         "Licensed under the Apache License, Version 2.0.",
@@ -89,6 +98,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
         "disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+        "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+        "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+        "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES",
     ),
     "MPL": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -100,11 +117,15 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "SPDX-License-Identifier: ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
     ),
     "Unlicense": (
         "SPDX-License-Identifier: Unlicense",
         "This is free and unencumbered software released into the public domain.",
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright "
+        "interest in the software to the public domain.",
     ),
     "CC0": (
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this "
@@ -155,28 +176,68 @@ def shingles(own: list[str], size: int = 3) -> set[tuple[str, ...]]:
     return {tuple(own[i : i + size]) for i in range(max(1, len(own) - size + 1))} if own else set()
 
 
-_KNOWN = [(f, shingles(words(t)), len(words(t))) for f, ts in TEMPLATES.items() for t in ts]
-_TELLING = {w for _, s, _ in _KNOWN for w in s}
+#: Paragraphs of whole licence texts that have fewer words (headings, mostly) are no templates.
+SHORT = 8
 
 
-def compared(own: list[str], family: str | None = None) -> float:
-    """Largest similarity to a template (of a family): shared three-word sequences by those of the template, or of the
-    paragraph if that is a part of at least eight words."""
-    mine = shingles(own) & _TELLING
-    if not mine:
-        return 0.0
-    best, whole = 0.0, len(shingles(own))
-    for name, theirs, length in _KNOWN:
-        if family is None or name == family:
-            both = len(mine & theirs)
-            best = max(best, both / (min(len(theirs), whole) if len(own) >= 8 else len(theirs)))
-    return best
+def with_texts(texts: Mapping[str, str]) -> dict[str, tuple[str, ...]]:
+    """The templates, and the paragraphs (between blank lines) of whole licence texts by family, which may be a new one.
+    Paragraphs that several families have tell nothing and are left out."""
+    parts = {f: {" ".join(words(p)): p for p in re.split(r"\n\s*\n", t)} for f, t in texts.items()}
+    holders = Counter(k for own in parts.values() for k in own)
+    out = dict(TEMPLATES)
+    for family, own in parts.items():
+        out[family] = out.get(family, ()) + tuple(p for k, p in own.items() if holders[k] == 1 and k.count(" ") + 1 >= SHORT)
+    return out
+
+
+class Known:
+    """Templates by the three-word sequences that they hold."""
+
+    def __init__(self, templates: Mapping[str, tuple[str, ...]]):
+        self.families: list[str] = []
+        self.sizes: list[int] = []
+        self.holders: dict[tuple[str, ...], list[int]] = {}
+        for family, texts in templates.items():
+            for own in map(shingles, map(words, texts)):
+                for w in own:
+                    self.holders.setdefault(w, []).append(len(self.sizes))
+                self.families.append(family)
+                self.sizes.append(len(own))
+
+    def compared(self, own: list[str], family: str | None = None) -> float:
+        """Largest similarity to a template (of a family): shared three-word sequences by those of the template, or of
+        the paragraph if that is a part of at least eight words."""
+        mine = shingles(own)
+        both = Counter(i for w in mine for i in self.holders.get(w, ()) if family in (None, self.families[i]))
+        return max((n / (min(self.sizes[i], len(mine)) if len(own) >= SHORT else self.sizes[i]) for i, n in both.items()), default=0.0)
+
+    def covered(self, own: list[str], family: str) -> float:
+        """The share of a paragraph's three-word sequences that templates of a family hold."""
+        mine = shingles(own)
+        return sum(any(self.families[i] == family for i in self.holders.get(w, ())) for w in mine) / max(len(mine), 1)
+
+    def may_cover(self, own: list[str], share: float = SIMILARITY) -> bool:
+        """False if more sequences are in no template than `share` allows, which ordinary text shows after some of its
+        words: its different sequences are no more than its places, and the known ones no more than the templates'."""
+        most = (1 - share) * min(len(own) - 2, len(self.holders) / share) + 1e-9
+        strange = set()
+        for w in zip(own, own[1:], own[2:]):
+            if w not in self.holders:
+                strange.add(w)
+                if len(strange) > most:
+                    return False
+        return True
+
+
+BUILT_IN = Known(TEMPLATES)
 
 
 class Model:
-    """Families (the last is unknown), numbers of n-grams, weights by family, biases and the temperature."""
+    """Families (the last is unknown), numbers of n-grams, weights by family, biases, the temperature and the templates."""
 
-    def __init__(self, families: list[str], ids: dict[str, int], weights: np.ndarray, bias: np.ndarray, temperature: float):
+    def __init__(self, families: list[str], ids: dict[str, int], weights: np.ndarray, bias: np.ndarray, temperature: float, known: Known = BUILT_IN):
+        self.known = known
         self.families, self.ids, self.weights, self.bias, self.temperature = families, ids, weights, bias, temperature
         gain = weights[:, :-1] - weights[:, -1:]
         #: n-grams that make a family likelier than unknown
@@ -193,8 +254,10 @@ class Model:
 
     def classify(self, paragraph: str, threshold: float = THRESHOLD) -> tuple[str, float, float]:
         """Family, its probability and similarity; unknown if not likely enough or not confirmed."""
-        own = words(paragraph)
-        if not own or (self.skips and self.first.isdisjoint(own)):
+        return self.classify_words(words(paragraph), threshold)
+
+    def classify_words(self, own: list[str], threshold: float = THRESHOLD, wrapped: bool = False) -> tuple[str, float, float]:
+        if not own or (wrapped and not self.known.may_cover(own)) or (self.skips and self.first.isdisjoint(own)):
             return UNKNOWN, 1.0, 0.0
         found = [self.ids[g] for g in sorted(grams(own)) if g in self.ids]
         p = self.probabilities(found)
@@ -202,15 +265,15 @@ class Model:
         family = self.families[best]
         if family == UNKNOWN or p[best] < threshold:
             return UNKNOWN, float(p[-1]), 0.0
-        similar = compared(own, family)
+        similar = self.known.covered(own, family) if wrapped else self.known.compared(own, family)
         return (family, float(p[best]), similar) if similar >= SIMILARITY else (UNKNOWN, float(p[-1]), similar)
 
 
-def examples(seed: int, copies: int, foreign: list[str]) -> list[tuple[str, list[str]]]:
+def examples(seed: int, copies: int, foreign: list[str], templates: Mapping[str, tuple[str, ...]] = TEMPLATES) -> list[tuple[str, list[str]]]:
     """Template sentences as they are, and with words dropped, cut short or among foreign words."""
     rng = random.Random(seed)
     out = []
-    for family, texts in TEMPLATES.items():
+    for family, texts in templates.items():
         for text in texts:
             own = words(text)
             out.append((family, own))
@@ -226,27 +289,29 @@ def examples(seed: int, copies: int, foreign: list[str]) -> list[tuple[str, list
     return out
 
 
-def fit(corpus: list[str]) -> Model:
-    """corpus: paragraphs of documents; those that match a template are left out."""
+def fit(corpus: list[str], texts: Mapping[str, str] | None = None) -> Model:
+    """corpus: paragraphs of documents; those that match a template are left out. texts: whole licence texts by family."""
+    templates = with_texts(texts) if texts else TEMPLATES
+    known = Known(templates) if texts else BUILT_IN
     rest = sorted({tuple(words(p)[:SAMPLE_WORDS]) for p in corpus})
-    rest = [list(w) for w in rest if w and compared(list(w)) < SIMILARITY / 2]
+    rest = [list(w) for w in rest if w and known.compared(list(w)) < SIMILARITY / 2]
     foreign = sorted({w for p in rest[:200] for w in p[:5]})
-    families = [*TEMPLATES, UNKNOWN]
+    families = [*templates, UNKNOWN]
     ids: dict[str, int] = {}
-    for texts in TEMPLATES.values():
-        for t in texts:
+    for own in templates.values():
+        for t in own:
             for g in sorted(grams(words(t))):
                 ids.setdefault(g, len(ids))
     place = {f: i for i, f in enumerate(families)}
     # parts of licence sentences that are no licence, and an empty paragraph
-    fillers = [[w] for w in sorted({w for ts in TEMPLATES.values() for t in ts for w in words(t)})]
-    train = [(place[f], w) for f, w in examples(1, COPIES, foreign)]
+    fillers = [[w] for w in sorted({w for ts in templates.values() for t in ts for w in words(t)})]
+    train = [(place[f], w) for f, w in examples(1, COPIES, foreign, templates)]
     unknown = [(place[UNKNOWN], w) for w in [[], *fillers, *(w for i, w in enumerate(rest) if i % HELD_BACK)]]
     seen = {(y, tuple(w)) for y, w in train + unknown}
-    held = [(place[f], w) for f, w in examples(2, 4, foreign)] + [(place[UNKNOWN], w) for w in rest[::HELD_BACK]]
+    held = [(place[f], w) for f, w in examples(2, 4, foreign, templates)] + [(place[UNKNOWN], w) for w in rest[::HELD_BACK]]
     held = [(y, w) for y, w in held if (y, tuple(w)) not in seen]
     weights, bias = _logistic(train + unknown, ids, len(families))
-    model = Model(families, ids, weights, bias, 1.0)
+    model = Model(families, ids, weights, bias, 1.0, known)
     scores = [(y, [ids[g] for g in sorted(grams(w)) if g in ids]) for y, w in held]
     is_unknown = np.array([y == place[UNKNOWN] for y, _ in scores], bool)
     grid = np.exp(np.linspace(-1.5, 1.5, 31))
@@ -290,13 +355,14 @@ def _logistic(rows: list[tuple[int, list[str]]], ids: dict[str, int], k: int) ->
     return w, b
 
 
-def trained(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Takes one paragraph of each of `sample` documents at most, those of the smallest hashes."""
+def trained(docs: DataFrame, sample: int = SAMPLE, texts: Mapping[str, str] | None = None) -> Model:
+    """Takes one paragraph of each of `sample` documents at most, those of the smallest hashes. texts: whole licence texts
+    by family, in addition to the templates."""
     one = docs.where("length(text) > 0").select(
         F.xxhash64("doc_id", "text").alias("h"), F.split("text", "\n").alias("lines")
     ).select("h", F.element_at("lines", (F.pmod("h", F.size("lines")) + 1).cast("int")).alias("line"))
     rows = hash_sample(one.select("h", F.substring_index("line", " ", SAMPLE_WORDS).alias("line")), sample, docs.count())
-    return fit([r.line for r in rows])
+    return fit([r.line for r in rows], texts)
 
 
 FOUND = "doc_id long, licences array<struct<family: string, start: int, end: int, probability: double, similarity: double>>"
@@ -307,11 +373,28 @@ _FOUND = pa.list_(
 
 def scan(text: str | None, model: Model) -> list[dict]:
     """The licence paragraphs of a text, in order: family, place (code points), probability and similarity."""
-    out = []
+    out: list[dict] = []
+    run: list[tuple[int, int, list[str]]] = []  # lines since the last one that is blank or a licence's
+
+    def add(found: tuple[str, float, float], start: int, end: int) -> None:
+        if found[0] != UNKNOWN:
+            out.append({"family": found[0], "start": start, "end": end, "probability": found[1], "similarity": found[2]})
+
+    def flush() -> None:
+        if len(run) > 1:
+            add(model.classify_words([w for _, _, own in run for w in own], wrapped=True), run[0][0], run[-1][1])
+        run.clear()
+
     for m in _LINE.finditer(text or ""):
-        family, probability, similarity = model.classify(m.group())
-        if family != UNKNOWN:
-            out.append({"family": family, "start": m.start(), "end": m.end(), "probability": probability, "similarity": similarity})
+        own = words(m.group())
+        found = model.classify_words(own)
+        if found[0] != UNKNOWN or m.group().isspace() or (run and m.start() > run[-1][1] + 1):
+            flush()
+        if found[0] != UNKNOWN:
+            add(found, m.start(), m.end())
+        elif not m.group().isspace():
+            run.append((m.start(), m.end(), own))
+    flush()
     return out
 
 

@@ -1,5 +1,8 @@
 import random
 import re
+import textwrap
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -141,3 +144,52 @@ def test_temperature_is_of_rows_held_back(monkeypatch):
     rest = sorted({tuple(x.words(p)) for p in corpus} - {()})
     apart = [w for w in rest if w not in set(learned)]
     assert len(rest) / 10 < len(apart) < len(rest) / 3
+
+
+def test_wrapped_lines(model):
+    """Of a licence paragraph its family is found whatever width it is wrapped to, within its place; prose around it, wrapped
+    alike, is not. (A single line between lines that were found alone may stay out.)"""
+    rng = random.Random(31)
+    for family, text in (("MIT", x.TEMPLATES["MIT"][4]), ("BSD", x.TEMPLATES["BSD"][-1]), ("Unlicense", x.TEMPLATES["Unlicense"][-1])):
+        for width in (30, 50, 75, 100):
+            own = textwrap.fill(text, width)
+            before = textwrap.fill(prose(rng, 60), width) + "\n\n"
+            found = x.scan(before + own + "\n\n" + textwrap.fill(prose(rng, 60), width), model)
+            assert {f["family"] for f in found} == {family}, (width, found)
+            assert all(len(before) <= f["start"] < f["end"] <= len(before) + len(own) for f in found)
+
+
+def test_runs_by_brute_force(model):
+    """Runs of two or more lines that are no licence's alone: all weights and templates, nothing left out early."""
+    rng = random.Random(33)
+    pieces = [w for _, w in x.examples(34, 2, ["stone"])]
+    model_known = model.known
+    for _ in range(300):
+        own = [w for p in rng.sample(pieces, rng.randint(1, 3)) for w in p][rng.randint(0, 5) :] + prose(rng, rng.choice((0, 0, 5, 30))).split()
+        parts = {tuple(own[i : i + 3]) for i in range(max(1, len(own) - 2))}
+        family, p, similar = model.classify_words(own, wrapped=True)
+        of_any = sum(w in model_known.holders for w in parts) / len(parts)
+        if of_any < x.SIMILARITY:
+            assert family == x.UNKNOWN
+        else:
+            assert model_known.may_cover(own)
+        if family != x.UNKNOWN:
+            held = {w for t in x.TEMPLATES[family] for w in x.shingles(x.words(t))}
+            assert similar == pytest.approx(len(parts & held) / len(parts)) and similar >= x.SIMILARITY and p >= x.THRESHOLD
+
+
+COMMON = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not (COMMON / "MPL-2.0").exists(), reason="no licence texts on this machine")
+def test_whole_licence_texts():
+    """Texts given as further templates give their own family, most of each text; a family may be a new one."""
+    files = {"Apache": "Apache-2.0", "MPL": "MPL-2.0", "CC0": "CC0-1.0", "Artistic": "Artistic"}
+    texts = {f: (COMMON / n).read_text() for f, n in files.items()}
+    rng = random.Random(35)
+    own = x.fit([prose(rng, rng.randint(1, 40)) for _ in range(200)], texts)
+    for family, text in texts.items():
+        found = x.scan(text, own)
+        assert Counter(f["family"] for f in found).most_common(1)[0][0] == family
+        assert sum(f["end"] - f["start"] for f in found if f["family"] == family) > 0.5 * len(text)
+    assert all(x.scan(textwrap.fill(prose(rng, 200), 60), own) == [] for _ in range(50))
