@@ -17,6 +17,17 @@ def l2(a: Column, b: Column) -> Column:
     return F.when(same, F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)))
 
 
+def _matrix(vectors: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the vectors of that length, and these vectors in double precision, from the batch's own buffer."""
+    lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    fit = np.flatnonzero(lengths == dim)
+    if len(fit) == len(lengths):
+        own = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(fit), dim)
+    else:
+        own = np.array([vectors[int(i)].as_py() for i in fit]).reshape(len(fit), dim)
+    return fit, own.astype(np.float64)
+
+
 def top_k(embeddings: DataFrame, query: Sequence[float], k: int = 10, id_column: str = "photo_id") -> DataFrame:
     """id and distance of the k nearest vectors; equal distances by id. A scan that keeps k rows for each task and merges
     them: nothing else is shuffled. The distances of a batch are one product of arrays."""
@@ -26,18 +37,11 @@ def top_k(embeddings: DataFrame, query: Sequence[float], k: int = 10, id_column:
 
     def nearest(batches):
         for b in batches:
-            ids, vectors = b.column(0), b.column(1)
-            flat, dim = vectors.flatten(), len(q)
-            lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            fit = np.flatnonzero(lengths == dim)
+            fit, matrix = _matrix(b.column(1), len(q))
             if not len(fit):
                 continue
-            if len(fit) == len(lengths):
-                matrix = flat.to_numpy(zero_copy_only=False).reshape(-1, dim)
-            else:
-                matrix = np.array([vectors[int(i)].as_py() for i in fit])
-            d = np.sqrt(((matrix.astype(np.float64) - q) ** 2).sum(axis=1))
-            own = ids.to_numpy(zero_copy_only=False)[fit]
+            d = np.sqrt(((matrix - q) ** 2).sum(axis=1))
+            own = b.column(0).to_numpy(zero_copy_only=False)[fit]
             best = np.lexsort((own, d))[:k]
             yield pa.RecordBatch.from_arrays([pa.array(own[best], pa.int64()), pa.array(d[best])], names=["id", "distance"])
 
@@ -107,7 +111,8 @@ QUERIES = 1_024
 
 def nearest_of_many(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """query_id, photo_id, distance, rank: the k nearest vectors of each query. Queries are taken in blocks; each task
-    keeps the k best of each query, so k rows per query and task are shuffled."""
+    keeps the k best of each query, so k rows per query and task are shuffled. Vectors of another length than the queries'
+have no distance."""
     from pyspark.sql import Window
 
     out, block = None, []
@@ -131,10 +136,10 @@ def _blocks(embeddings: DataFrame, queries: list, k: int | None) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            if not len(names) or not len(ids):
+            if not len(names):
                 continue
-            rows = np.array(b.column(1).to_pylist(), np.float64)
+            fit, rows = _matrix(b.column(1), matrix.shape[1])
+            ids = b.column(0).to_numpy(zero_copy_only=False)[fit]
             for at in range(0, len(rows), 1024):
                 part, own = rows[at : at + 1024], ids[at : at + 1024]
                 d = np.stack([np.sqrt(((part - q) ** 2).sum(axis=1)) for q in matrix])

@@ -250,3 +250,12 @@ def test_create_tables(spark):
     assert sorted(create_tables(spark, "migrated")) == ["photo_embedding", "photo_exif", "photo_phash", "photos"]
     assert create_tables(spark, "migrated") == []
     spark.sql("DROP DATABASE migrated CASCADE")
+
+
+def test_many_queries_skip_vectors_of_other_lengths(spark):
+    rows = [(1, [0.0, 0.0]), (2, [3.0, 4.0]), (3, [1.0]), (4, None), (5, [1.0, 0.0, 0.0]), (6, [0.0, 1.0])]
+    e = spark.createDataFrame(rows, "photo_id long, embedding array<float>")
+    q = spark.createDataFrame([(9, [0.0, 0.0])], "query_id long, embedding array<float>")
+    got = [(r.photo_id, r.distance) for r in vectors.nearest_of_many(e, q, 5).orderBy("rank").collect()]
+    assert got == [(1, 0.0), (6, 1.0), (2, 5.0)]
+    assert [(r.photo_id, r.distance) for r in vectors.top_k(e, [0.0, 0.0], 5).collect()] == got
