@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digest_index, html_template, langid_crf, licences, pii_semicrf, sentencepiece_bpe, simhash_vptree, token_scan, toxicity, wu_manber
+from . import digest_index, html_template, langid_crf, licences, periodic_runs, pii_semicrf, sentencepiece_bpe, simhash_vptree, token_scan, toxicity, wu_manber
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_language_id": langid_crf.query,
         "op9_decontamination": wu_manber.query,
         "op10_html_extraction": html_template.query,
+        "op11_periodic_runs": periodic_runs.query,
     }
 
 
