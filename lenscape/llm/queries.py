@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import digest_index, html_template, langid_crf, licences, periodic_runs, pii_semicrf, sentencepiece_bpe, simhash_vptree, token_scan, toxicity, wu_manber
+from . import best_fit_packing, digest_index, html_template, langid_crf, licences, periodic_runs, pii_semicrf, sentencepiece_bpe, simhash_vptree, token_scan, toxicity, wu_manber
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_decontamination": wu_manber.query,
         "op10_html_extraction": html_template.query,
         "op11_periodic_runs": periodic_runs.query,
+        "op12_packing": best_fit_packing.query,
     }
 
 
