@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import best_fit_packing, digest_index, html_template, langid_crf, licences, periodic_runs, pii_semicrf, sentencepiece_bpe, simhash_vptree, token_scan, toxicity, wu_manber
+from . import anagram_variants, best_fit_packing, digest_index, html_template, langid_crf, licences, periodic_runs, pii_semicrf, sentencepiece_bpe, simhash_vptree, token_scan, toxicity, wu_manber
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_html_extraction": html_template.query,
         "op11_periodic_runs": periodic_runs.query,
         "op12_packing": best_fit_packing.query,
+        "op13_spelling_variants": anagram_variants.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": digest_index.SQL, "op9_decontamination": wu_manber.SQL}
+    return {"op4_exact_dedup": digest_index.SQL, "op9_decontamination": wu_manber.SQL, "op13_spelling_variants": anagram_variants.SQL}
