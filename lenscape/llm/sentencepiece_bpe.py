@@ -96,6 +96,8 @@ class Codec:
                 self.whole[piece] = [i]
         self.automaton.make_automaton()
         self.length = [len(p) for p in self.pieces]
+        self.most = max(map(len, self.whole))
+        self.window = 8 * self.most  # characters that matching looks at again when a match was shortened
         #: the longest piece that is a shorter prefix; -1 if there is none
         self.shorter = [-1] * size
         for piece, (i,) in self.whole.items():
@@ -156,14 +158,16 @@ class Codec:
         longest, shorter, length = self.automaton.iter_long, self.shorter, self.length
         fits, known = self.fits, self._pair.get
         n = len(run)
-        left = 0  # the bitfield: places that end no prefix's encoding
+        left: bytearray | None = None  # the bitfield: places that end no prefix's encoding
         ids: list[int] = []
         place, before = 0, -1
-        ahead = longest(run)  # longest matches one after another, as long as none is shortened
+        # longest matches one after another in a window, as long as none is shortened; up to `sure` none is cut by its end
+        window, most = self.window, self.most
+        ahead, sure = longest(run[:window]), n if n <= window else window - most
         token = next(ahead)[1]
         while True:
             while token >= 0:
-                if not left or not (left >> (place + length[token])) & 1:
+                if left is None or not left[(end := place + length[token]) >> 3] >> (end & 7) & 1:
                     if before < 0:
                         break
                     good = known(before << 32 | token)
@@ -174,7 +178,9 @@ class Codec:
             if token < 0:
                 if before < 0:
                     raise ValueError("no encoding: the vocabulary lacks a character")
-                left |= 1 << place
+                if left is None:
+                    left = bytearray((n >> 3) + 1)
+                left[place >> 3] |= 1 << (place & 7)
                 place -= length[before]
                 token = shorter[ids.pop()]
                 before = ids[-1] if ids else -1
@@ -185,8 +191,9 @@ class Codec:
             if place >= n:
                 return ids
             before = token
-            if ahead is None:
-                ahead = longest(run, place)
+            if ahead is None or place > sure:
+                end = place + window
+                ahead, sure = longest(run[place:end]), n if n <= end else end - most
             token = next(ahead)[1]
 
     def word(self, text: str) -> list[int]:

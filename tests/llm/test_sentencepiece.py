@@ -1,6 +1,7 @@
 import hashlib
 import random
 import struct
+import time
 
 import public_tokenizers
 import pytest
@@ -74,3 +75,16 @@ def test_query_columns(spark):
     full = {r.doc_id: r for r in b.encoded(docs, FILE).collect()}
     assert full[4].decoded == "é\n☃" and full[2].ids == [1, 2]
     assert b.encoded(docs.limit(0), FILE).count() == 0
+
+
+def test_unbroken_runs_take_linear_time():
+    codec = b.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(3)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ab", "aé漢\n"):
+        text = "".join(rng.choice(letters) for _ in range(20_000))
+        assert codec.encode(text).tolist() == sp.encode(text, add_bos=True, add_eos=True)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2_000_000))
+    began = time.process_time()
+    assert codec.decode(codec.encode(text)) == text
+    assert time.process_time() - began < 30
