@@ -27,7 +27,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -130,7 +130,7 @@ def parse(page: str | None) -> Iterator[tuple[str, Node | None, str]]:
     if not page:
         return
     stack: list[Node] = []
-    count: Counter = Counter()  # open elements by name
+    places: defaultdict[str, list[int]] = defaultdict(list)  # of the open elements of each name in the stack
     at, n = 0, len(page)
     while at < n:
         if page[at] != "<":
@@ -141,10 +141,10 @@ def parse(page: str | None) -> Iterator[tuple[str, Node | None, str]]:
         elif m := _OPEN.match(page, at):
             at = m.end()
             name, attributes = m[1].lower(), m[2]
-            if name in CLOSES_P and count["p"]:
-                _end(stack, count, {"p"}, {"article", "body", "div", "td", "th", "section", "main", "button", "object"})
-            if name in ENDS and any(count[x] for x in ENDS[name][0]):
-                _end(stack, count, *ENDS[name])
+            if name in CLOSES_P and places["p"]:
+                _end(stack, places, {"p"}, {"article", "body", "div", "td", "th", "section", "main", "button", "object"})
+            if name in ENDS and any(places[x] for x in ENDS[name][0]):
+                _end(stack, places, *ENDS[name])
             if name in BLOCKS:
                 yield "break", None, ""
             node = _opened(name, attributes, stack[-1] if stack else None)
@@ -154,17 +154,13 @@ def parse(page: str | None) -> Iterator[tuple[str, Node | None, str]]:
                 at = end.start() if end else n
             # HTML ignores the slash that ends a tag, but for the elements of drawings
             if name not in VOID and not (name in ("svg", "path") and attributes.rstrip().endswith("/")):
+                places[name].append(len(stack))
                 stack.append(node)
-                count[name] += 1
         elif m := _CLOSE.match(page, at):
             at = m.end()
             name = m[1].lower()
-            if count[name]:
-                while True:
-                    last = stack.pop()
-                    count[last.name] -= 1
-                    if last.name == name:
-                        break
+            if places[name]:
+                _close(stack, places, places[name][-1])
             if name in BLOCKS:
                 yield "break", None, ""
         elif page.startswith("<!--", at):
@@ -179,15 +175,17 @@ def parse(page: str | None) -> Iterator[tuple[str, Node | None, str]]:
             yield "text", stack[-1] if stack else None, "<"
 
 
-def _end(stack: list[Node], count: Counter, names: set, walls: set) -> None:
-    for i in range(len(stack) - 1, -1, -1):
-        if stack[i].name in names:
-            for x in stack[i:]:
-                count[x.name] -= 1
-            del stack[i:]
-            return
-        if stack[i].name in walls:
-            return
+def _close(stack: list[Node], places: dict[str, list[int]], at: int) -> None:
+    """Ends the open elements from place `at` on."""
+    while len(stack) > at:
+        places[stack.pop().name].pop()
+
+
+def _end(stack: list[Node], places: dict[str, list[int]], names: set, walls: set) -> None:
+    """Ends the innermost element of these names, if none of the walls stands in it."""
+    innermost = lambda kinds: max((places[x][-1] for x in kinds if places[x]), default=-1)
+    if (at := innermost(names)) >= 0 and at >= innermost(walls):
+        _close(stack, places, at)
 
 
 class Token:

@@ -173,3 +173,10 @@ def test_nested_elements_against_the_library_parser(parts):
     slow.feed(page)
     slow.close()
     assert text(page) == " ".join(slow.out.split())
+
+
+def test_open_elements_take_linear_time():
+    page = "<li><ul>" + "<b>" * 300_000 + "<li>" * 300_000 + "<p>x<div>" * 50_000
+    began = time.process_time()
+    events = sum(1 for _ in h.parse(page))
+    assert events > 600_000 and time.process_time() - began < 30
