@@ -29,17 +29,37 @@ ENTRY = T.StructType([
 
 class DigestIndex:
     """The digests seen so far. `path` is a folder in storage that all executors share; an index that is there is
-    opened again, whichever session wrote it. One writer at a time."""
+    opened again, whichever session wrote it. `buckets` is for a new index: its folder keeps the number, which holds from
+    then on, whatever later sessions give. One writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.path, self.buckets = spark, path, buckets
+        self.spark, self.path = spark, path
+        self.buckets = self._recorded(buckets)
         self.name = "digest_index_" + uuid.uuid5(uuid.NAMESPACE_URL, path).hex
         columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ENTRY)
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} ({columns}) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def _recorded(self, buckets: int) -> int:
+        """The number that the index's folder keeps, as a file's name that table readers pass over; it is written where
+        there is no index yet."""
+        mark, Path = "_buckets-", self.spark._jvm.org.apache.hadoop.fs.Path
+        folder = Path(self.path)
+        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        known = [int(n.removeprefix(mark)) for n in names if n.startswith(mark)]
+        if not known and any(n.endswith(".parquet") for n in names):
+            raise ValueError(f"the index at {self.path} does not say how many buckets it has")
+        if not known:
+            fs.create(Path(f"{self.path}/{mark}{buckets}")).close()
+        return known[0] if known else buckets
+
+    def close(self) -> None:
+        """Takes the index out of the session's catalog. Its files stay, and results that read them hold."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
     def entries(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -100,7 +120,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, batch: str, row: str | None
 
 def forget(index: DigestIndex) -> None:
     """Removes an index: its table of the catalog and its files. Results that read it are lost."""
-    index.spark.sql(f"DROP TABLE IF EXISTS {index.name}")
+    index.close()
     path = index.spark._jvm.org.apache.hadoop.fs.Path(index.path)
     path.getFileSystem(index.spark._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -114,9 +134,10 @@ def fresh_index(spark: SparkSession) -> DigestIndex:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: every row of documents against an index that is empty at first."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return deduplicate(docs, fresh_index(spark), "all").select(
-        "doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256")
-    )
+    index = fresh_index(spark)
+    found = deduplicate(docs, index, "all")
+    index.close()
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
 SQL = """

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOWER_BYTES, on_workers, stored
+from ._common import LOWER_BYTES, numbered, on_workers, stored
 
 WINDOW = 10
 BLOCK = 2
@@ -158,19 +158,28 @@ def _passes(benchmark: DataFrame, most: int, nameless: bool) -> Iterator[list]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, windows_a_pass: int = WINDOWS_A_PASS, nameless: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, starts and ends (of runs of hit words), items (item_ids in order of
-    number), n_hit. The driver holds `windows_a_pass` benchmark windows at most; a larger benchmark takes more
-    passes over the documents, whose findings are put together by document."""
+    number), n_hit. The driver holds two parts of `windows_a_pass` benchmark windows at most. A larger benchmark takes more
+    passes over the documents; these are stored with their row numbers first, so that every pass knows a row by the same
+    number however files are split, and the hits of all passes are put together by it once."""
     spark = docs.sparkSession
     on_workers(spark)
-    rows = docs.select(F.col("doc_id").cast("long"), F.monotonically_increasing_id().alias("row"), "text")
-    found = None
-    for held in _passes(benchmark, windows_a_pass, nameless):
-        tables = spark.sparkContext.broadcast(matchers(held))
-        one = _search_pass(rows, tables, everything=found is None)
-        found = one if found is None else stored(found, "hits").unionByName(one)
-        several = found is not one
-        if several:
-            found = _put_together(found)
+    parts = _passes(benchmark, windows_a_pass, nameless)
+    first, held = next(parts), next(parts, None)
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    if held is None:
+        rows, row = rows.withColumn("row", F.monotonically_increasing_id()), "row"
+    else:
+        rows, row = numbered(rows)
+    rows = rows.select("doc_id", F.col(row).alias("row"), "text")
+    found = _search_pass(rows, spark.sparkContext.broadcast(matchers(first)), everything=True)
+    if held is not None:
+        found = stored(found, "hits")
+        while held is not None:
+            tables = spark.sparkContext.broadcast(matchers(held))
+            found = found.unionByName(stored(_search_pass(rows, tables, everything=False), "hits"))
+            tables.unpersist()
+            held = next(parts, None)
+        found = _put_together(found)
     hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: (e - s).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.withColumn("n_hit", hit)
 
@@ -196,23 +205,22 @@ def _clean_of(docs: DataFrame, tables, at: int) -> DataFrame:
 
 
 def _put_together(found: DataFrame) -> DataFrame:
-    """Each pass has at most one row for a document, so a group has two rows at most."""
-
-    @F.udf("starts array<int>, ends array<int>")
-    def merge(starts, ends):
-        spans = merged([x for s, e in zip(starts, ends, strict=True) for x in zip(s, e, strict=True)])
-        return [s for s, _ in spans], [e for _, e in spans]
-
-    return (
-        found.groupBy("row")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("n_words").alias("n_words"),
-            merge(F.collect_list("starts"), F.collect_list("ends")).alias("m"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
-        .select("doc_id", "row", "n_words", "m.starts", "m.ends", "items")
+    """The findings of several passes, a row for each document: its runs of hit words merged, its items once each. A group
+    has a row for each pass that found something in the document."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = [merged([x for s, e in parts for x in zip(s, e, strict=True)]) for parts in ([(p["starts"], p["ends"]) for p in c.as_py()] for c in b.column(3))]
+            spans = [[[x[i] for x in own] for own in both] for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array(x, _TYPES[3]) for x in spans), b.column(4)], names=_NAMES)
+
+    grouped = found.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("n_words").alias("n_words"),
+        F.collect_list(F.struct("starts", "ends")).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
+    return grouped.select("doc_id", "row", "n_words", "spans", "items").mapInArrow(merge, FOUND)
 
 
 def digest_of(items) -> F.Column:

@@ -119,3 +119,27 @@ def test_hash_sample(spark):
     for total in (0, 500, 1000, 10**9):  # the last bound lets none pass
         assert [r.id for r in _common.hash_sample(df, 20, total)] == want
     assert len(_common.hash_sample(df, 5000, 1000)) == 1000 and _common.hash_sample(df.limit(0), 5, 1000) == []
+
+
+def test_an_index_keeps_its_number_of_buckets(spark, tmp_path):
+    rows = [(i, f"text {i % 150}") for i in range(200)]
+    own = d.DigestIndex(spark, f"file://{tmp_path}/kept", 8)
+    first = d.deduplicate(frame(spark, rows), own, "one")
+    assert first.where("kept").count() == 150
+    own.close()  # as in another session
+    assert not spark.catalog.tableExists(own.name)
+    assert first.where("kept").count() == 150  # results hold
+    again = d.DigestIndex(spark, f"file://{tmp_path}/kept", 4)
+    assert again.buckets == 8 and again.entries().count() == 150
+    second = d.deduplicate(frame(spark, rows), again, "two")
+    assert second.where("kept").count() == 0 and second.where("known").count() == 200 and again.entries().count() == 150
+    (next((tmp_path / "kept").glob("_buckets-8"))).unlink()
+    again.close()
+    with pytest.raises(ValueError):
+        d.DigestIndex(spark, f"file://{tmp_path}/kept", 8)
+
+
+def test_query_leaves_no_table(spark, sf):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert d.query(spark, sf).count() > 0
+    assert {t.name for t in spark.catalog.listTables()} == before

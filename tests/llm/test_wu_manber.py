@@ -110,3 +110,21 @@ def test_items_without_an_id_against_sql(spark, tmp_path):
     assert {r.doc_id for r in kept.collect()} == {3, 5}
     many = w.contamination(*(spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark")), windows_a_pass=1, nameless=True)
     assert {r.doc_id: (r.n_hit, r["items"]) for r in many.collect()} == {1: (11, [None]), 2: (12, [7, None]), 3: (0, []), 4: (1, [7]), 5: (0, [])}
+
+
+def test_passes_when_cores_change_between_them(spark, planted, tmp_path):
+    """The rows of all passes are put together by stored numbers, not by numbers made anew for each reading."""
+    docs, items = planted
+    many = [(i * 1000 + int(a or 0), t) for i in range(40) for a, t in docs]
+    spark.createDataFrame(many, "doc_id long, text string").repartition(8).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in w.contamination(df, b).collect())
+    before = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    spark.conf.set("spark.sql.files.minPartitionNum", "8")
+    found = w.contamination(df, b, windows_a_pass=len(items) * 2)
+    try:
+        spark.conf.set("spark.sql.files.minPartitionNum", "3")
+        assert sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in found.collect()) == want and len(want) == len(many)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum") if before is None else spark.conf.set("spark.sql.files.minPartitionNum", before)
