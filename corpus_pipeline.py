@@ -26,7 +26,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id, null being the smallest; of repeated rows one. Null texts equal
     empty ones."""
     own, row = numbered(docs)
-    found = digest_index.deduplicate(own, digest_index.fresh_index(spark), "all", row)
+    index = digest_index.fresh_index(spark)
+    found = digest_index.deduplicate(own, index, "all", row)
+    index.close()
     return without_rows(own, row, found.where(~F.col("kept")))
 
 
