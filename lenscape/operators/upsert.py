@@ -32,9 +32,10 @@ def last_of_path(results: DataFrame) -> DataFrame:
     return results.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def upsert(catalog: DataFrame, results: DataFrame) -> DataFrame:
+def upsert(catalog: DataFrame, results: DataFrame, top: DataFrame | None = None) -> DataFrame:
     """The next catalog. Files that are known keep id and creation time and wait for a new embedding; new ones get the
-    ids that follow, in order of path. One outer join by path; ids are given without a global sort into one task."""
+    ids that follow, in order of path. One outer join by path; ids are given without a global sort into one task.
+    top: one row with the largest id (column _top), where catalog is a part of the whole one."""
     new = last_of_path(accepted(results)).select(
         "path", "name", "size", seconds(F.col("created_ms")).alias("created_at"), seconds(F.col("modified_ms")).alias("modified_at"),
         "width", "height", "mime_type", "is_raw", "raw_format", "raw_status", "raw_error",
@@ -56,7 +57,8 @@ def upsert(catalog: DataFrame, results: DataFrame) -> DataFrame:
 
     old = kept.select(*(value(c) for c in catalog.columns))
     fresh = new.join(catalog.select("path"), "path", "left_anti")
-    top = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    if top is None:
+        top = catalog.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     added = numbered(fresh, "path").crossJoin(F.broadcast(top)).select(
         *(
             (F.col("_top") + F.col("index") + 1).alias("id") if c == "id" else state[c].alias(c) if c in state and c != "phash_status" else F.col(c)

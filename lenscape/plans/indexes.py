@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import vector_index, vectors
+from ..operators import kept, vector_index, vectors
 from ..workers import checkpointed, remove, shared_folder
 from .assets import cte, read
-from .queries import _nearest_sql, _vector, query
+from .queries import _RESULTS, _TREE, SQL, _catalog, _nearest_sql, _results, _vector, query
 
 col, lit = F.col, F.lit
 
@@ -60,3 +60,45 @@ def _(spark, sf):
     """One stored picture's nearest: cells by partition, codes, then vectors; exact."""
     at = _vector(spark, sf, 7)
     return _with_index(spark, sf, lambda index, *_: index.search(at, 10, exact=True).withColumn("distance", F.round("distance", 6)))
+
+# --- the catalog and the folder tree, changed in place ----------------------------------------------------------------
+
+
+def _with_store(spark: SparkSession, sf: str, use) -> DataFrame:
+    """What use(catalog, tree) gives after the assets were loaded and a scan's results were taken in."""
+    folder = shared_folder(spark, "store")
+    store, tree = kept.Catalog(spark, folder, slots=8, buckets=4), kept.Tree(spark, folder, slots=8, buckets=4)  # of a small library
+    try:
+        tree.apply(store.load(_catalog(spark, sf)))
+        tree.apply(store.upsert(_results(spark, sf)))
+        return checkpointed(use(store, tree))
+    finally:
+        store.close()
+        tree.close()
+        remove(spark, folder)
+
+
+@query("snk1_upsert_in_place", SQL["snk1_upsert"])
+def _(spark, sf):
+    """The same upsert, into a table of slots and buckets of which only the touched ones are rewritten."""
+    rows = lambda store, _: store.rows().select("id", "path", "size", "embedding_status", "phash_status", F.unix_seconds("created_at").alias("created_s"))
+    return _with_store(spark, sf, rows)
+
+
+_AFTER = f"""{cte('assets')}{_RESULTS}, g AS (SELECT path, is_raw FROM results WHERE success),
+after AS (SELECT a.path, CASE WHEN g.path IS NULL THEN coalesce(a.is_raw, FALSE) ELSE g.is_raw END AS is_raw FROM assets a LEFT JOIN g ON g.path = a.path
+ UNION ALL SELECT path, is_raw FROM g WHERE path NOT IN (SELECT path FROM assets))"""
+_TREE_AFTER = f"""{_AFTER}{_TREE.replace('FROM assets', 'FROM after')}
+SELECT path, name, parent_path, CAST(depth AS INT) AS depth, photo_count, (SELECT count(*) FROM after x WHERE starts_with(x.path, t.path || '/')) AS total_count,
+ (SELECT count(*) FROM after x WHERE x.is_raw AND starts_with(x.path, t.path || '/')) AS raw_count FROM tree t"""
+
+
+@query("a1_tree_by_changes", _TREE_AFTER)
+def _(spark, sf):
+    """The folder tree after a scan, kept by the differences that the scan made."""
+    return _with_store(spark, sf, lambda _, tree: tree.folders())
+
+
+@query("a3_library_by_changes", f"{_AFTER} SELECT count(*) AS photos, count(*) FILTER (is_raw) AS raws FROM after")
+def _(spark, sf):
+    return _with_store(spark, sf, lambda _, tree: tree.library())
