@@ -957,11 +957,12 @@ def _(spark, sf):
 
 @query("st3_stream_fold", f'{cte("jobs")}{_FOLD} SELECT task_type, "current", total, items, failed FROM fold')
 def _(spark, sf):
-    """The same by a stream with arbitrary state, over the events as files."""
-    return _streamed(spark, sf, lambda s: _last_state(spark, s))
+    """The same by a stream with keyed state, over the events as files, each of them a batch."""
+    return _streamed(spark, sf, lambda s, out: _last_state(spark, s, out))
 
 
 def _streamed(spark, sf, use):
+    """use(stream of the jobs' events, a folder for what its sink keeps); its rows are computed before both go."""
     from ..schema import EVENT
     from ..streaming.progress import events
 
@@ -969,26 +970,17 @@ def _streamed(spark, sf, use):
     try:
         j = read(spark, sf, "jobs").withColumn("job_id", lit("run"))
         j.select(*(col(f.name).cast(f.dataType) for f in EVENT)).repartitionByRange(3, "seq").write.parquet(f"{root}/in")
-        return use(events(spark, f"{root}/in"))
+        return checkpointed(use(events(spark, f"{root}/in", maxFilesPerTrigger="1"), f"{root}/out"))
     finally:
         remove(spark, root)
 
 
-def _last_state(spark, stream) -> DataFrame:
-    from ..streaming.progress import STATE, folded
+def _last_state(spark, stream, out: str) -> DataFrame:
+    from ..streaming import keyed
 
-    rows: list = []
-
-    def keep(batch, _):
-        if got := batch.collect():
-            rows[:] = got
-
-    _run(folded(stream), keep)
-    return spark.createDataFrame(rows, STATE).drop("run")
-
-
-def _run(df: DataFrame, keep, mode: str = "update") -> None:
-    _drain(df.sparkSession, df.writeStream.foreachBatch(keep).outputMode(mode))
+    with keyed.state_store(spark):
+        _drain(spark, keyed.kept_in(keyed.partials(stream), out))
+    return keyed.state_of(keyed.latest(keyed.kept(spark, out, keyed.PARTIAL))).drop("run")
 
 
 def _drain(spark, writer) -> None:
@@ -1009,12 +1001,13 @@ def _(spark, sf):
 
 @query("st5_view_append", f"{cte('jobs')} SELECT DISTINCT photo_id AS id FROM jobs WHERE task_type = 'scan' AND event_type = 'progress' AND phase = 'processing' AND photo_id IS NOT NULL")
 def _(spark, sf):
+    """What is appended to the cached list, batch by batch, as the sink has written it."""
+    from ..streaming import keyed
     from ..streaming.progress import appended
 
-    def use(stream):
-        rows: list = []
-        _run(appended(stream), lambda b, _: rows.extend(b.select("id").collect()), "append")
-        return spark.createDataFrame(rows, "id long")
+    def use(stream, out):
+        _drain(spark, keyed.kept_in(appended(stream).select("id"), out, "append"))
+        return keyed.kept(spark, out, "id long").select("id")
 
     return _streamed(spark, sf, use)
 
@@ -1023,7 +1016,7 @@ def _(spark, sf):
 def _(spark, sf):
     from ..streaming.progress import on_completed
 
-    def use(stream):
+    def use(stream, _):
         calls: list = []
         _drain(spark, on_completed(stream, lambda: calls.append(1)))
         return spark.createDataFrame([(bool(calls),)], "refresh boolean")
@@ -1045,19 +1038,22 @@ def _(spark, sf):
 
 @query("st2_delivery", f"{cte('jobs')} SELECT count(*) AS delivered, count(DISTINCT seq) AS events FROM jobs")
 def _(spark, sf):
-    """All events of a stream, handed to a sink in batches, each once."""
+    """All events of a stream, handed to a sink in batches, each once; the sink writes what it is handed."""
+    from ..streaming import keyed
     from ..streaming.progress import delivered
 
-    def use(stream):
-        seen: list = []
+    def use(stream, out):
+        def sink(batch, number):
+            batch.select("seq").write.mode("overwrite").parquet(f"{out}/batch={number}")
+
         root = shared_folder(spark, "delivered")
-        q = delivered(stream, lambda b, _: seen.extend(r.seq for r in b.select("seq").collect()), root).start()
+        q = delivered(stream, sink, root).start()
         try:
             q.processAllAvailable()
         finally:
             q.stop()
             remove(spark, root)
-        return spark.createDataFrame([(len(seen), len(set(seen)))], "delivered long, events long")
+        return keyed.kept(spark, out, "seq long").agg(F.count(lit(1)).alias("delivered"), F.countDistinct("seq").alias("events"))
 
     return _streamed(spark, sf, use)
 
