@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +27,8 @@ def sign_hash(embedding: Column, bits: int = 62) -> Column:
 def close_pairs(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
     """a, b (a < b) and distance of all pairs of rows (id, hash) within a threshold.
 
-    Hashes cut into threshold + 1 bands agree in a band at least, so pairs of different hashes are found by equi-joins on
-    (band, value), each reported by its first common band; rows of equal hashes are joined to them at the end. The result
-    holds all pairs: for groups of copies use duplicate_groups. Wide thresholds leave narrow bands that many hashes share:
-    then the work grows as a join's does."""
+    Pairs of different hashes are those of close_hashes; rows of equal hashes are joined to them at the end. The result
+    holds all pairs: for groups of copies use close_classes or duplicate_groups."""
     points = hashes.where("hash is not null")
     met = close_hashes(points.select("hash").distinct(), threshold, bits)
     left = points.select(F.col("id").alias("x"), "hash")
@@ -39,23 +40,85 @@ def close_pairs(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
     return apart.where("a <> b").unionByName(equal.select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(0).alias("distance")))
 
 
+#: Bits of a band at least, so that a band's values are 2^10 keys or more; values that a hash is looked up by, at most.
+LEAST_BITS = 10
+MOST_PROBES = 50_000
+#: Hashes of one value of a band that one task gets, about; and the share of all rows below which a value is not looked at.
+TOGETHER, HOT_VALUES = 1_000, 2_000
+
+
+def bands(threshold: int, bits: int, total: int) -> list[tuple[int, int, int]]:
+    """(lowest bit, width, radius) of bands such that hashes within the threshold differ by at most the radius in one of
+    them: with m bands and threshold = q * m + r, one of the first r + 1 within q or one of the others within q - 1. Of the
+    numbers of bands whose widths are LEAST_BITS or more, the one with the least work for so many hashes."""
+    best = None
+    for m in range(1, max(1, bits // LEAST_BITS) + 1):
+        edges = [bits * i // m for i in range(m + 1)]
+        q, r = divmod(threshold, m)
+        cut = [(lo, hi - lo, min(q if i <= r else q - 1, hi - lo)) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))]
+        cut = [c for c in cut if c[2] >= 0]
+        probes = [sum(comb(width, k) for k in range(radius + 1)) for _, width, radius in cut]
+        work = sum(p * (1 + total / 2**width) for p, (_, width, _) in zip(probes, cut, strict=True))
+        if best is None or (sum(probes) > MOST_PROBES, work) < best[0]:
+            best = (sum(probes) > MOST_PROBES, work), cut
+    return best[1]
+
+
+def _masks(width: int, radius: int) -> list[int]:
+    return [sum(1 << i for i in at) for k in range(radius + 1) for at in combinations(range(width), k)]
+
+
 def close_hashes(distinct: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
-    """hash, hash2 (hash < hash2) and distance of different hashes within a threshold."""
-    count = max(1, min(threshold + 1, bits))
-    edges = [bits * i // count for i in range(count + 1)]
-    cuts = [(lo, (1 << (hi - lo)) - 1 if hi - lo < 64 else -1) for lo, hi in zip(edges, edges[1:], strict=False)]
-    part = lambda c, lo, mask: F.shiftrightunsigned(c, lo).bitwiseAND(F.lit(mask))
-    band = F.array(*(F.struct(F.lit(i).alias("band"), part(F.col("hash"), *cut).alias("value")) for i, cut in enumerate(cuts)))
-    keyed = distinct.select("hash", F.inline(band))
-    other = keyed.select(F.col("hash").alias("hash2"), "band", "value")
+    """hash, hash2 (hash < hash2) and distance of different hashes within a threshold.
+
+    A hash is filed under its values in some bands, and looked up under all values near its own there (see `bands`); values
+    that very many hashes share are filed in parts. A pair is reported by the first band that finds it."""
+    if threshold >= bits:
+        raise ValueError("all hashes are within that threshold")
+    spark = distinct.sparkSession
+    distinct = checkpointed(distinct)
+    total = distinct.count()
+    cut = bands(threshold, bits, total)
+    value = lambda c, lo, width: F.shiftrightunsigned(c, lo).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
+    filed = distinct.select(
+        F.col("hash").alias("hash2"), F.inline(F.array(*(F.struct(F.lit(i).alias("band"), value(F.col("hash"), lo, width).alias("value")) for i, (lo, width, _) in enumerate(cut))))
+    )
+    counts = filed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") > F.greatest(F.lit(TOGETHER), F.lit(total * len(cut) // HOT_VALUES))
+    )
+    hot = F.broadcast(checkpointed(counts.select("band", "value", F.ceil(F.col("n") / TOGETHER).cast("int").alias("parts"))))  # HOT_VALUES rows at most
+    one = F.coalesce("parts", F.lit(1))
+    filed = filed.join(hot, ["band", "value"], "left").select("hash2", "band", "value", F.pmod(F.xxhash64("hash2"), one).cast("int").alias("part"))
+    masks = spark.createDataFrame([(i, m) for i, (_, width, radius) in enumerate(cut) for m in _masks(width, radius)], "band int, mask long")
+    own = distinct.select("hash", F.inline(F.array(*(F.struct(F.lit(i).alias("band"), value(F.col("hash"), lo, width).alias("v")) for i, (lo, width, _) in enumerate(cut)))))
+    probes = own.join(F.broadcast(masks), "band").select("hash", "band", F.col("v").bitwiseXOR(F.col("mask")).alias("value"))  # MOST_PROBES masks
+    probes = probes.join(hot, ["band", "value"], "left").select("hash", "band", "value", F.explode(F.sequence(F.lit(0), one - 1)).alias("part"))
     apart = hamming(F.col("hash"), F.col("hash2"))
-    met = keyed.join(other, ["band", "value"]).where((F.col("hash") < F.col("hash2")) & (apart <= threshold))
-    first = F.lit(count)
-    for i in reversed(range(count)):
-        first = F.when(part(F.col("hash").bitwiseXOR(F.col("hash2")), *cuts[i]) == 0, i).otherwise(first)
+    met = probes.join(filed.hint("merge"), ["band", "value", "part"]).where((F.col("hash") < F.col("hash2")) & (apart <= threshold))
+    first = F.lit(len(cut))
+    for i, (lo, width, radius) in reversed(list(enumerate(cut))):
+        first = F.when(F.bit_count(value(F.col("hash").bitwiseXOR(F.col("hash2")), lo, width)) <= radius, i).otherwise(first)
     return met.where(F.col("band") == first).select("hash", "hash2", apart.alias("distance"))
 
 
+def close_classes(hashes: DataFrame, threshold: int, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Near rows without a pair for every two of them. Members: id, representative (the smallest id of its hash), copies
+    (rows of that hash) and links (other rows within the threshold, copies among them). Pairs: a, b (a < b) and distance of
+    representatives of different hashes within the threshold. Rows without a hash have no class."""
+    points = checkpointed(hashes.where("hash is not null").groupBy("hash").agg(F.min("id").alias("representative"), F.count(F.lit(1)).alias("copies")))
+    met = checkpointed(close_hashes(points.select("hash"), threshold, bits))
+    x = points.select("hash", F.col("representative").alias("x"), F.col("copies").alias("n"))
+    y = points.select(F.col("hash").alias("hash2"), F.col("representative").alias("y"), F.col("copies").alias("n2"))
+    both = checkpointed(met.join(x, "hash").join(y, "hash2"))
+    ends = both.select("hash", F.col("n2").alias("others")).unionByName(both.select(F.col("hash2").alias("hash"), F.col("n").alias("others")))
+    others = ends.groupBy("hash").agg(F.sum("others").alias("others"))
+    counted = points.join(others, "hash", "left").select(
+        "hash", "representative", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links")
+    )
+    pairs = both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "distance")
+    return hashes.where("hash is not null").join(counted, "hash").select("id", "representative", "copies", "links"), pairs
+
+
 def duplicate_groups(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
     """id and group_id (the smallest id that links of close pairs reach) of rows that have a partner. Equal hashes are one
     point, so a group of copies makes no pairs."""

@@ -82,6 +82,13 @@ def _made_files(spark, sf, folder: str) -> str:
     return root
 
 
+scalar(
+    "src2_supported", "assets",
+    {"supported": lambda: media.is_supported(F.upper("path")), "copy": lambda: media.is_supported(F.concat(col("path"), F.when(col("id") % 2 == 0, ".bak").otherwise(".JPG")))},
+    f"{_ends(ALL)} AS supported, id % 2 = 1 AS copy",
+)
+
+
 @query("src3_extensions", f"SELECT unnest([{_list(ALL)}]) AS extension")
 def _(spark, sf):
     return files.extensions(spark)
@@ -373,6 +380,12 @@ def _(spark, sf):
     return hashing.duplicate_groups(_hashes(spark, sf), 15, bits=62)
 
 
+@query("j7_close_classes", f"""WITH {_HASH}, e AS (SELECT x.id, count(*) FILTER (x.id <> y.id) AS links, count(*) FILTER (x.hash = y.hash) AS copies, min(y.id) FILTER (x.hash = y.hash) AS representative
+ FROM h x JOIN h y ON bit_count(xor(x.hash, y.hash)) <= 16 GROUP BY x.id) SELECT id, representative, copies, links FROM e""")
+def _(spark, sf):
+    return hashing.close_classes(_hashes(spark, sf), 16, bits=62)[0]
+
+
 # --- aggregations --------------------------------------------------------------------------------------------------
 
 
