@@ -68,3 +68,27 @@ def totals(nodes: DataFrame) -> DataFrame:
     own = nodes.select(F.col("path").alias("p"), F.col("photo_count").alias("n"))
     above = own.select("n", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("p", "/"))), lambda i: F.concat_ws("/", F.slice(F.split("p", "/"), 1, i)))).alias("path"))
     return nodes.join(above.groupBy("path").agg(F.sum("n").alias("total_count")), "path")
+
+
+def walked(nodes: DataFrame, locale: str = "UNICODE") -> DataFrame:
+    """nodes in the order of the whole tree, siblings by name: pre (place when a folder comes before those below it, from
+    0), last (pre of the last folder below it, or its own) and post (place when it comes after them).
+
+    Whole paths, as lists of names, sort like a walk from the roots, so one range sort numbers the tree at any depth; a
+    folder and all below it are the folders with pre to last."""
+    from .navigation import numbered
+
+    names = F.split("path", "/")
+    keyed = nodes.withColumn("_key", F.transform(names, lambda x: F.struct(F.collate(x, locale).alias("c"), x.alias("x"))))
+    above = nodes.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(names)), lambda i: F.concat_ws("/", F.slice(names, 1, i)))).alias("path"))
+    sizes = above.groupBy("path").agg(F.count(F.lit(1)).alias("_size"))
+    placed = numbered(keyed, "_key").join(sizes, "path")
+    return placed.select(
+        *nodes.columns, F.col("index").alias("pre"), (F.col("index") + F.col("_size") - 1).alias("last"), (F.col("index") + F.col("_size") - F.size(names)).alias("post")
+    )
+
+
+def subtree(walk: DataFrame, path: str) -> DataFrame:
+    """The rows of `walked` for a folder and all below it, in its order."""
+    top = walk.where(F.col("path") == path).select(F.col("pre").alias("_from"), F.col("last").alias("_to"))
+    return walk.join(F.broadcast(top), (F.col("pre") >= F.col("_from")) & (F.col("pre") <= F.col("_to"))).drop("_from", "_to").orderBy("pre")

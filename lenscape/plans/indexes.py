@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import kept, vector_index, vectors
+from ..operators import kept, kept_list, vector_index, vectors
 from ..workers import checkpointed, remove, shared_folder
 from .assets import cte, read
 from .queries import _RESULTS, _TREE, SQL, _catalog, _nearest_sql, _results, _vector, query
@@ -102,3 +102,32 @@ def _(spark, sf):
 @query("a3_library_by_changes", f"{_AFTER} SELECT count(*) AS photos, count(*) FILTER (is_raw) AS raws FROM after")
 def _(spark, sf):
     return _with_store(spark, sf, lambda _, tree: tree.library())
+
+# --- ordered lists -------------------------------------------------------------------------------------------------
+
+
+def _with_list(spark: SparkSession, sf: str, use) -> DataFrame:
+    folder = shared_folder(spark, "list")
+    try:
+        return checkpointed(use(kept_list.build(read(spark, sf, "assets").select("path", "id"), folder, "path", "id", ranges=8)))
+    finally:
+        remove(spark, folder)
+
+
+_PLACES = f"{cte('assets')}, o AS (SELECT id, path, row_number() OVER (ORDER BY path, id) - 1 AS index, count(*) OVER () AS n FROM assets)"
+
+
+@query("w1_kept_places", f"{_PLACES} SELECT id, index FROM o")
+def _(spark, sf):
+    return _with_list(spark, sf, lambda kept_one: kept_one.rows().select("id", "index"))
+
+
+@query("w4_kept_range", f"{_PLACES} SELECT id, index FROM o WHERE index BETWEEN n // 3 AND 2 * n // 3")
+def _(spark, sf):
+    return _with_list(spark, sf, lambda kept_one: kept_one.between(2 * len(kept_one) // 3, len(kept_one) // 3).select("id", "index"))
+
+
+@query("w2_kept_neighbours", f"{_PLACES} SELECT id, index FROM o WHERE abs(index - n // 2) <= 1")
+def _(spark, sf):
+    """Before, at and after the row in the middle, found by its place."""
+    return _with_list(spark, sf, lambda kept_one: kept_one.neighbours(len(kept_one) // 2).select("id", "index"))

@@ -565,6 +565,14 @@ def _(spark, sf):
     return folders.ranked(_tree(spark, sf)).select("path", col("place").cast("long").alias("place"))
 
 
+@query("k4_tree_walk", f"""{cte('assets').replace('WITH', 'WITH RECURSIVE', 1)}{_TREE}, s AS (SELECT *, row_number() OVER (PARTITION BY parent_path ORDER BY name) AS place FROM tree),
+w AS (SELECT path, depth, [place] AS walk FROM s WHERE parent_path IS NULL UNION ALL SELECT s.path, s.depth, list_append(w.walk, s.place) FROM s JOIN w ON s.parent_path = w.path),
+o AS (SELECT *, row_number() OVER (ORDER BY walk) - 1 AS pre FROM w)
+SELECT path, pre, pre + n - 1 AS last, pre + n - depth AS post FROM (SELECT o.*, (SELECT count(*) FROM o x WHERE x.path = o.path OR starts_with(x.path, o.path || '/')) AS n FROM o)""")
+def _(spark, sf):
+    return folders.walked(_tree(spark, sf)).select("path", "pre", "last", "post")
+
+
 @query("k5_rank_order", f"{cte('assets', 'sidecar')}{_nearest_sql(9, 12)}, f AS (SELECT id, rank FROM top JOIN assets ON id = photo_id) SELECT id, row_number() OVER (ORDER BY rank) AS place FROM f")
 def _(spark, sf):
     found = vectors.search(read(spark, sf, "assets"), read(spark, sf, "sidecar"), _vector(spark, sf, 9), 12)
