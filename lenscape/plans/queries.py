@@ -75,6 +75,7 @@ def _made_files(spark, sf, folder: str) -> str:
                 os.makedirs(os.path.dirname(f"{root}/{p}"), exist_ok=True)
                 with open(f"{root}/{p}", "w") as f:
                     f.write("x" * len(p))
+                os.utime(f"{root}/{p}", (86400, 86400 * len(p)))
             yield pd.DataFrame({"n": [len(b)]})
 
     odd = spark.createDataFrame([(p,) for p in (".hidden.jpg", ".hid/a.jpg", "notes.txt", "a/.b/c.png")], "path string")
@@ -101,6 +102,17 @@ def _(spark, sf):
     )
 
 
+@query("src4_stat_files", f"{cte('assets')} SELECT path, CAST(length(path) AS BIGINT) AS size, 86400.0 * length(path) AS modified_s FROM assets")
+def _(spark, sf):
+    """Sizes and times as the walk reads them from files."""
+    folder = shared_folder(spark, "stat")
+    try:
+        found = files.discover(spark, _made_files(spark, sf, folder))
+        return checkpointed(found.select(col("relative_path").alias("path"), "size", F.unix_seconds(upsert.seconds(col("modified_ms"))).cast("double").alias("modified_s")))
+    finally:
+        remove(spark, folder)
+
+
 @query("src5_paths", f"{cte('assets')} SELECT path FROM assets")
 def _(spark, sf):
     return read(spark, sf, "assets").select("path")

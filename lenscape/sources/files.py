@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import media
+from ..workers import checkpointed, find_package
 
 EXTENSIONS = tuple(f".{e}" for e in media.STANDARD + media.RAW + media.HEIF)
 
@@ -57,28 +58,91 @@ class _Walk(DataSourceReader):
             return
         todo = [(part.path, (os.path.realpath(part.path),))]
         while todo:
-            folder, above = todo.pop()
-            try:
-                entries = sorted(os.scandir(folder), key=lambda e: e.name)
-            except OSError:
-                continue
-            for e in entries:
-                if e.name.startswith("."):
-                    continue
-                try:
-                    if e.is_dir():
-                        real = os.path.realpath(e.path)
-                        if part.deep and real not in above:
-                            todo.append((e.path, (*above, real)))
-                    elif e.is_file() and e.name.lower().endswith(EXTENSIONS):
-                        s = e.stat()
-                        born = getattr(s, "st_birthtime", 0.0)
-                        yield e.path, os.path.relpath(e.path, self.root), e.name, s.st_size, born * 1000.0, s.st_mtime * 1000.0
-                except OSError:
-                    continue
-
-
-def discover(spark: SparkSession, folder: str) -> DataFrame:
+            found, below = visited(*todo.pop(), self.root)
+            yield from found
+            if part.deep:
+                todo += below
+
+
+def visited(folder: str, above: tuple, root: str) -> tuple[list[tuple], list[tuple]]:
+    """The supported files of a folder, as rows of "media_files", and the folders in it with the real paths on the way down.
+    above: those of folder itself and of what it was reached through; a folder among them is not entered again."""
+    found, below = [], []
+    try:
+        entries = sorted(os.scandir(folder), key=lambda e: e.name)
+    except OSError:
+        return found, below
+    for e in entries:
+        if e.name.startswith("."):
+            continue
+        try:
+            if e.is_dir():
+                real = os.path.realpath(e.path)
+                if real not in above:
+                    below.append((e.path, (*above, real)))
+            elif e.is_file() and e.name.lower().endswith(EXTENSIONS):
+                s = e.stat()
+                born = getattr(s, "st_birthtime", 0.0)
+                found.append((e.path, os.path.relpath(e.path, root), e.name, s.st_size, born * 1000.0, s.st_mtime * 1000.0))
+        except OSError:
+            continue
+    return found, below
+
+
+#: Folders that a task of the first round visits; twice as many in each further round, up to MOST_VISITS.
+VISITS, MOST_VISITS = 64, 16_384
+_FILE = ("path", "relative_path", "name", "size", "created_ms", "modified_ms")
+_STEP = "path string, relative_path string, name string, size long, created_ms double, modified_ms double, above array<string>"
+
+
+def round_of(frontier: DataFrame, root: str, visits: int) -> DataFrame:
+    """One round of a walk over frontier (path, above), dealt to all tasks: files, and folders (above is not null) that are
+    left when a task has visited so many."""
+    spark = frontier.sparkSession
+    find_package(spark)
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        todo = [(p, tuple(a)) for b in batches for p, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        rows, left = [], visits
+        while todo and left:
+            found, below = visited(*todo.pop(), root)
+            rows += [(*f, None) for f in found]
+            todo += below
+            left -= 1
+            if len(rows) >= 10_000:
+                yield batch(rows)
+                rows = []
+        yield batch(rows + [(p, *(None,) * 5, list(a)) for p, a in todo])
+
+    def batch(rows: list) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*_FILE, "above"])
+
+    return frontier.repartition(max(2, 2 * spark.sparkContext.defaultParallelism)).mapInArrow(run, _STEP)
+
+
+def discover(spark: SparkSession, folder: str, visits: int = VISITS) -> DataFrame:
+    """The rows of "media_files", found in rounds: tasks visit a bounded number of folders each, and what folders are left
+    then is dealt out anew, at whatever depth it lies. The rounds are kept, so that the files are those of one walk."""
+    root = os.path.abspath(folder)
+    reader = _Walk(root)
+    if not reader.partitions():
+        return spark.createDataFrame([], Discovery.schema(None))
+    frontier = spark.createDataFrame([(root, [os.path.realpath(root)])], "path string, above array<string>")
+    found = None
+    while True:
+        step = checkpointed(round_of(frontier, root, visits))
+        files = step.where("above IS NULL").select(*_FILE)
+        found = files if found is None else found.unionByName(files)
+        frontier = step.where("above IS NOT NULL").select("path", "above")
+        if frontier.isEmpty():
+            return found
+        visits = min(2 * visits, MOST_VISITS)
+
+
+def discovered(spark: SparkSession, folder: str) -> DataFrame:
+    """The same by the data source: lazily, a task for each child of the folder."""
     spark.dataSource.register(Discovery)
     return spark.read.format("media_files").option("path", folder).load()
 

@@ -117,3 +117,24 @@ def test_failing_model(spark):
 def test_pixels_by_spark(spark, library):
     got = files.pixels_by_spark(spark, [f"{library}/a/one.png"]).first()
     assert (got.height, got.width, got.nChannels) == (40, 60, 3)
+
+
+def test_a_deep_walk_is_dealt_out(spark, tmp_path):
+    root = tmp_path / "lib"
+    for i in range(60):
+        folder = root / "only" / f"f{i % 7}" / "x" / str(i)
+        folder.mkdir(parents=True)
+        (folder / f"{i}.jpg").write_bytes(b"x" * i)
+        (folder / "notes.txt").write_text("no")
+    (root / "only" / "loop").symlink_to(root / "only")
+    (root / "only" / "other").symlink_to(root / "only" / "f0")
+    want = sorted(tuple(r) for r in files.discovered(spark, str(root)).collect())
+    assert len(want) == 60 + 9 and {len(r) for r in want} == {6}
+    for visits in (1, 3, 1000):
+        assert sorted(tuple(r) for r in files.discover(spark, str(root), visits).collect()) == want
+    start = spark.createDataFrame([(str(root), [str(root)])], "path string, above array<string>")
+    left = files.round_of(start, str(root), 4).where("above IS NOT NULL")
+    assert left.count() > 4
+    step = files.round_of(left.select("path", "above"), str(root), 2)
+    parts = step.where("above IS NULL").select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts > 1  # folders below the only child are visited by several tasks
