@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import kept, kept_list, vector_index, vectors
+from ..operators import kept, kept_list, timed, vector_index, vectors
 from ..workers import checkpointed, remove, shared_folder
 from .assets import cte, read
 from .queries import _RESULTS, _TREE, SQL, _catalog, _nearest_sql, _results, _vector, query
@@ -131,3 +131,30 @@ def _(spark, sf):
 def _(spark, sf):
     """Before, at and after the row in the middle, found by its place."""
     return _with_list(spark, sf, lambda kept_one: kept_one.neighbours(len(kept_one) // 2).select("id", "index"))
+
+# --- joins by time -------------------------------------------------------------------------------------------------
+
+_STATES = "e AS (SELECT seq, job_id, event_type FROM jobs WHERE event_type <> 'progress'), p AS (SELECT seq, job_id FROM jobs WHERE event_type = 'progress')"
+
+
+def _events_and_states(spark, sf) -> tuple[DataFrame, DataFrame]:
+    j = read(spark, sf, "jobs")
+    return j.where("event_type = 'progress'").select("seq", "job_id"), j.where("event_type <> 'progress'").select("seq", "job_id", "event_type")
+
+
+@query("j8_as_of_state", f"{cte('jobs')}, {_STATES} SELECT p.seq, p.job_id, e.seq AS state_seq, e.event_type AS state FROM p ASOF LEFT JOIN e ON p.job_id = e.job_id AND p.seq >= e.seq")
+def _(spark, sf):
+    """Each progress event with the last state of its job."""
+    p, e = _events_and_states(spark, sf)
+    found = timed.as_of(p, e, "job_id", "seq", prefix="state_", parts=8)
+    return found.select("seq", "job_id", "state_seq", col("state_event_type").alias("state"))
+
+
+@query("j9_interval_join", f"""{cte('jobs')}, {_STATES}, i AS (SELECT job_id, event_type, seq AS since, lead(seq) OVER (PARTITION BY job_id ORDER BY seq) AS until FROM e)
+SELECT p.seq, p.job_id, i.since, i.event_type AS state FROM p JOIN i ON p.job_id = i.job_id AND p.seq >= i.since AND p.seq < i.until""")
+def _(spark, sf):
+    """Progress events with the spans between two states of their job that they fall into."""
+    p, e = _events_and_states(spark, sf)
+    order = Window.partitionBy("job_id").orderBy("seq")
+    spans = e.select("job_id", col("event_type").alias("state"), col("seq").alias("since"), F.lead("seq").over(order).alias("until"))
+    return timed.within(p, spans, "job_id", "seq", "since", "until").select("seq", "job_id", "since", "state")
