@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import kept, kept_list, timed, vector_index, vectors
+from ..operators import density, kept, kept_list, timed, vector_index, vectors
 from ..workers import checkpointed, remove, shared_folder
 from .assets import cte, read
 from .queries import _RESULTS, _TREE, SQL, _catalog, _nearest_sql, _results, _vector, query
@@ -158,3 +158,19 @@ def _(spark, sf):
     order = Window.partitionBy("job_id").orderBy("seq")
     spans = e.select("job_id", col("event_type").alias("state"), col("seq").alias("since"), F.lead("seq").over(order).alias("until"))
     return timed.within(p, spans, "job_id", "seq", "since", "until").select("seq", "job_id", "since", "state")
+
+# --- density clusters ----------------------------------------------------------------------------------------------
+
+_EPS, _LEAST = 1.1, 3
+
+
+@query("d_vector_clusters", f"""WITH RECURSIVE d AS (SELECT x.vec_id AS a, y.vec_id AS b, list_distance(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS d FROM embeddings x, embeddings y),
+n AS (SELECT * FROM d WHERE d <= {_EPS}), c AS (SELECT a AS id FROM n GROUP BY a HAVING count(*) >= {_LEAST}),
+l AS (SELECT a, b FROM n WHERE a IN (SELECT id FROM c) AND b IN (SELECT id FROM c)),
+r(id, root) AS (SELECT id, id FROM c UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+k AS (SELECT id, min(root) AS cluster FROM r GROUP BY id),
+e AS (SELECT a AS id, arg_min(k.cluster, n.d) AS cluster FROM n JOIN k ON k.id = n.b WHERE a NOT IN (SELECT id FROM c) GROUP BY a)
+SELECT v.vec_id AS photo_id, k.id IS NOT NULL AS core, coalesce(k.cluster, e.cluster) AS cluster FROM embeddings v LEFT JOIN k ON k.id = v.vec_id LEFT JOIN e ON e.id = v.vec_id""")
+def _(spark, sf):
+    """Photos of similar content, as faces of a person would be grouped."""
+    return density.clusters(read(spark, sf, "sidecar"), _EPS, _LEAST)
