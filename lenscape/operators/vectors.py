@@ -109,25 +109,50 @@ def all_distances(embeddings: DataFrame, queries: DataFrame) -> DataFrame:
 QUERIES = 1_024
 
 
+#: Vectors that meet a block of queries in one group, about.
+ROWS = 20_000
+
+
 def nearest_of_many(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, photo_id, distance, rank: the k nearest vectors of each query. Queries are taken in blocks; each task
-    keeps the k best of each query, so k rows per query and task are shuffled. Vectors of another length than the queries'
-have no distance."""
+    """query_id, photo_id, distance, rank: the k nearest vectors of each query. Up to QUERIES queries go to the tasks that
+    scan the vectors, which keep the k best of each; more are dealt out in blocks, each of which meets all parts of the
+    vectors. Vectors of another length than a query's have no distance."""
     from pyspark.sql import Window
 
-    out, block = None, []
+    own = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding")).where("embedding IS NOT NULL")
+    few = own.limit(QUERIES + 1).collect()
+    if len(few) <= QUERIES and len({len(r[1]) for r in few}) <= 1:
+        found = _blocks(embeddings, [(r[0], r[1]) for r in few], k)
+    else:
+        found = _dealt(embeddings, own, k)
     order = Window.partitionBy("query_id").orderBy("distance", "photo_id")
-
-    def add(out, block):
-        part = _blocks(embeddings, block, k)
-        part = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        return part if out is None else out.unionByName(part)
-
-    for r in queries.select(F.col("query_id").cast("long"), "embedding").toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == QUERIES:
-            out, block = add(out, block), []
-    return add(out, block) if block or out is None else out
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _dealt(embeddings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    rows = embeddings.select(F.col("photo_id").cast("long"), F.col("embedding").cast("array<float>").alias("embedding"), F.size("embedding").alias("dim"))
+    rows = rows.where("embedding IS NOT NULL AND photo_id IS NOT NULL")
+    queries = queries.withColumn("dim", F.size("embedding"))
+    blocks, parts = max(1, -(-queries.count() // QUERIES)), max(1, -(-rows.count() // ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query_id", "embedding", "dim", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), every(parts).alias("part"))
+    right = rows.select("photo_id", "embedding", "dim", every(blocks).alias("block"), F.pmod(F.xxhash64("photo_id"), F.lit(parts)).cast("int").alias("part"))
+    right = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
+    key = ("dim", "block", "part")
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[list] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if a.num_rows and b.num_rows:
+            points, vectors = (np.stack(t.column(c).to_numpy()).astype(np.float64) for t, c in ((a, "embedding"), (b, "r_embedding")))
+            own = b.column("r_photo_id").to_numpy()
+            for name, q in zip(a.column("query_id").to_numpy(), points, strict=True):
+                d = np.sqrt(((vectors - q) ** 2).sum(axis=1))
+                best = np.lexsort((own, d))[:k]
+                for column, x in zip(out, (np.full(len(best), name), own[best], d[best]), strict=True):
+                    column.append(x)
+        return pa.table(dict(zip(("query_id", "photo_id", "distance"), map(np.concatenate, out), strict=True)))
+
+    return left.groupBy(*key).cogroup(right.groupBy(*(f"r_{c}" for c in key))).applyInArrow(meet, "query_id long, photo_id long, distance double")
 
 
 def _blocks(embeddings: DataFrame, queries: list, k: int | None) -> DataFrame:

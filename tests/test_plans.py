@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lenscape.operators import catalog, folders, hashing, progress, serving, upsert, vectors
 from lenscape.schema import PHOTO_EXIF, PHOTOS, RESULT
 
@@ -73,3 +74,12 @@ def test_no_products_of_tables(spark, tables):
         catalog.by_ids(tables["photos"], tables["exif"].select(F.col("photo_id").alias("id"))), upsert.exif_rows(tables["photos"], results),
     ):
         assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
+
+
+#: Numbers of the inventory's operators of each kind.
+INVENTORY = {"src": 16, "snk": 10, "f": 15, "j": 7, "a": 16, "k": 7, "s": 32, "w": 9, "st": 10}
+
+
+def test_every_operator_of_the_inventory_has_a_query():
+    kinds = {k.split("_")[0] for k in entry.queries()}
+    assert not [f"{kind}{i}" for kind, n in INVENTORY.items() for i in range(1, n + 1) if f"{kind}{i}" not in kinds]

@@ -106,3 +106,16 @@ def test_code_distances_are_near(spark):
     exact = np.sqrt(((points - q) ** 2).sum(axis=1))
     assert np.corrcoef(near, exact)[0, 1] > 0.95
     assert vectors.top_k  # the scan that the index is compared with
+
+
+def test_many_queries_are_dealt_out(spark, clustered, monkeypatch):
+    rows, _ = clustered
+    queries = [(i, v) for i, v in rows[:60]] + [(9100, [1.0] * 5)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    asked = spark.createDataFrame(queries, "query_id long, embedding array<float>")
+    want = brute(rows, queries, 6)
+    assert many(vectors.nearest_of_many(df, asked, 6)) == want
+    monkeypatch.setattr(vectors, "QUERIES", 7)
+    monkeypatch.setattr(vectors, "ROWS", 400)
+    assert many(vectors.nearest_of_many(df, asked, 6)) == want
+    assert vectors.nearest_of_many(df.limit(0), asked, 6).count() == 0 and vectors.nearest_of_many(df, asked.limit(0), 6).count() == 0
