@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import density, kept, kept_list, timed, vector_index, vectors
+from ..operators import density, geo, kept, kept_list, timed, vector_index, vectors
 from ..workers import checkpointed, remove, shared_folder
 from .assets import cte, read
 from .queries import _RESULTS, _TREE, SQL, _catalog, _nearest_sql, _results, _vector, query
@@ -174,3 +174,24 @@ SELECT v.vec_id AS photo_id, k.id IS NOT NULL AS core, coalesce(k.cluster, e.clu
 def _(spark, sf):
     """Photos of similar content, as faces of a person would be grouped."""
     return density.clusters(read(spark, sf, "sidecar"), _EPS, _LEAST)
+
+# --- the map -------------------------------------------------------------------------------------------------------
+
+_POINTS = f"{cte('exif')}, q AS (SELECT photo_id, try_cast(gps_latitude AS DOUBLE) AS lat, try_cast(gps_longitude AS DOUBLE) AS lon FROM exif), pt AS (SELECT photo_id, lat, CASE WHEN lon = 180 THEN -180 ELSE lon END AS lon FROM q WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180)"
+
+
+@query("d_map_cells", f"""{_POINTS}, z AS (SELECT unnest(range(0, 9)) AS zoom)
+SELECT CAST(zoom AS INT) AS zoom, CAST(floor((lon + 180) / 360 * (1 << zoom)) AS INT) AS x, CAST(least(floor((lat + 90) / 180 * (1 << zoom)), (1 << zoom) - 1) AS INT) AS y, count(*) AS photos FROM pt, z GROUP BY ALL""")
+def _(spark, sf):
+    return geo.counts(geo.located(read(spark, sf, "exif")), 8)
+
+
+@query("d_photos_near", f"""{_POINTS}, k AS (SELECT photo_id, 2 * 6371.0088 * asin(sqrt(least(1, sin(radians(lat - 40) / 2) ** 2 + cos(radians(lat)) * cos(radians(40)) * sin(radians(lon - 20) / 2) ** 2))) AS km FROM pt)
+SELECT photo_id, round(km, 6) AS km FROM k WHERE km <= 2500""")
+def _(spark, sf):
+    folder = shared_folder(spark, "map")
+    try:
+        geo.write(geo.located(read(spark, sf, "exif")), folder)
+        return checkpointed(geo.within(spark, folder, 40.0, 20.0, 2500.0).select("photo_id", F.round("km", 6).alias("km")))
+    finally:
+        remove(spark, folder)
