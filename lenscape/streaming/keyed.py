@@ -5,8 +5,9 @@ one row of sums. A batch reads and writes the entries of its own photos only, an
 so that a run with most of the events is no single one. What a batch changes comes out as partial rows, which add up:
 `state_of` makes of them what operators.progress.fold makes of all events.
 
-A photo counts once, with the status of the event that comes first: in a batch by seq, between batches by arrival. Numbers
-that tasks report themselves are those of the largest seq, whatever the order of arrival. Events of other kinds and of
+A photo counts once, with the status of the event of the smallest seq, and numbers that tasks report themselves are those of
+the largest, whatever the order of arrival. Only whether the last photo came after the last own number of an embedding task
+is told by each photo's event that arrived first. Events of other kinds and of
 unknown tasks change nothing. With `keep`, a photo or a run that no event has named for so long is forgotten; a photo that
 is named again counts again."""
 
@@ -33,7 +34,7 @@ class PhotoFold(StatefulProcessor):
         self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.photos = handle.getMapState("photos", "photo_id long", "failed boolean", self.keep_ms)
+        self.photos = handle.getMapState("photos", "photo_id long", "seq long, failed boolean", self.keep_ms)
         self.sums = handle.getValueState("sums", ", ".join(f"{c} long" for c in SUMS), self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
@@ -53,13 +54,17 @@ class PhotoFold(StatefulProcessor):
                 if photo not in first or seq < first[photo][0]:
                     first[photo] = seq, failed
         for photo, (seq, failed) in first.items():
-            if not self.photos.containsKey((photo,)):
+            known = self.photos.getValue((photo,)) if self.photos.containsKey((photo,)) else None
+            if known is None:
                 now["items"] += 1
                 now["failed"] += failed
                 now["item_at"] = max(seq, now["item_at"] or seq)
-                self.photos.updateValue((photo,), (bool(failed),))
+                self.photos.updateValue((photo,), (seq, bool(failed)))
+            elif seq < known[0]:  # it arrives late
+                now["failed"] += int(failed) - int(known[1])
+                self.photos.updateValue((photo,), (seq, bool(failed)))
             elif self.keep_ms is not None:
-                self.photos.updateValue((photo,), self.photos.getValue((photo,)))  # it stays for as long again
+                self.photos.updateValue((photo,), known)  # it stays for as long again
         self.sums.update(tuple(None if now[c] is None else int(now[c]) for c in SUMS))
         yield pd.DataFrame([(*key, *(now[c] for c in SUMS))], columns=[c.split()[0] for c in PARTIAL.split(", ")]).astype({c: "Int64" for c in SUMS})
 
