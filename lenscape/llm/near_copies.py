@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SENT_ROWS, join_to_groups, on_workers, stored, with_row
+from ._common import HOT_KEYS, SENT_ROWS, join_to_groups, on_workers, stored, with_row
 from .simhash_vptree import RADIUS, SEED, connected, majority, row_links, shingles
 
 SHINGLE = 5
@@ -221,12 +221,24 @@ def _in_common(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _members(flat: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """flat (row, key) with n of its band, for bands that groups (key, n) has. The keys that hold at least 1/HOT_KEYS of all
+    rows, so HOT_KEYS of them at most, are named in a filter: their rows get n where they lie, and only others are dealt
+    out by key."""
+    hot = [r.key for r in groups.where(F.col("n") * HOT_KEYS >= total).select("key").collect()]
+    is_hot = F.col("key").isin(hot)
+    if not hot:
+        return flat.hint("merge").join(groups, "key")
+    near = flat.where(is_hot).join(F.broadcast(groups.where(is_hot)), "key")
+    return near.unionByName(flat.where(~is_hot).hint("merge").join(groups.where(~is_hot), "key"))
+
+
 def components(docs: DataFrame, row: str, size: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, row, label (a row of its component, the same for all). docs is `numbered`, and row its number."""
     sketches = stored(sketched(docs, size, row), "sketches")
     flat = sketches.select("row", F.explode("keys").alias("key"))
     groups = stored(flat.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
-    members = stored(join_to_groups(flat, groups, "key", "n", sketches.count() * BANDS), "members")
+    members = stored(_members(flat, groups, sketches.count() * BANDS), "members")
     sets = _sets(docs, row, stored(members.select("row").distinct(), "wanted"), size)
     near = stored(_confirmed(_central(members, members.count()), sets, similarity).unionByName(row_links(sketches, radius)), "near")
     labels = stored(_labelled(sketches.select("doc_id", "row"), near), "labels")
