@@ -109,7 +109,7 @@ class KeptTable:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-TOPS = T.StructType([T.StructField("catalog_slot", T.IntegerType()), T.StructField("top", T.LongType())])
+TOPS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("top", T.LongType())])
 
 
 class Catalog:
@@ -118,7 +118,7 @@ class Catalog:
     def __init__(self, spark: SparkSession, root: str, slots: int = SLOTS, buckets: int = BUCKETS):
         self.spark = spark
         self.table = KeptTable(spark, f"{root}/photos", PHOTOS, "path", slots, buckets)
-        self._tops = KeptTable(spark, f"{root}/tops", TOPS, "catalog_slot", 1, 1)  # a row for each slot
+        self._tops = KeptTable(spark, f"{root}/tops", TOPS, "part", 1, 1)  # one row: the largest id given
 
     def rows(self) -> DataFrame:
         return self.table.rows()
@@ -127,7 +127,8 @@ class Catalog:
         """Replaces all. Gives the changes, as `upsert` does."""
         before = self._signed(self.rows(), -1)
         changes = checkpointed(_summed(before.unionByName(self._signed(photos, 1))))
-        self._keep(photos, list(range(self.table.slots)))
+        self._reserve(photos.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).first()[0])
+        self.table.publish(photos, list(range(self.table.slots)))
         return changes
 
     def upsert(self, results: DataFrame) -> DataFrame:
@@ -140,15 +141,16 @@ class Catalog:
         changes = checkpointed(was.join(new, "path", "right").select(
             "path", (1 - one(F.col("_old"))).alias("photos"), (one(F.col("is_raw")) - one(F.col("_was"))).alias("raws")
         ))
-        tops = self._tops.rows().agg(F.coalesce(F.max("top"), F.lit(0)).cast("long").alias("_top"))
-        self._keep(rules.upsert(old, results, tops), touched)
+        top = self._tops.rows().agg(F.coalesce(F.max("top"), F.lit(0)).cast("long").alias("_top"))
+        largest = top.first()._top
+        self._reserve(largest + (changes.agg(F.sum("photos")).first()[0] or 0))
+        numbers = self.spark.range(1).select(F.lit(largest).alias("_top"))
+        self.table.publish(rules.upsert(old, results, numbers), touched)
         return changes
 
-    def _keep(self, rows: DataFrame, touched: list[int]) -> None:
-        self.table.publish(rows, touched)
-        tops = self.table.rows(touched).groupBy(self.table.slot("path").alias("catalog_slot")).agg(F.max("id").alias("top"))
-        others = self._tops.rows().where(~F.col("catalog_slot").isin(touched))
-        self._tops.publish(others.unionByName(tops), [0])
+    def _reserve(self, top: int) -> None:
+        """Before photos have them: a driver that is lost in between leaves a gap, and no id is given twice."""
+        self._tops.publish(self.spark.createDataFrame([(0, top)], TOPS), [0])
 
     @staticmethod
     def _signed(photos: DataFrame, sign: int) -> DataFrame:
