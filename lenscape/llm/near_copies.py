@@ -12,8 +12,8 @@ then still in different components are all compared with one another, in blocks,
 So no link is lost; pairs never leave a task, links do.
 
 Null texts count as empty; texts without words are alike. A text of fewer words than a shingle is one shingle. Very long
-texts are hashed in pieces; of a document the set of its shingles' hashes (8 bytes each) is held at one time. Rows with
-null doc_id count as larger than all others. Repeated rows are copies of one another. Extra columns are not read.
+texts are hashed in pieces; a task holds the sets of shingles' hashes (8 bytes each) of two blocks, cut by bytes, and at
+least that of one document. Rows with null doc_id count as larger than all others. Repeated rows are copies of one another. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -35,8 +35,9 @@ BANDS = 24
 BAND = 5
 #: Shingles whose hashes are permuted at one time.
 AT_ONCE = 1_024
-#: Documents of a block on the side that is not yet joined, and on the other.
-LEFT, RIGHT = 512, 4_096
+#: Shingles (8 bytes each) in a block's sets on the side that is not yet joined, and on the other: so blocks are bounded by
+#: bytes, whatever the documents' length. A document with more is in a block with few others.
+LEFT, RIGHT = 1 << 20, 1 << 22
 #: Sets of central documents that a worker remembers, and the largest (in shingles) that is broadcast.
 SETS_HELD = 16
 SENT_SET = 4_096
@@ -150,14 +151,16 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _left_apart(members: DataFrame, sketches: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """row, to: links between members (key, row, label, n: of the band) of a band that have different labels. In each band
-    the label of most members needs no comparison within itself: the others, in blocks, meet all."""
-    share = stored(members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k")), "labels")
-    apart = share.groupBy("key").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("total"), F.count(F.lit(1)).alias("labels"))
-    apart = stored(apart.where("labels > 1").select("key", F.col("most.label").alias("main"), "total", (F.col("total") - F.col("most.k")).alias("others")), "apart")
-    rest = join_to_groups(members.drop("n"), apart, "key", "total", members.count())
+    """row, to: links between members (key, row, label, size: of its set) of a band that have different labels. In each band
+    the label whose members have most shingles needs no comparison within itself: the others, in blocks, meet all."""
+    share = stored(members.groupBy("key", "label").agg(F.sum("size").alias("k"), F.count(F.lit(1)).alias("rows")), "labels")
+    apart = share.groupBy("key").agg(
+        F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("all"), F.sum("rows").alias("total"), F.count(F.lit(1)).alias("labels")
+    )
+    apart = stored(apart.where("labels > 1").select("key", F.col("most.label").alias("main"), "total", "all", (F.col("all") - F.col("most.k")).alias("others")), "apart")
+    rest = join_to_groups(members.drop("size"), apart, "key", "total", members.count())
     lefts = F.ceil(F.col("others") / LEFT).cast("int")
-    rights = F.ceil(F.col("total") / RIGHT).cast("int")
+    rights = F.ceil(F.col("all") / RIGHT).cast("int")
     draw = F.xxhash64("row")
     is_left = F.col("label") != F.col("main")
     dealt = rest.select("key", "row", "label", is_left.alias("left"), lefts.alias("lefts"), rights.alias("rights"), F.pmod(draw, lefts).alias("lb"), F.pmod(draw, rights).alias("rb"))
@@ -243,7 +246,8 @@ def components(docs: DataFrame, row: str, size: int = SHINGLE, similarity: float
     near = stored(_confirmed(_central(members, members.count()), sets, similarity).unionByName(row_links(sketches, radius)), "near")
     labels = stored(_labelled(sketches.select("doc_id", "row"), near), "labels")
     names = labels.select("row", "label")
-    more = stored(_left_apart(stored(members.join(names.hint("merge"), "row"), "labelled"), sketches, sets, similarity), "more")
+    sized = sets.select("row", F.col("n").alias("size")).join(names.hint("merge"), "row")
+    more = stored(_left_apart(stored(members.drop("n").join(sized.hint("merge"), "row"), "labelled"), sketches, sets, similarity), "more")
     if not more.limit(1).count():
         return labels
     to = names.select(F.col("row").alias("to"), F.col("label").alias("to_label"))

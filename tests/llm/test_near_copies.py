@@ -88,7 +88,7 @@ def test_first_of_a_band_is_no_copy(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()} == {1, 3}
 
 
-@pytest.mark.parametrize("left, right, sent", [(512, 4096, 4096), (3, 7, 0)])
+@pytest.mark.parametrize("left, right, sent", [(1 << 20, 1 << 22, 4096), (500, 1200, 0)])
 def test_copies_of_one_source(spark, tmp_path, monkeypatch, left, right, sent):
     """Copies that each resemble their source, but hardly one another: no document of a band need be near the first of
     it. In blocks of any size all links are found."""
