@@ -3,12 +3,14 @@
 A token file is a run of fixed-width little-endian ids in which an end-of-document id follows every document; nothing
 says where documents begin. Files are cut into blocks, each block is searched for the id as one vector, and a prefix scan
 over the blocks of a file (running sums of documents and tokens, the last separator so far) stitches the documents that
-cross blocks. Only block summaries and separator places are shuffled.
+cross blocks. The scan has two levels, groups of blocks and a file's groups, so that no task sorts all of a large file.
+Only names of blocks, their summaries and separator places are shuffled.
 
 A document that no separator ends (the file's last one) is reported with terminated = false. Two separators side by side
 are a document of no tokens. An empty file has no documents. A file whose size is no multiple of the id's width raises an
-error. Null and empty texts are documents of no tokens. Repeated rows are documents of their own. A single file holds at
-most 2 GB, Spark's bound for one binary value; the writer makes one file for each partition of its input.
+error. Null and empty texts are documents of no tokens. Repeated rows are documents of their own. Tasks read byte ranges of
+files of any size, where pyarrow has the file system; where it has not, through Spark's reader of whole files, whose bound
+is 2 GB a file (a larger one is an error). The writer makes one file for each partition of its input.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ from ._common import on_workers, pinned_splits, shared_dir, stored
 
 #: Ids in a block.
 BLOCK = 1 << 20
+#: Blocks of a file whose summaries are scanned as one group, and blocks that a task reads, at most.
+GROUP, BLOCKS_A_TASK = 1024, 64
 WIDTHS = {2: "<u2", 4: "<u4"}
 
 
@@ -59,52 +64,128 @@ def write_token_files(docs: DataFrame, path: str, ranks_file: str, pattern: str,
     lines.write.option("encoding", "ISO-8859-1").option("lineSep", separator).option("compression", "none").text(path)
 
 
-def token_blocks(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """file (its name), block (its number in the file) and data (the bytes) of every file in a folder."""
+def _opened(address: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of an address as Spark names it, and the path there."""
+    scheme, _, rest = address.partition(":")
+    return (pafs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else pafs.FileSystem.from_uri(address)
+
+
+def _by_range(address: str) -> bool:
+    """Whether byte ranges of the file can be read."""
+    try:
+        system, path = _opened(address)
+        return system.get_file_info(path).type == pafs.FileType.File
+    except (OSError, ValueError, NotImplementedError, ImportError):
+        return False
+
+
+def _files(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).where("length > 0")
+
+
+def _blocks(files: DataFrame, size: int, *more: str) -> DataFrame:
+    """file (its name), block (its number in the file) and more columns, for all blocks of size bytes."""
+    number = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size)))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), number.alias("block"), *more)
+
+
+def token_blocks(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK, glob: str = "part-*") -> DataFrame:
+    """file, block and data (the bytes) of every file in a folder, each read as one value."""
     size = block * width
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0")
-    numbered = files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "content",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / size))).alias("block"),
-    )
     # a block is cut out as its row is made (generation is compiled into the projection), so one is held at a time
-    return numbered.select("file", "block", F.substring(F.col("content"), (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("data"))
+    cut = F.substring(F.col("content"), (F.col("block") * size + 1).cast("int"), F.lit(size)).alias("data")
+    return _blocks(_files(spark, path, glob), size, "content").select("file", "block", cut)
 
 
-def separator_scan(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
-    """One row per document: file, ordinal (in the file, from 0), start (place of its first id), n_tokens (without the
-    separator), terminated."""
+FOUND = "file string, block long, n long, ends array<int>"
+
+
+def _searched(files: list, numbers: list[int], blocks: list, eod: int, width: int) -> pa.RecordBatch:
+    ids = [np.frombuffer(x, WIDTHS[width]) for x in blocks]
+    ends = [np.flatnonzero(x == eod).astype(np.int32) for x in ids]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(files, pa.string()), pa.array(numbers, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array(ends, pa.list_(pa.int32()))],
+        names=["file", "block", "n", "ends"],
+    )
+
+
+def block_search(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
+    """file, block, n (ids) and ends (places of separators in the block) of blocks that hold their data."""
     on_workers(blocks.sparkSession)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = [np.frombuffer(x.as_buffer(), WIDTHS[width]) for x in b.column(2)]
-            ends = [np.flatnonzero(x == eod).astype(np.int32) for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    b.column(1),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array(ends, pa.list_(pa.int32())),
-                ],
-                names=["file", "block", "n", "ends"],
-            )
-
-    found = blocks.select("file", F.col("block").cast("long"), "data").mapInArrow(
-        search, "file string, block long, n long, ends array<int>"
-    )
-    order = Window.partitionBy("file").orderBy("block")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
+            yield _searched(b.column(0).to_pylist(), b.column(1).to_pylist(), [x.as_buffer() for x in b.column(2)], eod, width)
+
+    return blocks.select("file", F.col("block").cast("long"), "data").mapInArrow(run, FOUND)
+
+
+def file_search(spark: SparkSession, path: str, eod: int, width: int = 2, block: int = BLOCK, glob: str = "part-*") -> DataFrame:
+    """`block_search` of every file in a folder. Blocks are dealt out by name and read where they are searched, one at a
+    time."""
+    on_workers(spark)
+    size = block * width
+    files = _files(spark, path, glob).select("path", "length")
+    total, one = files.agg(F.sum(F.ceil(F.col("length") / size)), F.first("path")).first()
+    if one is not None and not _by_range(one):
+        return block_search(token_blocks(spark, path, width, block, glob), eod, width)
+    total = total or 0
+    tasks = max(1, min(total, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCKS_A_TASK))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for file, number, address, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                system, at = _opened(address)
+                want = min(size, length - number * size)
+                with system.open_input_file(at) as f:
+                    data = f.read_at(want, number * size)
+                if len(data) != want:
+                    raise OSError(f"{address} ends before its length")
+                yield _searched([file], [number], [data], eod, width)
+
+    return _blocks(files, size, "path", "length").repartition(tasks, "file", "block").mapInArrow(run, FOUND)
+
+
+def separator_scan(blocks: DataFrame, eod: int, width: int = 2) -> DataFrame:
+    """`stitched` over blocks that hold their data (file, block, data)."""
+    return stitched(block_search(blocks, eod, width))
+
+
+def stitched(found: DataFrame) -> DataFrame:
+    """One row per document: file, ordinal (in the file, from 0), start (place of its first id), n_tokens (without the
+    separator), terminated. found: file, block, n, ends."""
+    found = stored(found, "separators").withColumn("group", F.floor(F.col("block") / GROUP))
     number = F.size("ends").cast("long")
-    summed = found.select(
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    order = Window.partitionBy("file", "group").orderBy("block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    near = found.select(
         "*",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"),
-        F.coalesce(F.sum(number).over(before), F.lit(0)).alias("docs"),
-        F.lead("block").over(order).isNull().alias("last"),
+        zero(F.sum("n").over(before)).alias("near_base"),
+        zero(F.sum(number).over(before)).alias("near_docs"),
+        F.lead("block").over(order).isNull().alias("near_last"),
     )
-    # the last separator before a block, as a place in the file; -1 if there is none
-    ended = F.when(number > 0, F.col("base") + F.element_at("ends", -1))
-    summed = summed.withColumn("carry", F.coalesce(F.max(ended).over(before), F.lit(-1)))
+    # the last separator so far, as a place in the group; null if there is none
+    ended = F.when(number > 0, F.col("near_base") + F.element_at("ends", -1))
+    groups = near.groupBy("file", "group").agg(F.sum("n").alias("n"), F.sum(number).alias("docs"), F.max(ended).alias("ended"))
+    all_order = Window.partitionBy("file").orderBy("group")
+    all_before = all_order.rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select(
+        "file", "group", "ended",
+        zero(F.sum("n").over(all_before)).alias("far_base"),
+        zero(F.sum("docs").over(all_before)).alias("far_docs"),
+        F.lead("group").over(all_order).isNull().alias("far_last"),
+    )
+    far_carry = F.coalesce(F.max(F.col("far_base") + F.col("ended")).over(all_before), F.lit(-1))
+    groups = groups.select("file", "group", "far_base", "far_docs", "far_last", far_carry.alias("far_carry"))
+    near = near.withColumn("near_carry", F.max(ended).over(before)).hint("merge")
+    summed = near.join(groups, ["file", "group"]).select(
+        "file", "ends", "n",
+        (F.col("far_base") + F.col("near_base")).alias("base"),
+        (F.col("far_docs") + F.col("near_docs")).alias("docs"),
+        (F.col("near_last") & F.col("far_last")).alias("last"),
+        F.greatest("far_carry", F.col("far_base") + F.col("near_carry")).alias("carry"),
+    )
     places = F.transform("ends", lambda e: F.struct((F.col("base") + e).alias("end"), F.lit(True).alias("terminated")))
     open_end = F.col("last") & (F.when(number > 0, F.element_at("ends", -1)).otherwise(-1) < F.col("n") - 1)
     tail = F.array(F.struct((F.col("base") + F.col("n")).alias("end"), F.lit(False).alias("terminated")))
@@ -136,7 +217,7 @@ def token_counts(docs: DataFrame, path: str, ranks_file: str, pattern: str, eod:
     with pinned_splits(spark):
         write_token_files(docs, path, ranks_file, pattern, eod, width)
         rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row")), "places")
-    scanned = separator_scan(token_blocks(spark, path, width), eod, width).withColumn("file", part_number(F.col("file")))
+    scanned = stitched(file_search(spark, path, eod, width)).withColumn("file", part_number(F.col("file")))
     low = (1 << 33) - 1
     named = rows.select(
         "doc_id", F.shiftright("row", 33).cast("int").alias("file"), F.col("row").bitwiseAND(F.lit(low)).alias("ordinal"),

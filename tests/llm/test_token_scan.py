@@ -110,3 +110,45 @@ def test_sample_files(spark, sf):
     assert {r.doc_id: r.n_tokens for r in got} == want and len(got) == len(want)
     starts = sorted((r.file, r.start, r.n_tokens) for r in got)
     assert all(a[0] != b[0] or a[1] + a[2] + 1 == b[1] for a, b in zip(starts, starts[1:]))
+
+
+@pytest.mark.parametrize("ranges", [True, False])
+def test_files_by_range(spark, tmp_path, monkeypatch, ranges):
+    """Files of many blocks and groups, by byte ranges and as whole values."""
+    monkeypatch.setattr(t, "GROUP", 3)
+    if not ranges:
+        monkeypatch.setattr(t, "_by_range", lambda address: False)
+    rng = np.random.default_rng(5)
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    files = {f"part-{i}": rng.choice([1, 9, 50256, 0xC4, 0x50], n, p=[0.3, 0.3, 0.01, 0.29, 0.1]) for i, n in enumerate([0, 1, 7, 8, 200, 1003])}
+    for name, ids in files.items():
+        (folder / name).write_bytes(ids.astype("<u2").tobytes())
+    got = t.stitched(t.file_search(spark, str(folder), 50256, block=8))
+    want = [(f, k, *x) for f, ids in files.items() for k, x in enumerate(slow(ids.tolist(), 50256))]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_no_files(spark, tmp_path):
+    assert t.stitched(t.file_search(spark, str(tmp_path), 50256)).count() == 0
+
+
+def test_odd_size(spark, tmp_path):
+    (tmp_path / "part-0").write_bytes(b"abc")
+    with pytest.raises(Exception, match="buffer size"):
+        t.stitched(t.file_search(spark, str(tmp_path), 50256)).count()
+
+
+def test_file_above_2_gb(spark, tmp_path):
+    """A sparse file; documents end before, across and after the 2 GB."""
+    ends = [5, 6, (1 << 20) - 1, 1 << 20, (1 << 30) - 1, (1 << 30) + 3, (1 << 30) + (1 << 21)]
+    total = (1 << 30) + (1 << 21) + 10
+    with open(tmp_path / "part-0", "wb") as f:
+        f.truncate(2 * total)
+        for at in ends:
+            f.seek(2 * at)
+            f.write((50256).to_bytes(2, "little"))
+    got = t.stitched(t.file_search(spark, str(tmp_path), 50256)).orderBy("ordinal").collect()
+    starts = [0, *(e + 1 for e in ends)]
+    want = [("part-0", k, a, e - a, k < len(ends)) for k, (a, e) in enumerate(zip(starts, [*ends, total], strict=True))]
+    assert [tuple(r) for r in got] == want
