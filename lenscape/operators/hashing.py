@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..workers import checkpointed
+from ..workers import checkpointed, find_package
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -27,9 +30,13 @@ def sign_hash(embedding: Column, bits: int = 62) -> Column:
 def close_pairs(hashes: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
     """a, b (a < b) and distance of all pairs of rows (id, hash) within a threshold.
 
-    Pairs of different hashes are those of close_hashes; rows of equal hashes are joined to them at the end. The result
-    holds all pairs: for groups of copies use close_classes or duplicate_groups."""
-    points = hashes.where("hash is not null")
+    Where comparing all is the least work, rows meet in blocks. Else pairs of different hashes are those of close_hashes, and
+    rows of equal hashes are joined to them at the end. The result holds all pairs: for groups of copies use close_classes or
+    duplicate_groups."""
+    points = checkpointed(hashes.where("hash is not null").select("id", "hash"))
+    total = points.count()
+    if threshold < bits and _all_is_least(bands(threshold, bits, total), total):
+        return compared(points, total, threshold).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance")
     met = close_hashes(points.select("hash").distinct(), threshold, bits)
     left = points.select(F.col("id").alias("x"), "hash")
     right = points.select(F.col("id").alias("y"), F.col("hash").alias("hash2"))
@@ -45,6 +52,10 @@ LEAST_BITS = 10
 MOST_PROBES = 50_000
 #: Hashes of one value of a band that one task gets, about; and the share of all rows below which a value is not looked at.
 TOGETHER, HOT_VALUES = 1_000, 2_000
+#: What a looked-up value costs, in comparisons of two hashes.
+PROBE = 300
+#: Hashes of a block that is compared with others at most, and at least where there are fewer than FEW blocks; comparisons at once.
+BLOCK, LEAST_BLOCK, FEW, TILE = 32_768, 1_000, 8, 1 << 18
 
 
 def bands(threshold: int, bits: int, total: int) -> list[tuple[int, int, int]]:
@@ -68,8 +79,51 @@ def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in at) for k in range(radius + 1) for at in combinations(range(width), k)]
 
 
+def _all_is_least(cut: list[tuple[int, int, int]], total: int) -> bool:
+    """Whether comparing all of so many hashes is less work than looking them up by these bands."""
+    looked_up = sum(sum(comb(width, k) for k in range(radius + 1)) * (1 + total / 2**width) for _, width, radius in cut)
+    return total / 2 <= PROBE * looked_up
+
+
+def compared(rows: DataFrame, total: int, threshold: int) -> DataFrame:
+    """a, b and distance of every two of so many rows (id, hash) within a threshold, once and in either order. Rows are dealt
+    to blocks and every two blocks meet in a group, which holds their hashes and hands out pairs as it finds them."""
+    spark = rows.sparkSession
+    find_package(spark)
+    blocks = max(1, -(-total // BLOCK), min(FEW, -(-total // LEAST_BLOCK)))
+    groups = blocks * (blocks + 1) // 2
+    block, other = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.col("other")
+    sent = rows.select("id", "hash", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    sent = sent.select("id", "hash", (other >= F.col("block")).alias("left"), F.least("other", "block").alias("i"), F.greatest("other", "block").alias("j"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, own = [], False
+        for b in batches:
+            parts.append([b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "hash", "left")])
+            own = b.column("i")[0] == b.column("j")[0]
+        ids, hashes, left = (np.concatenate(c) for c in zip(*parts, strict=True))
+        hashes = hashes.view(np.uint64)
+        a, x = ids[left], hashes[left]
+        b, y = (a, x) if own else (ids[~left], hashes[~left])
+        step = max(1, TILE // max(1, len(y)))
+        for at in range(0, len(x), step):
+            skip = at if own else 0
+            d = np.bitwise_count(x[at : at + step, None] ^ y[skip:])
+            found = np.flatnonzero(d <= threshold)
+            row, column = np.divmod(found, len(y) - skip) if len(found) else (found, found)
+            if own:  # each pair once, and none with itself
+                later = column > row
+                found, row, column = found[later], row[later], column[later]
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(a[at + row]), pa.array(b[skip + column]), pa.array(d.ravel()[found].astype(np.int32))], names=["a", "b", "distance"])
+
+    tasks = min(groups, max(4 * spark.sparkContext.defaultParallelism, groups // 16))
+    return sent.repartition(tasks, "i", "j").groupBy("i", "j").applyInArrow(meet, "a long, b long, distance int")
+
+
 def close_hashes(distinct: DataFrame, threshold: int, bits: int = 64) -> DataFrame:
-    """hash, hash2 (hash < hash2) and distance of different hashes within a threshold.
+    """hash, hash2 (hash < hash2) and distance of different hashes within a threshold. Where comparing all of them is the least
+    work, as beyond about a quarter of the bits, they meet in blocks (`compared`).
 
     A hash is filed under its values in some bands, and looked up under all values near its own there (see `bands`); values
     that very many hashes share are filed in parts. A pair is reported by the first band that finds it."""
@@ -79,6 +133,10 @@ def close_hashes(distinct: DataFrame, threshold: int, bits: int = 64) -> DataFra
     distinct = checkpointed(distinct)
     total = distinct.count()
     cut = bands(threshold, bits, total)
+    if _all_is_least(cut, total):
+        return compared(distinct.select(F.col("hash").alias("id"), "hash"), total, threshold).select(
+            F.least("a", "b").alias("hash"), F.greatest("a", "b").alias("hash2"), "distance"
+        )
     value = lambda c, lo, width: F.shiftrightunsigned(c, lo).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1))
     filed = distinct.select(
         F.col("hash").alias("hash2"), F.inline(F.array(*(F.struct(F.lit(i).alias("band"), value(F.col("hash"), lo, width).alias("value")) for i, (lo, width, _) in enumerate(cut))))

@@ -64,3 +64,28 @@ def test_no_hashes(spark):
     assert members.collect() == [] and pairs.collect() == []
     with pytest.raises(ValueError):
         hashing.close_hashes(df.select("hash"), 64)
+
+
+@pytest.mark.parametrize("probe", [0, 10**9])
+@pytest.mark.parametrize(("bits", "threshold"), [(64, 3), (62, 18)])
+def test_bands_and_blocks_agree(spark, monkeypatch, probe, bits, threshold):
+    """Either way, whatever is the least work; several blocks, and tiles that cut them."""
+    monkeypatch.setattr(hashing, "PROBE", probe)
+    monkeypatch.setattr(hashing, "BLOCK", 40)
+    monkeypatch.setattr(hashing, "TILE", 300)
+    rows = made(bits, 150, bits + threshold)
+    df = spark.createDataFrame(rows, "id long, hash long")
+    want = near(rows, threshold)
+    got = hashing.close_pairs(df, threshold, bits).collect()
+    assert len(got) == len(want) and {(r.a, r.b): r.distance for r in got} == want
+    value = {i: v for i, v in rows if v is not None}
+    apart = {tuple(sorted((value[a], value[b]))) for (a, b), d in want.items() if d}
+    found = hashing.close_hashes(df.where("hash is not null").select("hash").distinct(), threshold, bits).collect()
+    assert len(found) == len(apart) and {(r["hash"], r.hash2) for r in found} == apart
+
+
+def test_wide_thresholds_compare_all_and_narrow_ones_look_up():
+    """Bands of wide thresholds would be looked up by thousands of values for each hash."""
+    least = lambda threshold, total: hashing._all_is_least(hashing.bands(threshold, 62, total), total)
+    assert all(least(t, total) for t in (15, 16, 18) for total in (2_000, 10**5, 10**6))
+    assert not least(3, 10**6) and not least(0, 10**6)
