@@ -188,16 +188,50 @@ def duplicate_groups(hashes: DataFrame, threshold: int, bits: int = 64) -> DataF
     return hashes.join(named.select("hash", "root").join(least, "root"), "hash").select("id", "group_id")
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """node and root (smallest node of its component), by rounds of taking the smallest label among neighbours and
-    jumping to that label's own. State is checkpointed where the session says."""
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("root")))
+#: Links that one task contracts at most, when rounds have left so few.
+REST = 1 << 18
+
+
+def merged(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The labels of nodes 0, 1, ... (each the number of its group's smallest node) after links between u and v."""
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("seen"))
-        own = labels.join(near, "node").select("node", F.least("root", "seen").alias("root"), F.col("root").alias("old"))
-        step = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = checkpointed(own.join(step, "root", "left").select("node", F.least("root", "next").alias("root"), "old"))
-        if not new.where("root <> old").limit(1).count():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+        a, b = label[u], label[v]
+        apart = a != b
+        if not apart.any():
+            return label
+        a, b, u, v = a[apart], b[apart], u[apart], v[apart]
+        label[np.maximum(a, b)] = np.minimum(a, b)
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node and root (smallest node of its component), by contraction: in a round each node moves to the one with the least
+    hash among itself and its neighbours, and links are named by where their ends went. About half of the nodes or more go in
+    a round, however long paths are; the last REST links are contracted at once. Then names are carried back. State is
+    checkpointed where the session says."""
+    find_package(edges.sparkSession)
+    links = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both, moves = links.where("a <> b"), []
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [[c.to_numpy() for c in b.columns] for b in batches]
+        if ends:
+            a, b = (np.concatenate(c) for c in zip(*ends, strict=True))
+            names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            label = merged(np.arange(len(names)), at[: len(a)], at[len(a) :])
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], names=["node", "to"])
+
+    while both.count() > REST:
+        rank = lambda c, n=len(moves): F.struct(F.xxhash64(c, F.lit(n)).alias("hash"), F.col(c).alias("at"))
+        least = both.groupBy("a").agg(F.min(rank("b")).alias("near")).select(F.col("a").alias("node"), F.least("near", rank("a"))["at"].alias("to"))
+        moves.append(checkpointed(least))
+        ends = both.join(moves[-1].toDF("a", "a2"), "a").join(moves[-1].toDF("b", "b2"), "b").where("a2 <> b2")
+        both = checkpointed(ends.select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct())
+    named = both.select(F.col("a").cast("long"), F.col("b").cast("long")).repartition(1).mapInArrow(contract, "node long, to long")
+    for moved in reversed(moves):
+        named = moved.join(named.toDF("to", "last"), "to", "left").select("node", F.coalesce("last", "to").alias("to"))
+    named = checkpointed(named)
+    least = named.groupBy("to").agg(F.min("node").alias("root"))
+    alone = links.where("a = b").select(F.col("a").alias("node")).join(named, "node", "left_anti")
+    return named.join(least, "to").select("node", "root").unionByName(alone.select("node", F.col("node").alias("root")))

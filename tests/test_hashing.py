@@ -89,3 +89,25 @@ def test_wide_thresholds_compare_all_and_narrow_ones_look_up():
     least = lambda threshold, total: hashing._all_is_least(hashing.bands(threshold, 62, total), total)
     assert all(least(t, total) for t in (15, 16, 18) for total in (2_000, 10**5, 10**6))
     assert not least(3, 10**6) and not least(0, 10**6)
+
+
+@pytest.mark.parametrize("rest", [0, 12, 1 << 18])
+def test_components(spark, monkeypatch, rest):
+    """A path whose numbers rise, one in random order, stars, a loop alone: by rounds, by the last step, and by both."""
+    monkeypatch.setattr(hashing, "REST", rest)
+    rng = random.Random(5)
+    mixed = rng.sample(range(1000, 1040), 40)
+    edges = [(i, i + 1) for i in range(60)] + list(zip(mixed, mixed[1:], strict=False)) + [(2000 + i, 2500) for i in range(30)] + [(3000, 3000), (2001, 2001)]
+    got = {r.node: r.root for r in hashing.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = dict.fromkeys(range(61), 0) | dict.fromkeys(range(1000, 1040), 1000) | dict.fromkeys([*range(2000, 2030), 2500], 2000) | {3000: 3000}
+    assert got == want
+
+
+def test_long_paths_take_few_jobs(spark, monkeypatch):
+    """Labels that go from neighbour to neighbour took a round for each few of a path in random order."""
+    calls = []
+    kept = hashing.checkpointed
+    monkeypatch.setattr(hashing, "checkpointed", lambda df: calls.append(1) or kept(df))
+    names = random.Random(6).sample(range(10**6), 3000)
+    got = hashing.connected(spark.createDataFrame(list(zip(names, names[1:], strict=False)), "a long, b long")).collect()
+    assert len(got) == 3000 and {r.root for r in got} == {min(names)} and len(calls) == 2
