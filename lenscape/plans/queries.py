@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,33 +56,54 @@ BASE = "/library/photos"
 @query("src1_discover", f"{cte('assets')} SELECT path AS relative_path, name, CAST(length(path) AS BIGINT) AS size FROM assets WHERE {_ends(ALL)}")
 def _(spark, sf):
     """A walk over files made for it: small ones named as all assets, among hidden and foreign ones."""
-    folder = shared_folder(spark, "walk")
-    try:
-        return checkpointed(files.discover(spark, _made_files(spark, sf, folder)).select("relative_path", "name", "size"))
-    finally:
-        remove(spark, folder)
+    return _walked(spark, sf, "walk").select("relative_path", "name", "size")
 
 
-def _made_files(spark, sf, folder: str) -> str:
-    """Executors write them, into the folder that all share."""
-    import os
+def _walked(spark, sf, name: str) -> DataFrame:
+    """What the walk finds, and keeps, of files that executors write into the folder that all share, and delete."""
     from urllib.parse import urlparse
 
+    folder = shared_folder(spark, name)
     root = urlparse(folder).path  # the walk is one of mounted file systems
     find_package(spark)
+    odd = spark.createDataFrame([(p,) for p in (".hidden.jpg", ".hid/a.jpg", "notes.txt", "a/.b/c.png")], "path string")
+    paths = read(spark, sf, "assets").select("path").unionByName(odd)
+    paths = paths.repartitionByRange(4 * spark.sparkContext.defaultParallelism, "path")  # few tasks in a folder at a time, as it takes in files one by one
+    try:
+        paths.mapInArrow(_each_path(root, _make_file), "n long").agg(F.sum("n")).first()
+        return files.discover(spark, root)
+    finally:
+        paths.mapInArrow(_each_path(root, _delete_file), "n long").agg(F.sum("n")).first()
+        remove(spark, folder)
 
-    def write(batches):
+
+def _each_path(root: str, do: Callable[[str, str, set], None]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        folders: set = set()
         for b in batches:
-            for p in b["path"]:
-                os.makedirs(os.path.dirname(f"{root}/{p}"), exist_ok=True)
-                with open(f"{root}/{p}", "w") as f:
-                    f.write("x" * len(p))
-                os.utime(f"{root}/{p}", (86400, 86400 * len(p)))
-            yield pd.DataFrame({"n": [len(b)]})
+            for p in b.column(0).to_pylist():
+                do(root, p, folders)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
 
-    odd = spark.createDataFrame([(p,) for p in (".hidden.jpg", ".hid/a.jpg", "notes.txt", "a/.b/c.png")], "path string")
-    read(spark, sf, "assets").select("path").unionByName(odd).mapInPandas(write, "n long").agg(F.sum("n")).first()
-    return root
+    return run
+
+
+def _make_file(root: str, path: str, folders: set) -> None:
+    """Its size and time are given by the length of its path."""
+    folder = os.path.dirname(f"{root}/{path}")
+    if folder not in folders:
+        os.makedirs(folder, exist_ok=True)
+        folders.add(folder)
+    with open(f"{root}/{path}", "wb", buffering=0) as f:
+        f.write(b"x" * len(path))
+        os.utime(f.fileno(), (86400, 86400 * len(path)))
+
+
+def _delete_file(root: str, path: str, _: set) -> None:
+    try:
+        os.unlink(f"{root}/{path}")
+    except FileNotFoundError:
+        pass
 
 
 scalar(
@@ -105,12 +128,7 @@ def _(spark, sf):
 @query("src4_stat_files", f"{cte('assets')} SELECT path, CAST(length(path) AS BIGINT) AS size, 86400.0 * length(path) AS modified_s FROM assets")
 def _(spark, sf):
     """Sizes and times as the walk reads them from files."""
-    folder = shared_folder(spark, "stat")
-    try:
-        found = files.discover(spark, _made_files(spark, sf, folder))
-        return checkpointed(found.select(col("relative_path").alias("path"), "size", F.unix_seconds(upsert.seconds(col("modified_ms"))).cast("double").alias("modified_s")))
-    finally:
-        remove(spark, folder)
+    return _walked(spark, sf, "stat").select(col("relative_path").alias("path"), "size", F.unix_seconds(upsert.seconds(col("modified_ms"))).cast("double").alias("modified_s"))
 
 
 @query("src5_paths", f"{cte('assets')} SELECT path FROM assets")

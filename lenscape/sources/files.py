@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import stat
 import subprocess
 from collections.abc import Callable, Iterator
 
@@ -58,86 +59,124 @@ class _Walk(DataSourceReader):
             return
         todo = [(part.path, (os.path.realpath(part.path),))]
         while todo:
-            found, below = visited(*todo.pop(), self.root)
-            yield from found
-            if part.deep:
-                todo += below
-
-
-def visited(folder: str, above: tuple, root: str) -> tuple[list[tuple], list[tuple]]:
-    """The supported files of a folder, as rows of "media_files", and the folders in it with the real paths on the way down.
-    above: those of folder itself and of what it was reached through; a folder among them is not entered again."""
-    found, below = [], []
+            for path, name, above in entries(*todo.pop()):
+                if above is None:
+                    found = stat_of(path, name, self.root)
+                    if found:
+                        yield found
+                elif part.deep:
+                    todo.append((path, above))
+
+
+def entries(folder: str, above: tuple) -> Iterator[tuple[str, str, tuple | None]]:
+    """Path, name and None of what is named as a supported file in a folder; and of the folders in it the path, name and real
+    paths on the way down. above: those of folder itself and of what it was reached through; a folder among them is not
+    entered again. Sizes and times are not looked at."""
+    try:
+        opened = os.scandir(folder)
+    except OSError:
+        return
+    with opened:
+        while True:
+            try:
+                e = next(opened, None)
+                if e is None:
+                    return
+                if e.name.startswith("."):
+                    continue
+                if e.is_dir():
+                    real = os.path.realpath(e.path)
+                    if real not in above:
+                        yield e.path, e.name, (*above, real)
+                elif e.name.lower().endswith(EXTENSIONS):
+                    yield e.path, e.name, None
+            except OSError:
+                if e is None:
+                    return
+
+
+def stat_of(path: str, name: str, root: str) -> tuple | None:
+    """A row of "media_files"; None of what is no file, or cannot be read."""
     try:
-        entries = sorted(os.scandir(folder), key=lambda e: e.name)
+        s = os.stat(path)
     except OSError:
-        return found, below
-    for e in entries:
-        if e.name.startswith("."):
-            continue
-        try:
-            if e.is_dir():
-                real = os.path.realpath(e.path)
-                if real not in above:
-                    below.append((e.path, (*above, real)))
-            elif e.is_file() and e.name.lower().endswith(EXTENSIONS):
-                s = e.stat()
-                born = getattr(s, "st_birthtime", 0.0)
-                found.append((e.path, os.path.relpath(e.path, root), e.name, s.st_size, born * 1000.0, s.st_mtime * 1000.0))
-        except OSError:
-            continue
-    return found, below
-
-
-#: Folders that a task of the first round visits; twice as many in each further round, up to MOST_VISITS.
-VISITS, MOST_VISITS = 64, 16_384
-_FILE = ("path", "relative_path", "name", "size", "created_ms", "modified_ms")
-_STEP = "path string, relative_path string, name string, size long, created_ms double, modified_ms double, above array<string>"
+        return None
+    if not stat.S_ISREG(s.st_mode):
+        return None
+    born = getattr(s, "st_birthtime", 0.0)
+    return path, path.removeprefix(root.rstrip("/") + "/"), name, s.st_size, born * 1000.0, s.st_mtime * 1000.0
+
+
+#: Folders that a task of the first round visits; twice as many in each further round, up to MOST_VISITS. A task that has seen
+#: so many entries visits no other folder.
+VISITS, MOST_VISITS, ENTRIES = 64, 16_384, 10_000
+_STEP = "path string, name string, above array<string>"
 
 
 def round_of(frontier: DataFrame, root: str, visits: int) -> DataFrame:
-    """One round of a walk over frontier (path, above), dealt to all tasks: files, and folders (above is not null) that are
-    left when a task has visited so many."""
+    """One round of a walk over frontier (path, above), dealt to all tasks: names of files, and folders (above is not null)
+    that are left when a task has visited so many, or has seen ENTRIES."""
     spark = frontier.sparkSession
     find_package(spark)
-    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string())]
+    most, types = ENTRIES, [pa.string(), pa.string(), pa.list_(pa.string())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         todo = [(p, tuple(a)) for b in batches for p, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-        rows, left = [], visits
-        while todo and left:
-            found, below = visited(*todo.pop(), root)
-            rows += [(*f, None) for f in found]
-            todo += below
+        rows, left, seen = [], visits, 0
+        while todo and left and seen < most:
+            for path, name, above in entries(*todo.pop()):
+                seen += 1
+                if above is None:
+                    rows.append((path, name, None))
+                else:
+                    todo.append((path, above))
+                if len(rows) >= 10_000:
+                    yield batch(rows)
+                    rows = []
             left -= 1
-            if len(rows) >= 10_000:
-                yield batch(rows)
-                rows = []
-        yield batch(rows + [(p, *(None,) * 5, list(a)) for p, a in todo])
+        yield batch(rows + [(p, None, list(a)) for p, a in todo])
 
     def batch(rows: list) -> pa.RecordBatch:
         cols = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[*_FILE, "above"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["path", "name", "above"])
 
     return frontier.repartition(max(2, 2 * spark.sparkContext.defaultParallelism)).mapInArrow(run, _STEP)
 
 
+def stats(names: DataFrame, root: str) -> DataFrame:
+    """The rows of "media_files" of files (path, name), dealt to all tasks whatever folders they are in."""
+    spark = names.sparkSession
+    find_package(spark)
+    types = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64()]
+    columns = ["path", "relative_path", "name", "size", "created_ms", "modified_ms"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [r for p, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (r := stat_of(p, n, root))]
+            cols = list(zip(*found, strict=True)) if found else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=columns)
+
+    return names.select("path", "name").repartitionByRange(max(2, 4 * spark.sparkContext.defaultParallelism), "path").mapInArrow(run, Discovery.schema(None))
+
+
 def discover(spark: SparkSession, folder: str, visits: int = VISITS) -> DataFrame:
     """The rows of "media_files", found in rounds: tasks visit a bounded number of folders each, and what folders are left
-    then is dealt out anew, at whatever depth it lies. The rounds are kept, so that the files are those of one walk."""
+    then is dealt out anew, at whatever depth it lies. Rounds give names; sizes and times are then read by all tasks, so that
+    a folder of very many files is no task of its own but for its list. What is found is kept: the files are those of one
+    walk."""
     root = os.path.abspath(folder)
     reader = _Walk(root)
     if not reader.partitions():
         return spark.createDataFrame([], Discovery.schema(None))
     frontier = spark.createDataFrame([(root, [os.path.realpath(root)])], "path string, above array<string>")
-    found = None
+    names = None
     while True:
         step = checkpointed(round_of(frontier, root, visits))
-        files = step.where("above IS NULL").select(*_FILE)
-        found = files if found is None else found.unionByName(files)
+        found = step.where("above IS NULL").select("path", "name")
+        names = found if names is None else names.unionByName(found)
         frontier = step.where("above IS NOT NULL").select("path", "above")
         if frontier.isEmpty():
-            return found
+            return checkpointed(stats(names, root))
         visits = min(2 * visits, MOST_VISITS)
 
 

@@ -138,3 +138,23 @@ def test_a_deep_walk_is_dealt_out(spark, tmp_path):
     step = files.round_of(left.select("path", "above"), str(root), 2)
     parts = step.where("above IS NULL").select(F.spark_partition_id().alias("p")).distinct().count()
     assert parts > 1  # folders below the only child are visited by several tasks
+
+
+def test_a_folder_of_many_files_is_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "ENTRIES", 50)
+    root = tmp_path / "lib"
+    for i in range(20):
+        (root / f"f{i}").mkdir(parents=True)
+        (root / f"f{i}" / "z.jpg").write_bytes(b"xyz")
+    for i in range(300):
+        (root / f"{i}.jpg").write_bytes(b"x" * (i % 50))
+    (root / "folder.jpg").mkdir()
+    (root / "gone.jpg").symlink_to(root / "nothing")
+    (root / "link.jpg").symlink_to(root / "7.jpg")
+    start = spark.createDataFrame([(str(root), [str(root)])], "path string, above array<string>")
+    assert files.round_of(start, str(root), 64).where("above IS NOT NULL").count() == 21  # none visited by the task that lists the many
+    found = files.discover(spark, str(root))
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    got = {r.relative_path: r.size for r in found.collect()}
+    assert got == {f"{i}.jpg": i % 50 for i in range(300)} | {f"f{i}/z.jpg": 3 for i in range(20)} | {"link.jpg": 7}
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, files.discovered(spark, str(root)).collect()))
