@@ -211,7 +211,7 @@ def connected(edges: DataFrame) -> DataFrame:
     a round, however long paths are; the last REST links are contracted at once. Then names are carried back. State is
     checkpointed where the session says."""
     find_package(edges.sparkSession)
-    links = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    links = checkpointed(edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))).distinct())  # edges are computed once
     both, moves = links.where("a <> b"), []
 
     def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
